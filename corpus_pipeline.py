@@ -1,3 +1,94 @@
-STAGES = []
+"""Corpus pipeline: quality, language, near duplicates, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs``, and returns a
+DataFrame that is written as Parquet and read again as the next stage's docs.
+All stages but the last return the columns of the documents table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.llm import jaccard, langid, mixing, packing, quality
+from parlance.llm._storage import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document stays if its main language holds at least this share of its words.
+MAIN_LANGUAGE = 0.5
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c in COLUMNS]
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality machine accepts; it is fitted on the labelled documents of the table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = quality.train_quality(docs, labels)
+    return quality.score_quality(docs.select(*_columns(docs)), machine, score="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+
+
+def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a known main language."""
+    model = langid.fit_languages(docs.where(~F.coalesce(langid.held_out(), F.lit(False))).select("text", "lang"))
+    tagged = langid.tag_languages(docs.select(*_columns(docs)), model)
+    return tagged.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select(*_columns(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of 5-word-shingle Jaccard links of 0.8 or more: the one of the smallest id."""
+    found = jaccard.jaccard_components(docs, size=5, percent=80)
+    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "kept")
+    repeated = kept.where("copies > 1").limit(1).count() > 0
+    rows = docs.select(*_columns(docs)).withColumnRenamed("doc_id", "_id").join(kept.select("doc_id"), F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").withColumnRenamed("_id", "doc_id")
+    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents to their sources' targets: whole epochs as rows, the last one cut at the budget's word."""
+    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source").withColumn("_row", F.xxhash64("text"))).select("doc_id", "_row", "size", "taken").dropDuplicates(["doc_id", "_row"])
+    rows = docs.select(*_columns(docs)).withColumn("_row", F.xxhash64("text"))
+    joined = rows.alias("d").join(mixed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._row") == F.col("m._row")))
+    whole = F.when(F.col("m.size") > 0, F.floor(F.col("m.taken") / F.col("m.size"))).otherwise(1).cast("int")
+    rest = F.when(F.col("m.size") > 0, F.col("m.taken") % F.col("m.size")).otherwise(0).cast("int")
+    epochs = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array()))
+    repeated = joined.select(*[F.col(f"d.{c}").alias(c) for c in _columns(docs)], F.explode(epochs).alias("_words"))
+    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))
+    cut = repeated.withColumn("text", text)
+    return (cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut).select(*_columns(docs))
+
+
+def first_words(text: F.Column, n: F.Column) -> F.Column:
+    """The beginning of a text with its first n words, as it stands there."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(tokens, F.lit(1), n), "")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens: one row per piece, as in the packing query."""
+    import public_tokenizers
+
+    packed = packing.pack_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("language ID", filter_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SQL states neither the machine, the mixture model nor the packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...

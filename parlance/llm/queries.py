@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from parlance.llm import flac, id_files, langid, mixing, url_filter
+from parlance.llm import flac, forest, id_files, jaccard, langid, mixing, packing, quality, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality_machine": quality.op1_quality_machine,
+    "op2_retrieval_packing": packing.op2_retrieval_packing,
     "op3_url_vocabulary": url_filter.op3_url_vocabulary,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_toxicity_lexicon": toxicity.op5_toxicity_lexicon,
+    "op6_token_group_join": jaccard.op6_token_group_join,
     "op7_language_mixture": langid.op7_language_mixture,
+    "op8_prefix_forest": forest.op8_prefix_forest,
     "op9_flac_media": flac.op9_flac_media,
     "op10_token_id_files": id_files.op10_token_id_files,
 }

@@ -123,8 +123,9 @@ def featurise(texts: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, np.ndarra
     return out_cells, out_values, rows
 
 
-def fit(cells: np.ndarray, values: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss."""
+def fit(cells: np.ndarray, values: np.ndarray, rows: np.ndarray, y: np.ndarray, steps: int = 1500, epochs: int = 12, batch: int = 128, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> Machine:
+    """AdaGrad on the logistic loss: so many epochs, and more of them on small samples, up to about so many steps."""
+    epochs = max(epochs, min(100, steps * batch // max(1, len(y))))
     rng = np.random.default_rng(seed)
     size = CELLS + len(STATISTICS) * BINS
     mean = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-3, 1 - 1e-3))

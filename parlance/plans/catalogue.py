@@ -1,3 +1,6 @@
 """All queries of the library and the SQL that checks them."""
-QUERIES = {}
-ORACLES = {}
+
+from __future__ import annotations
+
+from parlance.plans import calls  # noqa: F401
+from parlance.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from parlance.plans import calls  # noqa: F401
+from parlance.plans import calls, vault  # noqa: F401
 from parlance.registry import ORACLES, QUERIES  # noqa: F401

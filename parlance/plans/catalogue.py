@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from parlance.plans import calls, ordered, search, vault  # noqa: F401
+from parlance.plans import calls, live, ordered, search, vault  # noqa: F401
 from parlance.registry import ORACLES, QUERIES  # noqa: F401

@@ -40,7 +40,7 @@ def field(meta: Column, key: str) -> Column:
 def listing(meta: Column, key: str) -> Column:
     """A flow list ``[a, "b"]`` of the metadata as an array; empty if absent."""
     raw = F.regexp_extract(F.coalesce(meta, F.lit("")), rf"(?m)^[ \t]*{key}:[ \t]*\[(.*)\][ \t]*$", 1)
-    items = F.regexp_extract_all(raw, F.lit(r"\"[^\"]*\"|'(?:[^']|'')*'|[^,]+"), F.lit(0))
+    items = F.regexp_extract_all(raw, F.lit(r"""\s*"[^"]*"|\s*'(?:[^']|'')*'|[^,]+"""), F.lit(0))
     return F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")), lambda x: x != "")
 
 

@@ -172,6 +172,6 @@ def test_the_library_works_without_the_llm_parts():
     import sys
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('parlance.llm') or n == 'corpus_pipeline' else f(n, *a); import __spark_entry__ as e; assert len(e.queries()) > 100 and not any(k.startswith('op1_') for k in e.queries())"
-    import conftest
+    from helpers import ROOT
 
-    assert subprocess.run([sys.executable, "-c", code], cwd=conftest.ROOT).returncode == 0
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0

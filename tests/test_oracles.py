@@ -1,7 +1,7 @@
 """Every query that SQL can state gives the rows of its SQL."""
 
 import pytest
-from conftest import compare
+from helpers import compare
 
 from parlance.plans.catalogue import ORACLES, QUERIES
 

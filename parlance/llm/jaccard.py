@@ -7,7 +7,7 @@ documents link when their Jaccard similarity reaches a threshold. Steps:
    shingles, rare cells first, so passages that many documents share come last.
 2. Documents with equal sets become one node. A node keeps its signature: the
    first shingles in that order, enough that two linked nodes must have
-   ``SHARED`` of them in common, and some min-hash keys.
+   some of them in common (``least_shared``), and some min-hash keys.
 3. Similar nodes form groups: a node joins the group of its most frequent key; a
    group beyond ``GROUP_SHINGLES`` shingles is split evenly, so every group is small.
 4. The token-group matrix has one row per shingle and group: the union of the
@@ -16,7 +16,7 @@ documents link when their Jaccard similarity reaches a threshold. Steps:
    needs are opened, besides each group with itself.
 5. Opening a pair compares whole sets, exactly, by matrix products; it returns
    each member's links and a spanning forest of them, never all pairs.
-6. Components are found by passing on the smallest label and jumping to its label.
+6. Components are found by contracting the links to each node's smallest neighbour, round by round.
 
 Copies are never expanded into pairs; skewed keys are only summed or joined with
 unique rows. Nothing about all documents reaches the driver but counts.
@@ -45,13 +45,13 @@ from parlance.llm.id_files import pieces
 #: Words in a shingle, and the least similarity in percent, of the query.
 WORDS, PERCENT = 4, 85
 #: Cells of the count sketch (a byte each goes to every task).
-SKETCH_BITS = 20
-#: Signature shingles that a linked pair must share (fewer for tiny sets).
-SHARED = 3
+SKETCH_BITS = 23
+#: Signature shingles that a linked pair must share: five in a hundred of the set, one to ``SHARED``.
+SHARED, SHARED_PERCENT = 8, 5
 #: Min-hash keys per node.
 KEYS = 4
-#: Shingles in a group, about; a pair of groups is what a task opens at once.
-GROUP_SHINGLES = 1 << 18
+#: Shingles and sets in a group, about; a pair of groups is what a task opens at once.
+GROUP_SHINGLES, GROUP_SETS = 1 << 18, 1 << 11
 ROUNDS = 40
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64)) for j in range(KEYS)]
@@ -90,31 +90,34 @@ def digest(tokens: np.ndarray) -> bytes:
 
 def shingle_sketch(docs: DataFrame, size: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
     """For each cell of shingles a level: how often it occurs (documents), on a logarithmic scale. Fixed size."""
-    chunk = 1 << 12
+    chunk = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        import zstandard
+
+        total = np.zeros(1 << bits, np.int32)
         for batch in (x for b in batches for x in pieces(b)):
-            sets = shingle_sets(batch.column("text"), size)
-            got = np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            total = got if total is None else total + got
-        if total is not None:
-            blocks = total.reshape(-1, chunk)
-            used = np.flatnonzero(blocks.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[i].astype("<i4").tobytes() for i in used], pa.binary())], ["chunk", "counts"])
+            np.add.at(total, np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column("text"), size)]) >> np.uint64(64 - bits), np.int32(1))
+        blocks = total.reshape(-1, min(chunk, len(total)))
+        used = np.flatnonzero(blocks.any(axis=1))
+        packed = zstandard.ZstdCompressor(level=1)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed.compress(blocks[i].astype("<i4").tobytes()) for i in used], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                got = np.frombuffer(raw, "<i4").astype(np.int64)
+                got = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i4").astype(np.int64)
                 sums[i] = sums[i] + got if i in sums else got
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.clip(np.log2(v + 1) * 4, 0, 255).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], ["chunk", "levels"])
 
     parts = docs.select("text").mapInArrow(count, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, levels binary")
-    levels = np.zeros((1 << bits) // chunk * chunk, np.uint8)
+    levels = np.zeros(1 << bits, np.uint8)
     for r in parts.toLocalIterator():  # at most one row per chunk of the sketch
-        levels[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["levels"], np.uint8)
+        got = np.frombuffer(r["levels"], np.uint8)
+        levels[r["chunk"] * len(got) : (r["chunk"] + 1) * len(got)] = got
     return levels
 
 
@@ -123,8 +126,13 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return (percent * n + 99) // 100
 
 
+def least_shared(n: int) -> int:
+    """Shingles of the signatures that a set of n must share with any linked set."""
+    return min(SHARED, max(1, n * SHARED_PERCENT // 100))
+
+
 def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest, signature (uint64) and keys of every document."""
+    """doc_id, n, digest, signature (uint64), keys and a number of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(np.log2(len(levels))))
 
@@ -140,58 +148,67 @@ def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: in
                 level = shared.value[(tokens >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                 order = np.argsort(level | (B.mix(tokens ^ _M[3]) >> np.uint64(8)), kind="stable")
                 t = least_overlap(len(tokens), percent)
-                signatures.append(tokens[order[: len(tokens) - t + min(SHARED, t)]].tobytes())
+                signatures.append(tokens[order[: len(tokens) - t + least_shared(len(tokens))]].tobytes())
                 keys.append([int((tokens[[np.argmin(level | (B.mix(tokens + seed) >> np.uint64(8)))]] ^ seed).view(np.int64)[0]) for seed in _SEEDS])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "signature", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, signature binary, keys array<long>")
+    described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, signature binary, keys array<long>")
+    return described.withColumn("row", F.monotonically_increasing_id())
 
 
 def make_nodes(described: DataFrame) -> DataFrame:
-    """node, digest, doc_id (the smallest), copies, n, signature, keys: one row per distinct set, the empty one left out."""
-    some = described.where("n > 0")
-    # Equal digests have equal signatures and keys, so any row's will do; max_by and friends would sort, first does not.
-    nodes = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
-    return stored(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-nodes")
+    """node (the row that stands for the set), digest, doc_id (the smallest), copies, n, keys: one row per distinct set, without the empty one."""
+    some = described.where("n > 0").select("digest", "n", "keys", "row", "doc_id")
+    # Rows of equal digests have equal n and keys.
+    nodes = some.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    return stored(nodes.select(F.col("rep.row").alias("node"), "digest", F.col("rep.doc_id").alias("doc_id"), "copies", "n", "keys"), "jaccard-nodes")
 
 
 def assign_groups(nodes: DataFrame) -> DataFrame:
     """node, grp: similar nodes together, no group much over GROUP_SHINGLES."""
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    usual = keyed.join(counts.where("uses > 1"), "key").groupBy("node").agg(F.max(F.struct("uses", "key"))["key"].alias("key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    ranked = stored(keyed.join(counts, "key").select("node", "key", "uses"), "jaccard-keys")
+    best = ranked.groupBy("node").agg(F.max(F.struct("uses", "key")).alias("best"))
+    # A key stands for the most frequent key that any of its nodes has, so the keys of one set of copies meet in one.
+    stands = ranked.join(best, "node").groupBy("key").agg(F.max("best")["key"].alias("root"))
+    usual = best.select("node", F.col("best.key").alias("key")).join(stands, "key").select("node", F.col("root").alias("key"))
     placed = nodes.select("node", "n").join(usual, "node", "left")
-    sizes = placed.where("key is not null").groupBy("key").agg(F.sum("n").alias("total"))
-    splits = F.coalesce(F.ceil(F.col("total") / GROUP_SHINGLES), F.lit(1))
+    sizes = placed.where("key is not null").groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
+    splits = F.coalesce(F.greatest(F.ceil(F.col("total") / GROUP_SHINGLES), F.ceil(F.col("sets") / GROUP_SETS)), F.lit(1))
     part = F.pmod(F.xxhash64("node"), splits)
-    return placed.join(sizes, "key", "left").select("node", F.when(F.col("key").isNull(), F.xxhash64(F.lit("single"), "node")).otherwise(F.xxhash64("key", part)).alias("grp"))
+    return placed.join(sizes, "key", "left").select("node", F.shiftrightunsigned(F.when(F.col("key").isNull(), F.xxhash64(F.lit("single"), "node")).otherwise(F.xxhash64("key", part)), 16).alias("grp"))
 
 
-def group_pairs(nodes: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b (a < b): groups that share enough signature shingles for a link between members."""
-    rows = nodes.join(groups, "node").select("grp", "n", "signature")
+def group_pairs(described: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b (a < b): groups that share enough signature shingles for a link between members.
+
+    Shingles and groups are 48 bits here, which makes the shuffled rows small;
+    shingles that meet by chance can only open a pair too many.
+    """
+    rows = described.where("n > 0").select("row", "signature").join(groups, F.col("row") == F.col("node")).select("grp", "signature")
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("signature").to_pylist()
-            tokens = np.frombuffer(b"".join(raw), np.int64)
-            size = np.array([len(x) // 8 for x in raw], np.int64)
-            grp = np.repeat(np.asarray(batch.column("grp")), size)
-            n = np.asarray(batch.column("n"))
-            least = np.repeat(np.minimum(SHARED, (percent * n + 99) // 100), size).astype(np.int32)
-            order = np.lexsort((least, grp, tokens))  # one row per shingle and group of the batch, with the smallest need
-            tokens, grp, least = tokens[order], grp[order], least[order]
+            tokens = (np.frombuffer(b"".join(raw), np.uint64) >> np.uint64(16)).astype(np.int64)
+            grp = np.repeat(np.asarray(batch.column("grp")), np.array([len(x) // 8 for x in raw], np.int64))
+            order = np.lexsort((grp, tokens))  # one row per shingle and group of the batch
+            tokens, grp = tokens[order], grp[order]
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (grp[1:] != grp[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[new]), pa.array(grp[new]), pa.array(least[new])], ["token", "grp", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[new]), pa.array(grp[new])], ["token", "grp"])
 
-    dealt = rows.mapInArrow(matrix, "token long, grp long, least int").repartition(F.col("token"))
+    dealt = rows.mapInArrow(matrix, "token long, grp long").repartition(F.col("token"))
     shared = dealt.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    table = dealt.join(shared, "token", "left_semi").groupBy("token", "grp").agg(F.min("least").alias("least"))
-    table = stored(table, "jaccard-matrix")
-    a = table.select("token", F.col("grp").alias("a"), F.col("least").alias("least_a"))
-    b = table.select("token", F.col("grp").alias("b"), F.col("least").alias("least_b"))
-    bound = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("least_a", "least_b")).alias("least"))
+    # What a link between any two members needs: shingles in common, and sizes not too far apart.
+    need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(F.col("n") * SHARED_PERCENT / 100)))
+    limits = nodes.join(groups, "node").groupBy("grp").agg(F.min(need).alias("least"), F.min("n").alias("low"), F.max("n").alias("high"))
+    table = stored(dealt.join(shared, "token", "left_semi").distinct().join(limits, "grp"), "jaccard-matrix")
+    of = lambda x: table.select("token", F.col("grp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("least", "low", "high")])
+    sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    bound = of("a").join(of("b"), "token").where((F.col("a") < F.col("b")) & sizes)
+    bound = bound.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("least_a", "least_b")).alias("least"))
     return bound.where("common >= least").select("a", "b")
 
 
@@ -233,11 +250,14 @@ def compare(tokens: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[n
         else:
             y = x
         overlap += x @ y.T
-    overlap = overlap.astype(np.int64)
-    hit = 100 * overlap >= percent * (size[left][:, None] + size[right][None, :] - overlap)
-    if not both_sides:
-        hit &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-    i, j = np.nonzero(hit)
+    found = []
+    for at in range(0, len(left), 256):  # a few rows at a time keeps the whole numbers small
+        part = overlap[at : at + 256].astype(np.int64)
+        hit = 100 * part >= percent * (size[left[at : at + 256]][:, None] + size[right][None, :] - part)
+        if not both_sides:
+            hit &= np.arange(at, at + len(part))[:, None] < np.arange(len(right))[None, :]
+        found.append(np.argwhere(hit) + (at, 0))
+    i, j = np.concatenate(found).T
     return left[i], right[j]
 
 
@@ -260,23 +280,50 @@ def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return [(int(nodes[x]), int(nodes[find(x)])) for x in set(i.tolist()) | set(j.tolist()) if find(x) != x]
 
 
+FILTER_BITS = 23
+
+
+def filter_place(doc_id: F.Column) -> F.Column:
+    """A document's place in the filter of ids."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << FILTER_BITS))
+
+
+def id_filter(members: DataFrame) -> np.ndarray:
+    """Bits of the ids that members have, a fixed number: documents whose bit is off need not be read further."""
+    place = filter_place(F.col("doc_id"))
+    words = members.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.toLocalIterator():  # at most one row per word of the filter
+        out[r["word"]] = r["bits"]
+    return out
+
+
 def open_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """src, dst, links: spanning links (dst set), and for each node the documents it links with through a pair (dst null)."""
-    several = groups.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    todo = pairs.unionByName(several).withColumn("pair", F.xxhash64("a", "b"))
-    wanted = todo.select(F.explode(F.array_distinct(F.array(F.struct(F.col("a").alias("grp"), F.lit(0).alias("side"), "pair"), F.struct(F.col("b").alias("grp"), F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"), "pair")))).alias("w")).select("w.*")
+    # The larger group of a pair meets its smaller partners in batches, so it is sent once per batch and not once per pair.
+    size_of = nodes.select("node", "n").join(groups, "node").groupBy("grp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    of = lambda x: size_of.select(F.col("grp").alias(x), F.struct("sets", "total", "grp").alias(f"size_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("size_a", "size_b").alias("big"), F.least("size_a", "size_b").alias("small"))
+    both = both.select(F.col("big.grp").alias("big"), F.col("small.grp").alias("small"), F.col("small.sets").alias("sets"), F.col("small.total").alias("total"))
+    batches_of = both.groupBy("big").agg(F.greatest(F.ceil(F.sum("sets") / GROUP_SETS), F.ceil(F.sum("total") / GROUP_SHINGLES)).alias("batches"))
+    both = both.join(batches_of, "big").withColumn("pair", F.xxhash64("big", F.pmod(F.xxhash64("small"), F.col("batches"))))
+    several = size_of.where("sets > 1").select("grp", F.lit(0).alias("side"), F.xxhash64("grp", F.lit(-1).cast("long")).alias("pair"))
+    wanted = both.select(F.col("big").alias("grp"), F.lit(0).alias("side"), "pair").distinct().unionByName(both.select(F.col("small").alias("grp"), F.lit(1).alias("side"), "pair")).unionByName(several)
     wanted = stored(wanted, "jaccard-pairs")
     members = nodes.select("node", "digest", "doc_id", "copies").join(groups, "node").join(wanted.select("grp").distinct(), "grp", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, F.col("id").eqNullSafe(F.col("doc_id")))
+    members = stored(members, "jaccard-members")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(members))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in pieces(b)):
-            tokens = shingle_sets(batch.column("text"), size)
-            same = [digest(t) == d for t, d in zip(tokens, batch.column("digest").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).filter(pa.array(same)) for c in ("node", "grp", "copies")], pa.array([t.tobytes() for t, s in zip(tokens, same) if s], pa.binary())], ["node", "grp", "copies", "tokens"])
+        for batch in batches:
+            place = np.asarray(batch.column("place"))
+            some = batch.filter(pa.array((bits.value[place >> 6] >> (place & 63) & 1).astype(bool)))
+            for part in pieces(some):
+                tokens = shingle_sets(part.column("text"), size)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in tokens], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["digest", "tokens"])
 
-    members = texts.select("node", "grp", "copies", "digest", "text").mapInArrow(sets, "node long, grp long, copies long, tokens binary")
-    members = stored(members, "jaccard-sets")
+    found = docs.select(filter_place(F.col("doc_id").cast("long")).alias("place"), "text").mapInArrow(sets, "digest binary, tokens binary")
+    members = stored(found.join(members, "digest").select("node", "grp", "copies", "tokens"), "jaccard-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -314,20 +361,29 @@ def open_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: Data
     return stored(opened.mapInArrow(verify, "src long, dst long, links long"), "jaccard-links")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node that links reach) for the nodes with links."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = stored(both, "jaccard-edges")
-    labels = stored(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).select(F.col("src").alias("node"), "label"), "jaccard-labels")
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (one node of its component) for the nodes with links.
+
+    Every node moves to its smallest neighbour's smallest neighbour; then the graph is
+    contracted to these, which leaves few links after the first round.
+    """
+    links = stored(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "jaccard-edges")
+    labels = None
     for _ in range(ROUNDS):
-        heard = both.join(labels, both["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, labels["node"] == heard["dst"]).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        moved = stored(nearer.join(jump, "via").select("node", F.least("via", "far").alias("label"), (F.least("via", "far") < F.col("old")).cast("int").alias("moved")), "jaccard-labels")
-        labels = moved.select("node", "label")
-        if not moved.agg(F.max("moved")).first()[0]:
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        nearest = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("up")), "jaccard-nearest")
+        jump = nearest.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        moved = stored(nearest.join(jump, "up").select("node", F.least("up", "far").alias("up")), "jaccard-moved")
+        if labels is None:
+            labels = moved.select("node", F.col("up").alias("label"))
+        else:
+            labels = stored(labels.join(moved.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "jaccard-labels")
+        a, b = moved.select(F.col("node").alias("src"), F.col("up").alias("a")), moved.select(F.col("node").alias("dst"), F.col("up").alias("b"))
+        links = links.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        links = stored(links, "jaccard-edges")
+        if not links.limit(1).count():
             return labels
-    raise RuntimeError("labels did not settle")
+    raise RuntimeError("the components did not settle")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -336,8 +392,8 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     described = stored(describe(docs, shingle_sketch(docs, size), size, percent), "jaccard-docs")
     nodes = make_nodes(described)
     groups = stored(assign_groups(nodes), "jaccard-groups")
-    links = open_pairs(docs, nodes, groups, group_pairs(nodes, groups, percent), size, percent)
-    labels = components(nodes, links.where("dst is not null"))
+    links = open_pairs(docs, nodes, groups, group_pairs(described, nodes, groups, percent), size, percent)
+    labels = components(links.where("dst is not null"))
     counts = links.where("dst is null").groupBy("src").agg(F.sum("links").alias("links"))
     joined = nodes.select("node", "digest", "doc_id", "copies").join(labels, "node", "left").join(counts.withColumnRenamed("src", "node"), "node", "left")
     joined = joined.select("node", "digest", "doc_id", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

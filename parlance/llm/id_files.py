@@ -75,7 +75,7 @@ def stage_ids(docs: DataFrame, vocabulary: str, end: int = END_ID) -> DataFrame:
         bpe = tokenizer(vocabulary)
         kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
         for batch in (x for b in batches for x in pieces(b)):
-            ids, sizes = bpe.encode(batch.column("text").to_pylist(), end)
+            ids, sizes = bpe.encode(batch.column("text"), end)
             raw, at = ids.astype(kind).tobytes(), np.concatenate(([0], np.cumsum(sizes))) * kind().itemsize
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), _binary([raw[a:b] for a, b in zip(at, at[1:])])], ["doc_id", "n_ids", "ids"])
 

@@ -54,7 +54,7 @@ def stage(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = (), end: int
         kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
         hashes = [(np.arange(bpe.size, dtype=np.uint32) + np.uint32(1)) * m for m in _MIX]
         for batch in (x for b in batches for x in pieces(b)):
-            ids, sizes = bpe.encode(batch.column(batch.schema.get_field_index("text")).to_pylist(), end)
+            ids, sizes = bpe.encode(batch.column(batch.schema.get_field_index("text")), end)
             at = np.cumsum(sizes) - sizes
             first, second = (np.minimum.reduceat(h[ids], at).astype(np.int64) for h in hashes)
             raw, cuts = ids.astype(kind).tobytes(), np.append(at, len(ids)) * kind().itemsize

@@ -53,6 +53,8 @@ KEYS = 4
 #: Shingles and sets in a group, about; a pair of groups is what a task opens at once.
 GROUP_SHINGLES, GROUP_SETS = 1 << 18, 1 << 11
 ROUNDS = 40
+#: Texts are cut into shingles about so many bytes at once.
+PIECE_BYTES = 1 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64)) for j in range(KEYS)]
 
@@ -96,7 +98,7 @@ def shingle_sketch(docs: DataFrame, size: int = WORDS, bits: int = SKETCH_BITS)
         import zstandard
 
         total = np.zeros(1 << bits, np.int32)
-        for batch in (x for b in batches for x in pieces(b)):
+        for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             np.add.at(total, np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column("text"), size)]) >> np.uint64(64 - bits), np.int32(1))
         blocks = total.reshape(-1, min(chunk, len(total)))
         used = np.flatnonzero(blocks.any(axis=1))
@@ -137,7 +139,7 @@ def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: in
     shift = np.uint64(64 - int(np.log2(len(levels))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in pieces(b)):
+        for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             n, digests, signatures, keys = [], [], [], []
             for tokens in shingle_sets(batch.column("text"), size):
                 n.append(len(tokens))
@@ -318,7 +320,7 @@ def open_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: Data
         for batch in batches:
             place = np.asarray(batch.column("place"))
             some = batch.filter(pa.array((bits.value[place >> 6] >> (place & 63) & 1).astype(bool)))
-            for part in pieces(some):
+            for part in pieces(some, limit=PIECE_BYTES):
                 tokens = shingle_sets(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in tokens], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["digest", "tokens"])
 

@@ -42,6 +42,8 @@ MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 PENALTY = 3.0
 MAX_STEPS = 30
+#: Texts are cut into n-grams about so many bytes at once.
+PIECE_BYTES = 1 << 20
 #: Words of a document that are longer count by their first so many bytes per n-gram weight only.
 _EDGE = np.uint8(0x20)
 
@@ -97,7 +99,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in (x for b in batches for x in pieces(b)):
+        for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             langs = batch.column("lang").to_pylist()
             data, first, last, count = _prepared(batch.column("text"))
             cells, n = _grams(data, first, last)
@@ -182,7 +184,7 @@ def tag_languages(docs: DataFrame, model: LanguageModel, text: str = "text", pen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table = shared.value.languages, shared.value.table
-        for batch in (x for b in batches for x in pieces(b, text)):
+        for batch in (x for b in batches for x in pieces(b, text, PIECE_BYTES)):
             texts = batch.column(batch.schema.get_field_index(text))
             data, first, last, count = _prepared(texts)
             cells, n = _grams(data, first, last)

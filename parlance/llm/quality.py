@@ -42,6 +42,8 @@ CELLS = 1 << 16
 BINS = 16
 FACTORS = 8
 THRESHOLD = 0.3
+#: Texts are turned into features about so many bytes at once.
+PIECE_BYTES = 1 << 20
 STATISTICS = ("chars", "words", "word_length", "line_length", "capitals", "digits", "marks", "bars", "stops", "other_bytes", "distinct_words", "top_word", "distinct_lines", "metadata")
 
 
@@ -165,7 +167,7 @@ def fit_quality(sample: DataFrame, max_rows: int = 2 * PER_CLASS) -> Machine:
     """Fits on rows (text, n_chars, label); their sparse features come to the driver (at most ``max_rows`` rows)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in pieces(b)):
+        for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             cells, values, rows = featurise(batch.column("text"), batch.column("n_chars"))
             cells, values = cells.astype("<i4").tobytes(), values.astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([cells[4 * a : 4 * b] for a, b in zip(rows, rows[1:])], pa.binary()), pa.array([values[4 * a : 4 * b] for a, b in zip(rows, rows[1:])], pa.binary())], ["doc_id", "label", "cells", "values"])
@@ -185,7 +187,7 @@ def score_quality(df: DataFrame, machine: Machine, text: str = "text", n_chars:
     shared = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in pieces(b, text)):
+        for batch in (x for b in batches for x in pieces(b, text, PIECE_BYTES)):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             cells, values, rows = featurise(get(text), get(n_chars))
             z = shared.value.logits(cells, values, rows)

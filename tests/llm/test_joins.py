@@ -80,6 +80,22 @@ def test_forest_recall(spark):
     assert hits / 300 >= 0.9
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_forest_query_on_given_tables(spark, sf_dir):
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    got = {}
+    for r in forest.op8_prefix_forest(spark, sf_dir).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [q for q in rows if q % 100 == 0]
+    assert sum(len(got[q] & {v for _, v in nearest(rows, q)}) for q in asked) / (10 * len(asked)) >= 0.9
+    # With the query's own shards the trees leave most entries of a shard unmeasured.
+    vectors = np.array(list(rows.values()), np.float64)
+    normals = np.random.default_rng(1).normal(size=(vectors.shape[1], forest.TREES * forest.BITS))
+    shard = vectors[:: forest.shards_for(len(vectors))]
+    picks = forest.Forest(shard, (normals, np.median(vectors @ normals, axis=0))).search(vectors[:20])
+    assert all(0 < len(p) < len(shard) / 2 for p in picks)
+
+
 def test_forest_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (None, [1.0, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 2.0, 3.0]), (200, [0.0, 0.0])]
     rows += [(1000 + i, [1.0, 0.0]) for i in range(1, 40)]

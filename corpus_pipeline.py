@@ -37,12 +37,15 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of 5-word-shingle Jaccard links of 0.8 or more: the one of the smallest id."""
-    found = jaccard.jaccard_components(docs, size=5, percent=80)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "kept")
+    """Keeps one document of each group of 5-word-shingle Jaccard links of 0.8 or more: the one of the smallest id.
+
+    Ids may be null or repeated: rows are told apart by id and text.
+    """
+    kept = stored(jaccard.survivors(docs, size=5, percent=80), "kept")
     repeated = kept.where("copies > 1").limit(1).count() > 0
-    rows = docs.select(*_columns(docs)).withColumnRenamed("doc_id", "_id").join(kept.select("doc_id"), F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").withColumnRenamed("_id", "doc_id")
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    rows = docs.select(*_columns(docs)).withColumn("_mark", jaccard.text_mark(F.col("text"))).withColumnRenamed("doc_id", "_id")
+    rows = rows.join(kept.select("doc_id", "mark"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark")), "left_semi").withColumnRenamed("_id", "doc_id")
+    return (rows.dropDuplicates(["doc_id", "_mark"]) if repeated else rows).drop("_mark")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,7 +134,8 @@ def least_shared(n: int) -> int:
 
 
 def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest, signature (uint64), keys and a number of every document."""
+    """doc_id, n, digest, signature (uint64), keys and a number of every document, with its mark (a long) if it has one."""
+    mark = [c for c in docs.columns if c == "mark"]
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(np.log2(len(levels))))
 
@@ -152,9 +153,9 @@ def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: in
                 t = least_overlap(len(tokens), percent)
                 signatures.append(tokens[order[: len(tokens) - t + least_shared(len(tokens))]].tobytes())
                 keys.append([int((tokens[[np.argmin(level | (B.mix(tokens + seed) >> np.uint64(8)))]] ^ seed).view(np.int64)[0]) for seed in _SEEDS])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "signature", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *[batch.column(c) for c in mark]], ["doc_id", "n", "digest", "signature", "keys", *mark])
 
-    described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, signature binary, keys array<long>")
+    described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *mark).mapInArrow(run, "doc_id long, n long, digest binary, signature binary, keys array<long>" + "".join(f", {c} long" for c in mark))
     return described.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -390,7 +391,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked with, copies included) of every document (doc_id, text)."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return labelled(docs.select("doc_id", "text"), size, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def text_mark(text: F.Column) -> F.Column:
+    """A number that stands for a text, so that rows of one id are told apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def survivors(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (of its text), copies: the one row to keep of each component, of the smallest id, nulls last. Texts without words are components by id."""
+    rows = labelled(docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark")), size, percent)
+    rows = rows.groupBy("label", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    own = [F.when(F.col("label").isNull(), F.col(c)).alias(f"own_{c}") for c in ("doc_id", "mark")]
+    best = rows.groupBy("label", *own).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "copies")).alias("best"))
+    return best.select("best.doc_id", "best.mark", "best.copies")
+
+
+def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components with the label of their component (null: no words) and their mark if docs have one."""
+    mark = [c for c in docs.columns if c == "mark"]
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), *mark)
     described = stored(describe(docs, shingle_sketch(docs, size), size, percent), "jaccard-docs")
     nodes = make_nodes(described)
     groups = stored(assign_groups(nodes), "jaccard-groups")
@@ -400,9 +421,9 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     joined = nodes.select("node", "digest", "doc_id", "copies").join(labels, "node", "left").join(counts.withColumnRenamed("src", "node"), "node", "left")
     joined = joined.select("node", "digest", "doc_id", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     smallest = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = joined.join(smallest, "label").select("digest", "component_id", "n_links")
-    rows = described.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = joined.join(smallest, "label").select("digest", "label", "component_id", "n_links")
+    rows = described.select("doc_id", "n", "digest", *mark).join(classes, "digest", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "label", *mark)
 
 
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,18 @@ def test_pipeline(spark, sf):
     assert P.run(spark, sf).count() == kept["packing"].count()
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, sf):
+    import corpus_pipeline as P
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    near = b + " more"
+    rows = [(None, a), (None, c), (None, c), (7, d), (7, near), (7, d), (3, b), (9, e), (9, None), (9, ""), (None, None), (8, a + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, sf).collect()]
+    want = [(8, a + " more"), (None, c), (7, d), (3, b), (9, e), (9, None), (9, ""), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_edges(spark, sf, tmp_path):
     import corpus_pipeline as P
 

@@ -46,10 +46,10 @@ def _counts(passages: DataFrame) -> DataFrame:
 
 
 def expand_prefixes(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """term, token: every token that begins with a term. An equi-join on prefixes of the lengths that occur, no LIKE."""
-    wanted = terms.select("term").distinct()
-    heads = tokens.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONGEST_PREFIX))), lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("term"))
-    return heads.join(wanted, "term")
+    """term, token: every token that begins with a term. An equi-join on heads of up to ``LONGEST_PREFIX`` characters, no LIKE; longer terms are then compared whole."""
+    wanted = terms.select("term").distinct().withColumn("head", F.left("term", F.lit(LONGEST_PREFIX)))
+    heads = tokens.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONGEST_PREFIX))), lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("head"))
+    return heads.join(wanted, "head").where(F.startswith("token", "term")).select("term", "token")
 
 
 def term_hits(terms: DataFrame, counts: DataFrame) -> DataFrame:

@@ -175,3 +175,14 @@ def test_the_library_works_without_the_llm_parts():
     from helpers import ROOT
 
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+
+
+def test_terms_longer_than_the_heads_meet_tokens(spark):
+    long = "a" * 39 + "bcdef"
+    tokens = spark.createDataFrame([(long,), (long + "g",), ("a" * 39 + "bxdef",), ("a" * 40,), ("abc",)], "token string")
+    terms = spark.createDataFrame([(long,), ("a" * 40,), ("ab",)], "term string")
+    got = {(r["term"], r["token"]) for r in S.expand_prefixes(terms, tokens).collect()}
+    assert got == {(long, long), (long, long + "g"), ("a" * 40, "a" * 40), ("ab", "abc")}
+    passages = spark.createDataFrame([(1, 0, f"see {long}"), (2, 0, "see nothing")], "path long, chunk int, text string")
+    found = S.search(passages, spark.createDataFrame([(1, long)], "q long, query string"), "and").collect()
+    assert [r["path"] for r in found] == [1]

@@ -59,7 +59,13 @@ def turns(t: Tables) -> DataFrame:
     return t.conversations.select(F.col("conv_id").alias("path"), F.col("turn").alias("chunk"), "text")
 
 
+def questions(t: Tables) -> DataFrame:
+    """The benchmark's whole texts as queries."""
+    return t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("query"))
+
+
 def benchmark(t: Tables) -> DataFrame:
+    """Their beginnings, as the SQL has them."""
     return t.benchmark.select(F.col("item_id").alias("q"), F.left("text", F.lit(60)).alias("query"))
 
 
@@ -167,8 +173,8 @@ def alias_groups_search(t: Tables) -> DataFrame:
 
 @query("")
 def snippets(t: Tables) -> DataFrame:
-    found = S.ranked(S.search(passages(t), benchmark(t)), limit=5)
-    texts = found.join(t.documents.select(F.col("doc_id").alias("path"), "text"), "path").join(benchmark(t), "q")
+    found = S.ranked(S.search(passages(t), questions(t)), limit=5)
+    texts = found.join(t.documents.select(F.col("doc_id").alias("path"), "text"), "path").join(questions(t), "q")
     return texts.select("q", "path", "rank", S.snippet(F.col("text"), C.query_terms(F.col("query"))).alias("snippet"))
 
 
@@ -236,11 +242,20 @@ def acronym_candidates(t: Tables) -> DataFrame:
 
 @query("", "select item_id as id, left(text, 60) as query, (select string_agg(doc_id, ',' order by doc_id) from documents where contains(text, left(b.text, 60))) as expect from benchmark b")
 def gold_cases(t: Tables) -> DataFrame:
-    """Questions with the documents that hold the benchmark text's beginning. Candidates share its second word, which stands whole in both."""
+    """Questions with the documents that hold the benchmark text's beginning.
+
+    Candidates share its longest word that has other characters on both sides, which stands whole in
+    both; beginnings without such a word are compared with every document.
+    """
     gold = t.benchmark.select(F.col("item_id").alias("id"), F.left("text", F.lit(60)).alias("query"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(C.tokens(F.col("text")))).alias("word"))
-    pairs = words.join(gold.select("id", "query", F.get(C.tokens(F.col("query")), F.lit(1)).alias("word")), "word").select("id", "query", "doc_id")
-    hits = pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("query")))
+    split = lambda c: F.split(c, r"[^\p{L}\p{M}\p{N}]+")
+    inner = F.slice(split("query"), F.lit(2), F.greatest(F.size(split("query")) - 2, F.lit(0)))
+    keyed = gold.select("id", "query", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(split("text"))).alias("word"))
+    pairs = words.join(keyed.where("word is not null"), "word").select("id", "query", "doc_id").distinct()
+    hits = pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("query"))).select("id", "doc_id")
+    bare = t.documents.select("doc_id", "text").join(keyed.where("word is null"), F.contains("text", F.col("query"))).select("id", "doc_id")
+    hits = hits.unionByName(bare)
     lists = hits.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("expect"))
     return gold.join(lists, "id", "left").select("id", "query", "expect")
 

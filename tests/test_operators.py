@@ -186,3 +186,16 @@ def test_terms_longer_than_the_heads_meet_tokens(spark):
     passages = spark.createDataFrame([(1, 0, f"see {long}"), (2, 0, "see nothing")], "path long, chunk int, text string")
     found = S.search(passages, spark.createDataFrame([(1, long)], "q long, query string"), "and").collect()
     assert [r["path"] for r in found] == [1]
+
+
+def test_gold_cases_and_snippets_lose_no_document(spark, tmp_path):
+    from parlance.plans.catalogue import QUERIES
+
+    cut = "x " + "y" * 70
+    late = "plain opening words that fill the first sixty characters of it, zebra"
+    spark.createDataFrame([(1, cut), (2, "single"), (3, late)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"a {cut} b"), (2, "a singleton"), (3, "only a zebra here"), (4, f"pre{late}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gold = {r["id"]: r["expect"] for r in QUERIES["gold_cases"](spark, str(tmp_path)).collect()}
+    assert gold == {1: "1", 2: "2", 3: "4"}
+    shown = {(r["q"], r["path"]): r["snippet"] for r in QUERIES["snippets"](spark, str(tmp_path)).where("q = 3").collect()}
+    assert any("⟦zebra⟧" in x for x in shown.values())

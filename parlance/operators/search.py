@@ -100,6 +100,19 @@ def search(passages: DataFrame, queries: DataFrame, mode: str = "auto", legacy:
     return whole.unionByName(hits.join(whole.select("q").distinct(), "q", "left_anti"))
 
 
+def scoped_search(passages: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of any term for queries (q, query, scope) over passages (path, chunk, text, grp), each within its scope only: scope, q, path, chunk, score."""
+    hits = search(passages, queries.select("q", "query").distinct(), "or").join(passages.select("path", "chunk", "grp").distinct(), ["path", "chunk"])
+    asked = queries.select(F.col("q").alias("_q"), "scope").distinct()
+    within = hits.join(asked, (F.col("q") == F.col("_q")) & F.col("grp").eqNullSafe(F.col("scope")))
+    return within.select("scope", "q", "path", "chunk", "score")
+
+
+def leaks(hits: DataFrame, truth: DataFrame) -> DataFrame:
+    """scope, leaks: hits (scope, path) that by the truth (path, grp) belong to another group."""
+    return hits.join(truth.select("path", "grp"), "path").groupBy("scope").agg(F.count_if(~F.col("grp").eqNullSafe(F.col("scope"))).alias("leaks"))
+
+
 def topic_search(topics: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Column-weighted BM25 over rows (path, title, summary, tags, participants as text), all terms: q, path, score, snippet."""
     weights = weights or TOPIC_WEIGHTS

@@ -289,8 +289,7 @@ def eval_regressions(t: Tables) -> DataFrame:
 def leak_check(t: Tables) -> DataFrame:
     """Searches within each workspace that return a row of another: none may."""
     scopes = t.documents.select(F.col("source").alias("scope")).distinct()
-    hits = S.search(passages(t), benchmark(t), "or")
-    truth = t.documents.select(F.col("doc_id").alias("path"), "source")
-    within = hits.join(truth, "path").withColumn("scope", F.col("source"))
-    counts = within.groupBy("scope").agg(F.count_if(F.col("source") != F.col("scope")).alias("leaks"))
-    return scopes.join(counts, "scope", "left").select("scope", F.coalesce("leaks", F.lit(0)).alias("leaks"))
+    indexed = t.documents.select(F.col("doc_id").alias("path"), F.lit(0).alias("chunk"), "text", F.col("source").alias("grp"))
+    hits = S.scoped_search(indexed, questions(t).crossJoin(scopes))
+    counts = S.leaks(hits, t.documents.select(F.col("doc_id").alias("path"), F.col("source").alias("grp"))).withColumnRenamed("scope", "_scope")
+    return scopes.join(counts, F.col("scope").eqNullSafe(F.col("_scope")), "left").select("scope", F.coalesce("leaks", F.lit(0)).alias("leaks"))

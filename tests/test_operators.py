@@ -199,3 +199,18 @@ def test_gold_cases_and_snippets_lose_no_document(spark, tmp_path):
     assert gold == {1: "1", 2: "2", 3: "4"}
     shown = {(r["q"], r["path"]): r["snippet"] for r in QUERIES["snippets"](spark, str(tmp_path)).where("q = 3").collect()}
     assert any("⟦zebra⟧" in x for x in shown.values())
+
+
+def test_leaks_are_counted(spark, tmp_path):
+    from parlance.plans.catalogue import QUERIES
+
+    # One path stands in two groups, so a search within either returns a row of the other.
+    docs = [(1, "budget review", "a"), (1, "budget review", "b"), (2, "budget review", "c"), (3, "nothing", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "budget")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["scope"]: r["leaks"] for r in QUERIES["leak_check"](spark, str(tmp_path)).collect()} == {"a": 1, "b": 1, "c": 0, None: 0}
+    # An index that has a document under a wrong group is found out.
+    passages = spark.createDataFrame([(1, 0, "budget review", "a"), (2, 0, "budget plan", "a")], "path long, chunk int, text string, grp string")
+    hits = S.scoped_search(passages, spark.createDataFrame([(1, "budget", "a"), (1, "budget", "b")], "q long, query string, scope string"))
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "path long, grp string")
+    assert [(r["scope"], r["leaks"]) for r in S.leaks(hits, truth).collect()] == [("a", 1)]

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.llm._storage import stored
+
 #: Samples in a frame; the last frame of a stream may be shorter.
 BLOCK = 1152
 SAMPLE_RATE = 8000
@@ -542,8 +544,8 @@ def padded_payload(text: F.Column, unit: int = 192) -> F.Column:
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as a FLAC stream, decoded again."""
+    """Every document's text as a FLAC stream, written, read back and decoded."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
-    media = encode_media(docs.select("doc_id", n_bytes, padded_payload(F.col("text")).alias("payload")))
+    media = stored(encode_media(docs.select("doc_id", n_bytes, padded_payload(F.col("text")).alias("payload"))), "media")
     return media_features(media)

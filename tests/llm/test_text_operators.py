@@ -177,3 +177,17 @@ def test_flac_query(spark, empty):
     blocks = flac.pcm_blocks(media.select("doc_id", "media").where("doc_id = 8"), "doc_id").orderBy("block").collect() if not empty else []
     assert b"".join(bytes(b["pcm"]) for b in blocks).rstrip() == (TEXTS[8].encode().rstrip() if not empty else b"")
     assert all(b["first_sample"] == b["block"] * flac.BLOCK for b in blocks)
+
+
+def test_flac_query_stores_its_streams(spark, tmp_path):
+    import glob
+    import hashlib
+
+    spark.createDataFrame([(1, "hello flac " * 40), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/parlance-media-*"))
+    got = {r["doc_id"]: r for r in flac.op9_flac_media(spark, str(tmp_path)).collect()}
+    (written,) = set(glob.glob(f"{folder}/parlance-media-*")) - before
+    media = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(written).collect()}
+    assert set(media) == {1, 2}
+    assert all(hashlib.sha256(media[i]).hexdigest() in got[i].asDict().values() for i in media)

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join with a token-group matrix: all links, and their components.
+"""N-gram Jaccard join with a token-group matrix: all links, as components.
 
 A document is the set of its distinct word shingles (64-bit fingerprints). Two
 documents link when their Jaccard similarity reaches a threshold. Steps:
@@ -7,16 +7,18 @@ documents link when their Jaccard similarity reaches a threshold. Steps:
    shingles, rare cells first, so passages that many documents share come last.
 2. Documents with equal sets become one node. A node keeps its signature: the
    first shingles in that order, enough that two linked nodes must have
-   some of them in common (``least_shared``), and some min-hash keys.
-3. Similar nodes form groups: a node joins the group of its most frequent key; a
-   group beyond ``GROUP_SHINGLES`` shingles is split evenly, so every group is small.
-4. The token-group matrix has one row per shingle and group: the union of the
-   members' signatures. Shingles that two groups share bound the overlap of any
-   of their members; only pairs of groups that reach the least number any link
-   needs are opened, besides each group with itself.
-5. Opening a pair compares whole sets, exactly, by matrix products; it returns
-   each member's links and a spanning forest of them, never all pairs.
-6. Components are found by contracting the links to each node's smallest neighbour, round by round.
+   some of them in common (``least_shared``), and its min-hash values.
+3. Similar nodes form groups: nodes that share a min-hash key look at the first node that
+   has it, and join it if enough of all their min-hash values agree. A group beyond
+   ``GROUP_SHINGLES`` or ``GROUP_SETS`` is split evenly, with its first node in every part.
+4. Each group is compared with itself, exactly, and contracted: what links becomes one class.
+5. The token-group matrix has one row per shingle and group, where a group is now a class, or
+   what is left of a group: the union of the members' signatures. Shingles that two
+   groups share bound the overlap of any of their members; only pairs of groups, still apart, that reach the least
+   number any link needs are opened.
+6. Opening a pair compares whole sets, exactly, by matrix products; it returns
+   a spanning forest of the links, never all pairs.
+7. Components are found by contracting the links to each node's smallest neighbour, round by round.
 
 Copies are never expanded into pairs; skewed keys are only summed or joined with
 unique rows. Nothing about all documents reaches the driver but counts.
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
-from parlance.llm._storage import stored
+from parlance.llm._storage import drop, stored
 from parlance.llm.id_files import pieces
 
 #: Words in a shingle, and the least similarity in percent, of the query.
@@ -48,15 +50,16 @@ WORDS, PERCENT = 4, 85
 SKETCH_BITS = 23
 #: Signature shingles that a linked pair must share: five in a hundred of the set, one to ``SHARED``.
 SHARED, SHARED_PERCENT = 8, 5
-#: Min-hash keys per node.
-KEYS = 4
+#: Min-hash values per node; the first ``KEYS`` are keys, and a node joins another's group if ``ALIKE`` values agree.
+HASHES, KEYS, ALIKE = 16, 4, 6
 #: Shingles and sets in a group, about; a pair of groups is what a task opens at once.
 GROUP_SHINGLES, GROUP_SETS = 1 << 18, 1 << 11
 ROUNDS = 40
 #: Texts are cut into shingles about so many bytes at once.
 PIECE_BYTES = 1 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64)) for j in range(KEYS)]
+_SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64)) for j in range(HASHES)]
+_PAIR = "src long, dst long"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -69,7 +72,7 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     n = len(words) - size + 1
     rolled = np.zeros(max(n, 0), np.uint64)
     for k in range(size):
-        rolled = rolled * _M[0] + B.mix(words[k : k + len(rolled)] ^ _SEEDS[k % KEYS])
+        rolled = rolled * _M[0] + B.mix(words[k : k + len(rolled)] ^ _SEEDS[k % HASHES])
     rolled = B.mix(rolled)
     out = []
     for a, b in zip(upto, upto[1:]):
@@ -85,9 +88,9 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def digest(tokens: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def digest(tokens: np.ndarray) -> int:
+    """64 bits that stand for a set, as a signed number."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def shingle_sketch(docs: DataFrame, size: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -134,85 +137,99 @@ def least_shared(n: int) -> int:
 
 
 def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest, signature (uint64), keys and a number of every document, with its mark (a long) if it has one."""
+    """doc_id, n, node (stands for the set; null: no shingles), signature (uint64), keys and hashes of every document, with its mark (a long) if it has one."""
     mark = [c for c in docs.columns if c == "mark"]
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(np.log2(len(levels))))
+    names = ["doc_id", "n", "node", "signature", "keys", "hashes", *mark]
+    schema = "doc_id long, n long, node long, signature binary, keys array<long>, hashes array<int>" + "".join(f", {c} long" for c in mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
-            n, digests, signatures, keys = [], [], [], []
-            for tokens in shingle_sets(batch.column("text"), size):
-                n.append(len(tokens))
-                digests.append(digest(tokens))
-                if not len(tokens):
-                    signatures.append(b""), keys.append([])
-                    continue
-                level = shared.value[(tokens >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)
-                order = np.argsort(level | (B.mix(tokens ^ _M[3]) >> np.uint64(8)), kind="stable")
-                t = least_overlap(len(tokens), percent)
-                signatures.append(tokens[order[: len(tokens) - t + least_shared(len(tokens))]].tobytes())
-                keys.append([int((tokens[[np.argmin(level | (B.mix(tokens + seed) >> np.uint64(8)))]] ^ seed).view(np.int64)[0]) for seed in _SEEDS])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *[batch.column(c) for c in mark]], ["doc_id", "n", "digest", "signature", "keys", *mark])
-
-    described = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *mark).mapInArrow(run, "doc_id long, n long, digest binary, signature binary, keys array<long>" + "".join(f", {c} long" for c in mark))
-    return described.withColumn("row", F.monotonically_increasing_id())
+            sets = shingle_sets(batch.column("text"), size)
+            n = np.array([len(t) for t in sets], np.int64)
+            some = np.flatnonzero(n)
+            flat = np.concatenate([np.empty(0, np.uint64), *sets])
+            at = (np.cumsum(n) - n)[some]
+            order = (shared.value[(flat >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (B.mix(flat ^ _M[3]) >> np.uint64(8))
+            signatures: list[bytes] = [b""] * len(sets)
+            for i, a in zip(some.tolist(), at.tolist()):
+                k = int(n[i]) - least_overlap(int(n[i]), percent) + least_shared(int(n[i]))
+                signatures[i] = (sets[i][np.argpartition(order[a : a + n[i]], k - 1)[:k]] if k < n[i] else sets[i]).tobytes()
+            least = np.zeros((len(sets), HASHES), np.uint64)
+            for j, seed in enumerate(_SEEDS if len(some) else []):
+                least[some, j] = B.mix(np.minimum.reduceat(flat * (seed | np.uint64(1)), at) ^ seed)
+            lists = lambda x, t, k: pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * k + 1, k), pa.int32()), pa.array(x.ravel(), t))
+            keys = lists(least[:, :KEYS].copy().view(np.int64), pa.int64(), KEYS)
+            hashes = lists((least & np.uint64(0x7FFFFFFF)).astype(np.int32), pa.int32(), HASHES)
+            node = pa.array([digest(t) if len(t) else None for t in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), node, pa.array(signatures, pa.binary()), keys, hashes, *[batch.column(c) for c in mark]], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *mark).mapInArrow(run, schema)
 
 
 def make_nodes(described: DataFrame) -> DataFrame:
-    """node (the row that stands for the set), digest, doc_id (the smallest), copies, n, keys: one row per distinct set, without the empty one."""
-    some = described.where("n > 0").select("digest", "n", "keys", "row", "doc_id")
-    # Rows of equal digests have equal n and keys.
-    nodes = some.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    return stored(nodes.select(F.col("rep.row").alias("node"), "digest", F.col("rep.doc_id").alias("doc_id"), "copies", "n", "keys"), "jaccard-nodes")
+    """node, doc_id (the smallest), n, keys, hashes: one row per distinct set, without the empty one."""
+    # Rows of one node have equal n, keys and hashes.
+    some = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("hashes").alias("hashes"))
+    return stored(some, "jaccard-nodes")
+
+
+def splits(sets: str = "sets", total: str = "total") -> F.Column:
+    """Parts that so many sets with so many shingles are cut into."""
+    return F.greatest(F.ceil(F.col(total) / GROUP_SHINGLES), F.ceil(F.col(sets) / GROUP_SETS), F.lit(1))
 
 
 def assign_groups(nodes: DataFrame) -> DataFrame:
-    """node, grp: similar nodes together, no group much over GROUP_SHINGLES."""
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    ranked = stored(keyed.join(counts, "key").select("node", "key", "uses"), "jaccard-keys")
-    best = ranked.groupBy("node").agg(F.max(F.struct("uses", "key")).alias("best"))
-    # A key stands for the most frequent key that any of its nodes has, so the keys of one set of copies meet in one.
-    stands = ranked.join(best, "node").groupBy("key").agg(F.max("best")["key"].alias("root"))
-    usual = best.select("node", F.col("best.key").alias("key")).join(stands, "key").select("node", F.col("root").alias("key"))
-    placed = nodes.select("node", "n").join(usual, "node", "left")
-    sizes = placed.where("key is not null").groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
-    splits = F.coalesce(F.greatest(F.ceil(F.col("total") / GROUP_SHINGLES), F.ceil(F.col("sets") / GROUP_SETS)), F.lit(1))
-    part = F.pmod(F.xxhash64("node"), splits)
-    return placed.join(sizes, "key", "left").select("node", F.shiftrightunsigned(F.when(F.col("key").isNull(), F.xxhash64(F.lit("single"), "node")).otherwise(F.xxhash64("key", part)), 16).alias("grp"))
-
-
-def group_pairs(described: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b (a < b): groups that share enough signature shingles for a link between members.
-
-    Shingles and groups are 48 bits here, which makes the shuffled rows small;
-    shingles that meet by chance can only open a pair too many.
-    """
-    rows = described.where("n > 0").select("row", "signature").join(groups, F.col("row") == F.col("node")).select("grp", "signature")
+    """node, grp for the nodes that are in a group with others; the first node of a split group is in each of its parts."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"), "hashes")
+    firsts = keyed.groupBy("key").agg(F.min(F.struct("node", "hashes")).alias("first"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("key", "first")
+    agree = F.size(F.filter(F.zip_with("hashes", F.col("first.hashes"), lambda x, y: x == y), lambda x: x))
+    ups = keyed.join(firsts, "key").where(agree >= ALIKE).groupBy("node").agg(F.min("first.node").alias("up"))
+    ups = stored(ups, "jaccard-ups")
+    # The first node of a group may have joined an earlier one itself: two hops bring most of them together.
+    for _ in range(2):
+        ups = ups.join(ups.select(F.col("node").alias("up"), F.col("up").alias("root")), "up", "left").select("node", F.coalesce("root", "up").alias("up"))
+    placed = stored(ups.join(nodes.select("node", "n"), "node"), "jaccard-placed")
+    sizes = placed.groupBy("up").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("up", splits().alias("parts"))
+    number = lambda part: F.xxhash64("up", part)
+    dealt = placed.join(sizes, "up").select("node", number(F.pmod(F.xxhash64("node"), "parts")).alias("grp"))
+    first = sizes.where("parts > 1").select(F.col("up").alias("node"), "up", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt.unionByName(first.select("node", number(F.col("part")).alias("grp"))).distinct()
+
+
+def group_pairs(described: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b (a < b): units of classes (node, unit, n) that share enough signature shingles for a link between members."""
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends a set once, however many copies it meets
         for batch in batches:
-            raw = batch.column("signature").to_pylist()
-            tokens = (np.frombuffer(b"".join(raw), np.uint64) >> np.uint64(16)).astype(np.int64)
-            grp = np.repeat(np.asarray(batch.column("grp")), np.array([len(x) // 8 for x in raw], np.int64))
-            order = np.lexsort((grp, tokens))  # one row per shingle and group of the batch
-            tokens, grp = tokens[order], grp[order]
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (grp[1:] != grp[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[new]), pa.array(grp[new])], ["token", "grp"])
-
-    dealt = rows.mapInArrow(matrix, "token long, grp long").repartition(F.col("token"))
-    shared = dealt.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
+            nodes, rows = batch.column("node").to_pylist(), []
+            for i, x in enumerate(nodes):
+                if x not in seen:
+                    seen.add(x)
+                    rows.append(i)
+            if not rows:
+                continue
+            raw = batch.column("signature").take(pa.array(rows)).to_pylist()
+            tokens = np.frombuffer(b"".join(raw), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(np.array([nodes[i] for i in rows], np.int64), [len(x) // 8 for x in raw]))], ["token", "node"])
+
+    dealt = described.where("n > 0").select("node", "signature").mapInArrow(matrix, "token long, node long").repartition(F.col("token"))
+    several = lambda rows, by: rows.groupBy("token").agg(F.min(by).alias("low"), F.max(by).alias("high")).where("low < high").select("token")
+    met = stored(dealt.join(several(dealt, "node"), "token", "left_semi"), "jaccard-met")
+    units = stored(met.join(classes.select("node", "unit"), "node").select("token", "unit").distinct(), "jaccard-units")
     # What a link between any two members needs: shingles in common, and sizes not too far apart.
     need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(F.col("n") * SHARED_PERCENT / 100)))
-    limits = nodes.join(groups, "node").groupBy("grp").agg(F.min(need).alias("least"), F.min("n").alias("low"), F.max("n").alias("high"))
-    table = stored(dealt.join(shared, "token", "left_semi").distinct().join(limits, "grp"), "jaccard-matrix")
-    of = lambda x: table.select("token", F.col("grp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("least", "low", "high")])
+    limits = classes.groupBy("unit").agg(F.min(need).alias("least"), F.min("n").alias("low"), F.max("n").alias("high"))
+    table = stored(units.join(several(units, "unit"), "token", "left_semi").join(limits, "unit"), "jaccard-matrix")
+    of = lambda x: table.select("token", F.col("unit").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("least", "low", "high")])
     sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
     bound = of("a").join(of("b"), "token").where((F.col("a") < F.col("b")) & sizes)
     bound = bound.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("least_a", "least_b")).alias("least"))
-    return bound.where("common >= least").select("a", "b")
+    pairs = stored(bound.where("common >= least").select("a", "b"), "jaccard-bound")
+    drop(met, units, table)
+    return pairs
 
 
 def compare(tokens: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +300,7 @@ def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return [(int(nodes[x]), int(nodes[find(x)])) for x in set(i.tolist()) | set(j.tolist()) if find(x) != x]
 
 
-FILTER_BITS = 23
+FILTER_BITS = 25
 
 
 def filter_place(doc_id: F.Column) -> F.Column:
@@ -301,67 +318,77 @@ def id_filter(members: DataFrame) -> np.ndarray:
     return out
 
 
-def open_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """src, dst, links: spanning links (dst set), and for each node the documents it links with through a pair (dst null)."""
-    # The larger group of a pair meets its smaller partners in batches, so it is sent once per batch and not once per pair.
-    size_of = nodes.select("node", "n").join(groups, "node").groupBy("grp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
-    of = lambda x: size_of.select(F.col("grp").alias(x), F.struct("sets", "total", "grp").alias(f"size_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("size_a", "size_b").alias("big"), F.least("size_a", "size_b").alias("small"))
-    both = both.select(F.col("big.grp").alias("big"), F.col("small.grp").alias("small"), F.col("small.sets").alias("sets"), F.col("small.total").alias("total"))
-    batches_of = both.groupBy("big").agg(F.greatest(F.ceil(F.sum("sets") / GROUP_SETS), F.ceil(F.sum("total") / GROUP_SHINGLES)).alias("batches"))
-    both = both.join(batches_of, "big").withColumn("pair", F.xxhash64("big", F.pmod(F.xxhash64("small"), F.col("batches"))))
-    several = size_of.where("sets > 1").select("grp", F.lit(0).alias("side"), F.xxhash64("grp", F.lit(-1).cast("long")).alias("pair"))
-    wanted = both.select(F.col("big").alias("grp"), F.lit(0).alias("side"), "pair").distinct().unionByName(both.select(F.col("small").alias("grp"), F.lit(1).alias("side"), "pair")).unionByName(several)
-    wanted = stored(wanted, "jaccard-pairs")
-    members = nodes.select("node", "digest", "doc_id", "copies").join(groups, "node").join(wanted.select("grp").distinct(), "grp", "left_semi")
-    members = stored(members, "jaccard-members")
+def whole_sets(docs: DataFrame, members: DataFrame, size: int = WORDS) -> DataFrame:
+    """node, tokens of the documents that members (node, doc_id) name, and of few others; a set may come more than once."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(members))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = np.asarray(batch.column("place"))
             some = batch.filter(pa.array((bits.value[place >> 6] >> (place & 63) & 1).astype(bool)))
             for part in pieces(some, limit=PIECE_BYTES):
                 tokens = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in tokens], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["digest", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary())], ["node", "tokens"])
+
+    return docs.select(filter_place(F.col("doc_id").cast("long")).alias("place"), "text").mapInArrow(run, "node long, tokens binary")
 
-    found = docs.select(filter_place(F.col("doc_id").cast("long")).alias("place"), "text").mapInArrow(sets, "digest binary, tokens binary")
-    members = stored(found.join(members, "digest").select("node", "grp", "copies", "tokens"), "jaccard-sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+def verify(opened: DataFrame, percent: int) -> DataFrame:
+    """src, dst: spanning links of every task (pair, side, node, tokens): of its sets among each other, or between sides 0 and 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # a repeated row gives its set twice
 
-        def close() -> list[tuple]:
-            rows = list({r[1]: r for r in held}.values())  # a repeated row gives its set twice
+        def close() -> list[tuple[int, int]]:
+            rows = list(held.values())
             held.clear()
             if len(rows) < 2:
                 return []
-            ids = np.array([r[1] for r in rows])
-            i, j = compare([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[2] for r in rows]), percent)
-            if not len(i):
-                return []
-            copies = np.array([r[3] for r in rows])
-            links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-            return [(a, b, 0) for a, b in _forest(ids, i, j)] + [(int(ids[k]), None, int(links[k])) for k in np.flatnonzero(links)]
+            i, j = compare([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[1] for r in rows]), percent)
+            return _forest(np.array([r[2] for r in rows]), i, j) if len(i) else []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["src", "dst", "links"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["src", "dst"])
 
         now, made = None, []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("pair", "node", "side", "copies", "tokens")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("pair", "side", "node", "tokens")], strict=True):
                 if row[0] != now:
                     made += close()
                     now = row[0]
-                held.append(row)
+                held[row[2]] = row
             if len(made) > 10_000:
                 yield out(made)
                 made = []
         yield out(made + close())
 
-    opened = wanted.join(members, "grp").select("pair", "node", "side", "copies", "tokens")
-    opened = opened.repartition(F.col("pair")).sortWithinPartitions("pair", "side", "node")
-    return stored(opened.mapInArrow(verify, "src long, dst long, links long"), "jaccard-links")
+    dealt = opened.select("pair", "side", "node", "tokens").repartition(F.col("pair")).sortWithinPartitions("pair", "side")
+    return dealt.mapInArrow(run, _PAIR)
+
+
+def open_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """src, dst: spanning links inside each group."""
+    members = groups.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")
+    opened = whole_sets(docs, members, size).join(groups, "node").select(F.col("grp").alias("pair"), F.lit(0).alias("side"), "node", "tokens")
+    return verify(opened, percent)
+
+
+def open_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """src, dst: spanning links between the units of each pair (a, b); classes: node, doc_id, n, unit."""
+    ends = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
+    some = classes.join(ends, "unit", "left_semi")
+    parts = some.groupBy("unit").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).select("unit", splits().alias("parts"))
+    members = stored(some.join(parts, "unit").withColumn("chunk", F.xxhash64("unit", F.pmod(F.xxhash64("node"), "parts"))).select("node", "doc_id", "n", "unit", "chunk"), "jaccard-members")
+    chunks = members.groupBy("unit", "chunk").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    of = lambda x: chunks.select(F.col("unit").alias(x), F.struct("sets", "total", "chunk").alias(f"size_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("size_a", "size_b").alias("big"), F.least("size_a", "size_b").alias("small"))
+    both = both.select(F.col("big.chunk").alias("big"), F.col("small.chunk").alias("small"), F.col("small.sets").alias("sets"), F.col("small.total").alias("total"))
+    # The larger chunk of a pair meets its smaller partners in batches, so it is sent once per batch and not once per pair.
+    batches = both.groupBy("big").agg(F.sum("sets").alias("sets"), F.sum("total").alias("total")).select("big", splits().alias("batches"))
+    both = both.join(batches, "big").select("big", "small", F.xxhash64("big", F.pmod(F.xxhash64("small"), "batches")).alias("pair"))
+    wanted = both.select(F.col("big").alias("chunk"), F.lit(0).alias("side"), "pair").distinct().unionByName(both.select(F.col("small").alias("chunk"), F.lit(1).alias("side"), "pair"))
+    opened = whole_sets(docs, members, size).join(members.select("node", "chunk"), "node").join(wanted, "chunk")
+    return verify(opened, percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -377,21 +404,27 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("up")), "jaccard-nearest")
         jump = nearest.select(F.col("node").alias("up"), F.col("up").alias("far"))
         moved = stored(nearest.join(jump, "up").select("node", F.least("up", "far").alias("up")), "jaccard-moved")
+        a, b = moved.select(F.col("node").alias("src"), F.col("up").alias("a")), moved.select(F.col("node").alias("dst"), F.col("up").alias("b"))
+        left = links.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        left = stored(left, "jaccard-edges")
+        drop(links, nearest)
+        links = left
         if labels is None:
-            labels = moved.select("node", F.col("up").alias("label"))
+            labels = stored(moved.select("node", F.col("up").alias("label")), "jaccard-labels")
         else:
-            labels = stored(labels.join(moved.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "jaccard-labels")
-        a, b = moved.select(F.col("node").alias("src"), F.col("up").alias("a")), moved.select(F.col("node").alias("dst"), F.col("up").alias("b"))
-        links = links.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        links = stored(links, "jaccard-edges")
+            joined = labels.join(moved.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+            labels, old = stored(joined, "jaccard-labels"), labels
+            drop(old)
+        drop(moved)
         if not links.limit(1).count():
+            drop(links)
             return labels
     raise RuntimeError("the components did not settle")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents linked with, copies included) of every document (doc_id, text)."""
-    return labelled(docs.select("doc_id", "text"), size, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+    """doc_id, n_shingles, component_id of every document (doc_id, text)."""
+    return labelled(docs.select("doc_id", "text"), size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def text_mark(text: F.Column) -> F.Column:
@@ -415,15 +448,23 @@ def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     described = stored(describe(docs, shingle_sketch(docs, size), size, percent), "jaccard-docs")
     nodes = make_nodes(described)
     groups = stored(assign_groups(nodes), "jaccard-groups")
-    links = open_pairs(docs, nodes, groups, group_pairs(described, nodes, groups, percent), size, percent)
-    labels = components(links.where("dst is not null"))
-    counts = links.where("dst is null").groupBy("src").agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "digest", "doc_id", "copies").join(labels, "node", "left").join(counts.withColumnRenamed("src", "node"), "node", "left")
-    joined = joined.select("node", "digest", "doc_id", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labels = components(open_groups(docs, nodes, groups, size, percent))
+    # A unit of the matrix: a class, or what is left of a group, or a single node.
+    left = groups.groupBy("node").agg(F.min("grp").alias("grp"))
+    kept = nodes.select("node", "doc_id", "n").join(labels, "node", "left").join(left, "node", "left")
+    classes = stored(kept.select("node", "doc_id", "n", "label", F.when(F.col("label").isNotNull(), F.xxhash64(F.lit("class"), "label")).otherwise(F.coalesce("grp", F.xxhash64(F.lit("single"), "node"))).alias("unit")), "jaccard-classes")
+    drop(nodes, groups)
+    pairs = group_pairs(described, classes, percent)
+    between = stored(open_pairs(docs, classes, pairs, size, percent), "jaccard-between")
+    inside = classes.where("label <> node").select(F.col("node").alias("src"), F.col("label").alias("dst"))
+    final = components(inside.unionByName(between)).select("node", F.col("label").alias("last"))
+    joined = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("last", "label", "node").alias("label"))
+    joined = stored(joined, "jaccard-joined")
     smallest = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = joined.join(smallest, "label").select("digest", "label", "component_id", "n_links")
-    rows = described.select("doc_id", "n", "digest", *mark).join(classes, "digest", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "label", *mark)
+    named = stored(joined.join(smallest, "label").select("node", "label", "component_id"), "jaccard-named")
+    rows = stored(described.select("doc_id", "n", "node", *mark), "jaccard-rows")
+    drop(described, classes, pairs, between, joined)
+    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label", *mark)
 
 
 def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,15 +34,30 @@ def near_copies(seed: int) -> list[str]:
 
 
 @pytest.mark.parametrize("size, percent, seed", [(4, 85, 1), (5, 80, 2)])
-def test_components_and_links(spark, monkeypatch, size, percent, seed):
+def test_components(spark, monkeypatch, size, percent, seed):
     monkeypatch.setattr(jaccard, "SKETCH_BITS", 12)
     monkeypatch.setattr(jaccard, "GROUP_SETS", 7)  # the hot group is split
     texts = near_copies(seed)
-    want, links, n = jaccard_brute(texts, size, percent)
+    want, _, n = jaccard_brute(texts, size, percent)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r for r in jaccard.jaccard_components(docs, size, percent).collect()}
     for i in range(len(texts)):
-        assert (got[i]["component_id"], got[i]["n_links"], got[i]["n_shingles"]) == (want[i], links[i], n[i]), texts[i]
+        assert (got[i]["component_id"], got[i]["n_shingles"]) == (want[i], n[i]), texts[i]
+
+
+def test_copies_with_an_edit_share_groups(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(200):
+        own = list(words)
+        own[rng.randrange(len(own))] = f"edit{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    described = jaccard.describe(docs, jaccard.shingle_sketch(docs))
+    groups = jaccard.assign_groups(jaccard.make_nodes(described))
+    assert groups.select("grp").distinct().count() <= 3 and groups.count() >= 190
+    assert {r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == {0}
 
 
 @pytest.mark.parametrize("empty", [False, True])

@@ -432,13 +432,33 @@ def text_mark(text: F.Column) -> F.Column:
     return F.xxhash64(text.cast("string"))
 
 
-def survivors(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, mark (of its text), copies: the one row to keep of each component, of the smallest id, nulls last. Texts without words are components by id."""
+def drop_copies(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, all columns as they are: the one with the smallest id (nulls last; ties: the text's mark).
+
+    Rows are told apart by id and text, of rows equal in both one stays; texts without words are components by
+    themselves. Only rows that a bounded filter (``FILTER_BITS``) points out are
+    shuffled with their texts: those to drop, and few others.
+    """
     rows = labelled(docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark")), size, percent)
-    rows = rows.groupBy("label", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    rows = stored(rows.groupBy("label", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")), "jaccard-ids")
     own = [F.when(F.col("label").isNull(), F.col(c)).alias(f"own_{c}") for c in ("doc_id", "mark")]
     best = rows.groupBy("label", *own).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "copies")).alias("best"))
-    return best.select("best.doc_id", "best.mark", "best.copies")
+    kept = stored(best.select("best.doc_id", "best.mark", "best.copies"), "jaccard-kept")
+    sure = kept.where("copies = 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    doubt = rows.join(sure, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti")
+    place = lambda i, m: F.pmod(F.xxhash64(i, m), F.lit(1 << FILTER_BITS))
+    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
+    words = doubt.select(place("doc_id", "mark").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit("p")).alias("bits"))
+    words = stored(words, "jaccard-words")  # at most 2 ** (FILTER_BITS - 6) rows of two numbers
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    marked = docs.select(row, F.col("doc_id").cast("long").alias("id"), text_mark(F.col("text")).alias("mark"))
+    marked = marked.withColumn("p", place("id", "mark")).withColumn("word", F.shiftright("p", 6)).join(F.broadcast(words), "word", "left")
+    marked = marked.select("row", "id", "mark", F.coalesce(F.col("bits").bitwiseAND(bit("p")) != 0, F.lit(False)).alias("doubtful"))
+    clear = marked.where(~F.col("doubtful")).select("row.*")
+    some = marked.where("doubtful").join(kept.select("doc_id", F.col("mark").alias("kept_mark")), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    if kept.where("copies > 1").limit(1).count():
+        some = some.dropDuplicates(["id", "mark"])
+    return clear.unionByName(some.select("row.*"))
 
 
 def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ order, so running sums over one row per source find L directly.
 Nulls and edge cases: a null text has size 0 and is taken 0 words; a null source is
 a source of its own; repeated rows are documents of their own; ties of the key
 (equal ids) are ordered by size, and equal rows among themselves take
-their words together in any order; an empty table gives no rows. Extra columns
+their words together in any order; an empty table gives no rows. Extra columns of any name
 are kept by ``mix_sources`` unless it makes a column of that name.
 """
 
@@ -34,7 +34,6 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Rows that a range of keys should hold at most, about.
 RANGE_ROWS = 4096
-_NULL = "\U0010ffff\U0010ffff"
 
 
 def count_words(text: Column) -> Column:
@@ -64,30 +63,91 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return stepped.select("source", "source_size", F.when(F.coalesce(F.col("place") <= capped, F.lit(True)), F.col("cap")).otherwise(F.col("weight") * chosen).alias("target"))
 
 
+def _keyed(docs: DataFrame, doc_id: str, source: str, seed: str) -> list[Column]:
+    """The source as a key of its own (null: empty, others with a letter before), and the hash-random key."""
+    key = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    return [F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")).alias("src"), key.alias("key")]
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Rows (src, key, ...) with their range of keys."""
+    width = max(1, len(f"{max(rows.count() // RANGE_ROWS, 1) - 1:x}"))
+    return rows.withColumn("range", F.substring("key", 1, width))
+
+
+def _ranges(rows: DataFrame, weights, max_epochs: int) -> DataFrame:
+    """src, range, range_start, range_size, source_size, target of rows (src, range, size)."""
+    ranges = rows.groupBy("src", "range").agg(F.sum("size").alias("range_size"))
+    before = F.sum("range_size").over(W.partitionBy("src").orderBy("range")) - F.col("range_size")
+    sizes = ranges.groupBy("src").agg(F.sum("range_size").alias("source_size"))
+    targets = source_targets(sizes.select(F.when(F.col("src") != "", F.substring("src", 2, 1 << 30)).alias("source"), "source_size"), weights, max_epochs)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("src"), "source_size", "target")
+    return ranges.select("src", "range", "range_size", before.alias("range_start")).join(targets, "src")
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Adds size, source_size, target and taken (words that the mix takes) to every document.
 
     The rows without their texts are stored once and reread by the three sums.
     """
     made = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c not in (*made, text)]
-    key = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = stored(docs.select(*kept, (size if size is not None else count_words(F.col(text))).alias("size"), key.alias("_key")), "mix")
-    width = max(1, len(f"{max(rows.count() // RANGE_ROWS, 1) - 1:x}"))
-    rows = rows.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit(_NULL)), "_range": F.substring("_key", 1, width)})
-    ranges = rows.groupBy("_source", "_range").agg(F.sum("size").alias("range_size"))
-    before = F.sum("range_size").over(W.partitionBy("_source").orderBy("_range")) - F.col("range_size")
-    sizes = ranges.groupBy("_source").agg(F.sum("range_size").alias("source_size"))
-    targets = source_targets(sizes.select(F.when(F.col("_source") != _NULL, F.col("_source")).alias("source"), "source_size"), weights, max_epochs)
-    targets = targets.select(F.coalesce("source", F.lit(_NULL)).alias("_source"), "source_size", "target")
-    ranges = ranges.select("_source", "_range", before.alias("range_start")).join(targets, "_source")
-    inner = F.sum("size").over(W.partitionBy("_source", "_range").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    placed = rows.withColumn("_inner", inner).join(ranges, ["_source", "_range"])
+    kept = F.struct(*[F.col(c) for c in docs.columns if c not in (*made, text)]).alias("row")  # no name in it can clash
+    rows = _ranged(stored(docs.select(kept, *_keyed(docs, doc_id, source, seed), (size if size is not None else count_words(F.col(text))).alias("size")), "mix"))
+    inner = F.sum("size").over(W.partitionBy("src", "range").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    placed = rows.withColumn("inner", inner).join(_ranges(rows, weights, max_epochs), ["src", "range"])
     budget = F.floor(F.col("target") + 1e-6)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    over = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("_inner")
+    over = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("inner")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), over))
-    return placed.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def cut_points(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """One row per source: src, epochs (whole uses of each document), and where the next epoch is cut: at (key, size, mark),
+    of whose ``ties`` equal rows ``words`` words are taken. Only the rows of one range per source are sorted."""
+    rows = stored(docs.select(*_keyed(docs, doc_id, source, seed), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("mark")), "mix")
+    rows = _ranged(rows)
+    budget = F.floor(F.col("target") + 1e-6)
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    ranges = _ranges(rows, weights, max_epochs).withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size") - F.col("range_start"))
+    ranges = stored(ranges, "mix-ranges")
+    cut = ranges.where((F.col("left") >= 0) & (F.col("left") < F.col("range_size"))).select("src", "range", "left")
+    groups = rows.join(cut, ["src", "range"]).groupBy("src", "left", "key", "size", "mark").agg(F.count(F.lit(1)).alias("ties"))
+    words = F.col("size") * F.col("ties")
+    groups = groups.withColumn("words", F.col("left") - F.sum(words).over(W.partitionBy("src").orderBy("key", "size", "mark")) + words)
+    found = groups.where((F.col("words") >= 0) & (F.col("words") < words)).select("src", F.struct("key", "size", "mark").alias("cut"), "words", "ties")
+    return stored(ranges.select("src", "epochs").distinct().join(found, "src", "left"), "mix-cuts")
+
+
+def repeat_to_targets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The documents as often as the mix takes them: whole epochs as rows of their own, the last one cut at the budget's word.
+
+    Texts are not shuffled: they meet one row per source. Documents without words stay once. Rows equal in
+    id and text are taken one after the other; ``n_chars`` of a cut text is its own, if there is such a column.
+    """
+    cuts = cut_points(docs, doc_id, text, source, weights, max_epochs, seed)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    at = F.struct("key", "size", "mark")
+    rows = docs.select(row, *_keyed(docs, doc_id, source, seed), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("mark"))
+    rows = rows.join(cuts, "src").select("row", "size", "epochs", "words", "ties", "src", (at < F.col("cut")).alias("before"), at.eqNullSafe(F.col("cut")).alias("here"))
+    tied = F.col("here") & (F.col("ties") > 1)
+    numbered = rows.withColumn("nth", F.lit(1).cast("long"))
+    if cuts.where("ties > 1").limit(1).count():
+        nth = F.row_number().over(W.partitionBy("src").orderBy(F.lit(1))).cast("long")
+        numbered = numbered.where(~tied).unionByName(rows.where(tied).withColumn("nth", nth))
+    rest = F.when(F.col("before"), F.col("size")).when(F.col("here"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("size") * (F.col("nth") - 1)))).otherwise(0)
+    whole = F.when(F.col("size") > 0, F.col("epochs") + F.when(rest == F.col("size"), 1).otherwise(0)).otherwise(1).cast("int")
+    part = F.when((rest > 0) & (rest < F.col("size")), F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>"))
+    out = numbered.select("row", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), part)).alias("take"))
+    cut = F.when(F.col("take") < 0, F.col(f"row.{text}")).otherwise(first_words(F.col(f"row.{text}"), F.col("take")))
+    made = {text: cut} | ({"n_chars": F.when(F.col("take") < 0, F.col("row.n_chars")).otherwise(F.length(cut))} if "n_chars" in docs.columns else {})
+    return out.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The beginning of a text with its first n words, as it stands there."""
+    tokens = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(tokens, F.lit(1), n), "")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

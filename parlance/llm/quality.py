@@ -163,8 +163,8 @@ def fit(cells: np.ndarray, values: np.ndarray, rows: np.ndarray, y: np.ndarray,
     return m
 
 
-def fit_quality(sample: DataFrame, max_rows: int = 2 * PER_CLASS) -> Machine:
-    """Fits on rows (text, n_chars, label); their sparse features come to the driver (at most ``max_rows`` rows)."""
+def fit_quality(sample: DataFrame) -> Machine:
+    """Fits on a bounded sample (doc_id, text, n_chars, label), one row per id; its sparse features come to the driver."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
@@ -173,7 +173,7 @@ def fit_quality(sample: DataFrame, max_rows: int = 2 * PER_CLASS) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([cells[4 * a : 4 * b] for a, b in zip(rows, rows[1:])], pa.binary()), pa.array([values[4 * a : 4 * b] for a, b in zip(rows, rows[1:])], pa.binary())], ["doc_id", "label", "cells", "values"])
 
     got = sample.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "label").mapInArrow(features, "doc_id long, label int, cells binary, values binary")
-    parts = sorted((r["doc_id"], r["label"], bytes(r["cells"]), bytes(r["values"])) for r in got.limit(max_rows).toLocalIterator())
+    parts = sorted((r["doc_id"], r["label"], bytes(r["cells"]), bytes(r["values"])) for r in got.toLocalIterator())
     cells = np.frombuffer(b"".join(p[2] for p in parts), "<i4").astype(np.int64)
     values = np.frombuffer(b"".join(p[3] for p in parts), "<f4").astype(np.float64)
     rows = np.concatenate(([0], np.cumsum([len(p[2]) // 4 for p in parts]))).astype(np.int64)

@@ -1,5 +1,6 @@
 """Quality, toxicity, language, URL verdicts and mixing: held-out accuracy, SQL, edge rows."""
 
+import numpy as np
 import pytest
 from helpers import compare
 from helpers_llm import edge_docs
@@ -119,3 +120,21 @@ def test_edges(spark, empty):
     tagged = langid.tag_languages(docs, langid.fit_languages(docs.select("text", "lang")))
     assert tagged.count() == n and tagged.where("text is null or trim(text) = ''").where("lang_pred <> 'und' or score <> 0").count() == 0
     assert mixing.mix_sources(docs).count() == n
+
+
+def test_mix_rows_reach_targets_exactly(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{j}" for j in range(int(rng.integers(0, 9)))), ["a", "b", None, "\U0010ffff\U0010ffff"][i % 4], 1) for i in range(400)]
+    rows += [(None, "same words here", "a", 1)] * 60 + [(None, "same words here", "tied", 1)] * 7 + [(5, None, "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, range long").repartition(5)
+    per = {r["source"]: r for r in mixing.mix_sources(docs).select("source", "source_size", "target").distinct().collect()}
+    assert len(per) == 5
+    made = mixing.repeat_to_targets(docs)
+    assert made.columns == docs.columns
+    words, empty = {}, 0
+    for r in made.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+        empty += not (r["text"] or "").split()
+    for source, r in per.items():
+        assert words[source] == int(r["target"] + 1e-6), source
+    assert empty == sum(not (r[1] or "").split() for r in rows)

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs``, and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs.
 All stages but the last return the columns of the documents table.
+
+Nulls and edge cases: documents with null or repeated ids are documents of their own, told apart
+by their text; a null text has no letters, so language ID rejects it; a null source is a source of
+its own; rows equal in id and text are one group of near copies; an empty table gives no rows;
+extra columns are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import jaccard, langid, mixing, packing, quality
-from parlance.llm._storage import stored
+from parlance.llm._storage import drop, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if its main language holds at least this share of its words.
@@ -39,33 +44,14 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of 5-word-shingle Jaccard links of 0.8 or more: the one of the smallest id.
 
-    Ids may be null or repeated: rows are told apart by id and text.
+    Ids may be null or repeated: rows are told apart by id and text, and of rows equal in both one stays.
     """
-    kept = stored(jaccard.survivors(docs, size=5, percent=80), "kept")
-    repeated = kept.where("copies > 1").limit(1).count() > 0
-    rows = docs.select(*_columns(docs)).withColumn("_mark", jaccard.text_mark(F.col("text"))).withColumnRenamed("doc_id", "_id")
-    rows = rows.join(kept.select("doc_id", "mark"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_mark") == F.col("mark")), "left_semi").withColumnRenamed("_id", "doc_id")
-    return (rows.dropDuplicates(["doc_id", "_mark"]) if repeated else rows).drop("_mark")
+    return jaccard.drop_copies(docs.select(*_columns(docs)), size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents to their sources' targets: whole epochs as rows, the last one cut at the budget's word."""
-    mixed = mixing.mix_sources(docs.select("doc_id", "text", "source").withColumn("_row", F.xxhash64("text"))).select("doc_id", "_row", "size", "taken").dropDuplicates(["doc_id", "_row"])
-    rows = docs.select(*_columns(docs)).withColumn("_row", F.xxhash64("text"))
-    joined = rows.alias("d").join(mixed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._row") == F.col("m._row")))
-    whole = F.when(F.col("m.size") > 0, F.floor(F.col("m.taken") / F.col("m.size"))).otherwise(1).cast("int")
-    rest = F.when(F.col("m.size") > 0, F.col("m.taken") % F.col("m.size")).otherwise(0).cast("int")
-    epochs = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array()))
-    repeated = joined.select(*[F.col(f"d.{c}").alias(c) for c in _columns(docs)], F.explode(epochs).alias("_words"))
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))
-    cut = repeated.withColumn("text", text)
-    return (cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut).select(*_columns(docs))
-
-
-def first_words(text: F.Column, n: F.Column) -> F.Column:
-    """The beginning of a text with its first n words, as it stands there."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.array_join(F.slice(tokens, F.lit(1), n), "")
+    return mixing.repeat_to_targets(docs.select(*_columns(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,8 +74,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

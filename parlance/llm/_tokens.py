@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one Python worker remembers before it starts anew.
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 600_000
 END_ID = 0
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -196,6 +196,11 @@ class BatchTokenizer:
 _kept: dict[str, BatchTokenizer] = {}
 
 
+def release() -> None:
+    """Gives back the chunks of earlier work: a Python worker goes on to other operators' tasks, which need the memory."""
+    _kept.clear()
+
+
 def tokenizer(path: str) -> BatchTokenizer:
     """This worker's tokenizer for a vocabulary file."""
     if path not in _kept:

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import _bytes as B
 from parlance.llm._storage import drop, stored
+from parlance.llm._tokens import release
 from parlance.llm.id_files import pieces
 
 #: Words in a shingle, and the least similarity in percent, of the query.
@@ -100,6 +101,7 @@ def shingle_sketch(docs: DataFrame, size: int = WORDS, bits: int = SKETCH_BITS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        release()
         total = np.zeros(1 << bits, np.int32)
         for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             np.add.at(total, np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column("text"), size)]) >> np.uint64(64 - bits), np.int32(1))
@@ -145,6 +147,7 @@ def describe(docs: DataFrame, levels: np.ndarray, size: int = WORDS, percent: in
     schema = "doc_id long, n long, node long, signature binary, keys array<long>, hashes array<int>" + "".join(f", {c} long" for c in mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             sets = shingle_sets(batch.column("text"), size)
             n = np.array([len(t) for t in sets], np.int64)
@@ -323,6 +326,7 @@ def whole_sets(docs: DataFrame, members: DataFrame, size: int = WORDS) -> DataFr
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             place = np.asarray(batch.column("place"))
             some = batch.filter(pa.array((bits.value[place >> 6] >> (place & 63) & 1).astype(bool)))

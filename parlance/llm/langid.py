@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm import _bytes as B
+from parlance.llm._tokens import release
 from parlance.llm.id_files import pieces
 
 #: Cells of the n-gram table; word-bounded n-grams of 1 to 3 bytes are hashed to them.
@@ -98,6 +99,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """lang, cell, n over all rows (text, lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, np.ndarray] = {}
         for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             langs = batch.column("lang").to_pylist()
@@ -119,14 +121,20 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 def fit_languages(texts: DataFrame) -> LanguageModel:
     """Learns from rows (text, lang)."""
-    rows = count_grams(texts).toPandas()
-    languages = sorted(rows["lang"].unique().tolist())
+    known = texts.where("text is not null and lang is not null").select("lang").distinct()
+    languages = sorted(r["lang"] for r in known.limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
+        raise ValueError(f"over {MAX_LANGUAGES} languages, which the model is bounded to")
+
+    def fold(rows: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS, np.int64)
+        total[np.asarray(rows.column("cell"))] = np.asarray(rows.column("n"))
+        return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
     table = np.zeros((CELLS, len(languages)))
-    for i, name in enumerate(languages):
-        own = rows[rows["lang"] == name]
-        table[own["cell"].to_numpy(), i] = own["n"].to_numpy()
+    # At most CELLS rows per language meet; one row per language comes to the driver.
+    for r in count_grams(texts).groupBy("lang").applyInArrow(fold, "lang string, counts binary").toLocalIterator():
+        table[:, languages.index(r["lang"])] = np.frombuffer(r["counts"], np.int64)
     used = max(1, int((table.sum(axis=1) > 0).sum()))
     table = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * used))
     return LanguageModel(languages, table.astype(np.float32))
@@ -183,6 +191,7 @@ def tag_languages(docs: DataFrame, model: LanguageModel, text: str = "text", pen
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         languages, table = shared.value.languages, shared.value.table
         for batch in (x for b in batches for x in pieces(b, text, PIECE_BYTES)):
             texts = batch.column(batch.schema.get_field_index(text))

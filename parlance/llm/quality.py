@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from parlance.llm import _bytes as B
 from parlance.llm._labels import labelled
+from parlance.llm._tokens import release
 from parlance.llm.id_files import pieces
 from parlance.llm.langid import held_out
 
@@ -167,6 +168,7 @@ def fit_quality(sample: DataFrame) -> Machine:
     """Fits on a bounded sample (doc_id, text, n_chars, label), one row per id; its sparse features come to the driver."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (x for b in batches for x in pieces(b, limit=PIECE_BYTES)):
             cells, values, rows = featurise(batch.column("text"), batch.column("n_chars"))
             cells, values = cells.astype("<i4").tobytes(), values.astype("<f4").tobytes()
@@ -187,6 +189,7 @@ def score_quality(df: DataFrame, machine: Machine, text: str = "text", n_chars:
     shared = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in (x for b in batches for x in pieces(b, text, PIECE_BYTES)):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             cells, values, rows = featurise(get(text), get(n_chars))

@@ -4,8 +4,8 @@ Byte-level BPE first cuts a text into words and never merges across a cut, so
 the ids of a text are the ids of its chunks one after the other. A chunk here
 is a word with the single space before it: a cut before a space that is followed
 by a non-space character is always one of the tokenizer's own cuts. Each worker
-keeps the chunks it has met, so the library sees a chunk once, not once per use.
-The memory is bounded: the store starts anew beyond ``MAX_CHUNKS`` chunks.
+keeps the words it has met, so the library sees a word once, not once per use.
+The memory is bounded: the store starts anew beyond ``MAX_PIECES`` pieces.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that one Python worker remembers before it starts anew.
-MAX_CHUNKS = 600_000
+#: Pieces of chunks (words, marks) that one Python worker remembers before it starts anew.
+MAX_PIECES = 600_000
 END_ID = 0
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -27,20 +27,6 @@ _MARKS = ",.;:!?*%&$#|"
 _JOIN = 256
 
 
-class _Codes(dict):
-    """Chunk -> number; a chunk not seen before gets the next number."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        code = len(self)
-        self[chunk] = code
-        self.fresh.append(chunk)
-        return code
-
-
 class _Table:
     """Growing arrays of numbers, one row per key."""
 
@@ -76,9 +62,6 @@ class BatchTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        # Key: the chunk's text, without the space before it; "\0" marks a chunk that has none.
-        self.codes = _Codes()
-        self.chunks = _Table(2)
         # Key: a word of letters (it has a space before it), or "\1" and the text as it is.
         self.pieces: dict[str, int] = {"": 0}
         self.spans = _Table(2)
@@ -111,26 +94,37 @@ class BatchTokenizer:
                 odd += group
         self._add(odd, self._library([" " + w for w in odd]))
 
-    def _learn(self) -> None:
-        """Gets the ids of all fresh chunks."""
-        fresh, self.codes.fresh = self.codes.fresh, []
-        if not fresh:
-            return
-        first, second, known = [], [], self.pieces
-        for chunk in fresh:
-            word = chunk.rstrip(_MARKS)
-            if word.isalpha():
-                first.append(word)
-                second.append("\1" + chunk[len(word) :] if len(word) < len(chunk) else "")
-            else:
-                first.append("\1" + (chunk[1:] if chunk[:1] == "\0" else " " + chunk))
-                second.append("")
-        missing = [x for x in dict.fromkeys(first + second) if x not in known]
-        self._words([x for x in missing if x[0] != "\1"])
-        marked = [x for x in missing if x[0] == "\1"]
-        self._add(marked, self._library([x[1:] for x in marked]))
-        get = known.__getitem__
-        self.chunks.add(np.stack([np.fromiter(map(get, x), np.int64, len(x)) for x in (first, second)]))
+    def _known(self, keys: pa.Array, words: bool = False) -> np.ndarray:
+        """Pieces of many keys, all words or all other texts; fresh ones are learnt."""
+        told = keys.dictionary_encode()
+        names = told.dictionary.to_pylist()
+        got = list(map(self.pieces.get, names))
+        fresh = [x for x, piece in zip(names, got) if piece is None]
+        if fresh and words:
+            self._words(fresh)
+        elif fresh:
+            self._add(fresh, self._library([x[1:] for x in fresh]))
+        if fresh:
+            got = list(map(self.pieces.__getitem__, names))
+        return np.array(got, np.int64)[np.asarray(told.indices)] if names else np.empty(0, np.int64)
+
+    def _parts(self, chunks: pa.Array) -> np.ndarray:
+        """The two pieces of each chunk: a word of letters and the marks after it, or the whole chunk and the empty piece.
+
+        A chunk is given without the space before it; "\0" marks one that has none.
+        """
+        words = pc.utf8_rtrim(chunks, characters=_MARKS)
+        letters = pc.utf8_is_alpha(words)
+        out, plain = np.zeros((2, len(chunks)), np.int64), np.asarray(letters)
+        marked = np.asarray(pc.and_(letters, pc.not_equal(pc.binary_length(words), pc.binary_length(chunks))))
+        join = lambda *parts: pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in parts], pa.scalar("", pa.large_string()))
+        out[0, plain] = self._known(words.filter(letters), words=True)
+        if marked.any():
+            out[1, marked] = self._known(join("\1", pc.replace_substring_regex(chunks.filter(pa.array(marked)), f"^[^{_MARKS}]+", "")))
+        if not plain.all():
+            rest = chunks.filter(pa.array(~plain))
+            out[0, ~plain] = self._known(join("\1", pc.if_else(pc.starts_with(rest, "\0"), pc.utf8_slice_codeunits(rest, 1), join(" ", rest))))
+        return out
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -147,41 +141,39 @@ class BatchTokenizer:
         parts[0] = "\0" + parts[0]
         return parts
 
-    def chunk_codes(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the chunks of all texts, and how many each text has; their ids are known afterwards.
+    def cut(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts, two of each chunk, and how many chunks each text has.
 
-        Ordinary texts are cut and their chunks told apart by pyarrow; only a batch's
-        distinct chunks are looked up here. Texts with runs of white space go one by one.
+        Ordinary texts are cut and their chunks told apart by pyarrow; only a batch's distinct
+        words are looked up here. Texts with runs of white space are cut one by one.
         """
-        if len(self.codes) > MAX_CHUNKS:
+        if len(self.pieces) > MAX_PIECES:
             self._reset()
-        get = self.codes.__getitem__
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         column = pc.fill_null(column.cast(pa.large_string()), "")
         odd = np.asarray(pc.or_(pc.match_substring_regex(column, _UNSAFE_ARROW), pc.match_substring(column, "\0")))
         some = np.asarray(pc.binary_length(column)) > 0
         counts = np.zeros(len(column), np.int64)
         marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), column.filter(pa.array(~odd & some)), pa.scalar("", pa.large_string()))
-        cut = pc.split_pattern(marked, " ")
-        counts[~odd & some] = np.asarray(pc.list_value_length(cut))
-        told = cut.flatten().dictionary_encode()
-        names = told.dictionary.to_pylist()
-        codes = np.fromiter(map(get, names), np.int64, len(names))[np.asarray(told.indices)] if names else np.empty(0, np.int64)
+        chunks = pc.split_pattern(marked, " ")
+        counts[~odd & some] = np.asarray(pc.list_value_length(chunks))
+        told = chunks.flatten().dictionary_encode()
+        pieces = self._parts(told.dictionary)[:, np.asarray(told.indices)]
         if odd.any():
-            chunks = [self._chunks(x) for x in column.filter(pa.array(odd)).to_pylist()]
-            counts[odd] = [len(x) for x in chunks]
+            lists = [self._chunks(x) for x in column.filter(pa.array(odd)).to_pylist()]
+            counts[odd] = [len(x) for x in lists]
             own = np.repeat(odd, counts)
-            every = np.empty(len(own), np.int64)
-            every[~own] = codes
-            every[own] = [get(c) for x in chunks for c in x]
-            codes = every
-        self._learn()
-        return codes, counts
+            every = np.empty((2, len(own)), np.int64)
+            every[:, ~own] = pieces
+            told = pa.array([c for x in lists for c in x], pa.large_string()).dictionary_encode()
+            every[:, own] = self._parts(told.dictionary)[:, np.asarray(told.indices)]
+            pieces = every
+        return pieces, counts
 
     def encode(self, texts: pa.Array | list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and a length per text; null is an empty text. ``end`` is appended to each text."""
-        codes, counts = self.chunk_codes(texts)
-        pieces = self.chunks.rows[:, codes].T.ravel()
+        pieces, counts = self.cut(texts)
+        pieces = pieces.T.ravel()
         starts, lengths = self.spans.rows[:, pieces]
         total = np.concatenate(([0], np.cumsum(lengths)))
         upto = total[2 * np.cumsum(counts)]

@@ -41,9 +41,10 @@ def select(name: str) -> str:
     return f"select {', '.join(columns)} from {source}" + (f" where {where}" if where else "")
 
 
-def with_tables(names: str, query: str) -> str:
-    """A DuckDB query over adapters, as common table expressions."""
-    return "with recursive " + ", ".join(f"{n} as ({select(n)})" for n in names.split()) + " " + query
+def with_tables(names: str, query: str, ctes: str = "") -> str:
+    """A DuckDB query over adapters and further tables made from them, as common table expressions."""
+    made = [f"{n} as ({select(n)})" for n in names.split()] + ([ctes] if ctes else [])
+    return "with recursive " + ", ".join(made) + " " + query
 
 
 class Tables:

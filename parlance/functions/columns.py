@@ -13,7 +13,9 @@ STOPWORDS = (
     "out over own really same she should so some such than that the their them then there these they think this those "
     "through to too under until up very was we were what when where which while who whom why will with would you your"
 ).split()
+# The spoken fillers, and what tidies the marks and spaces they leave, in this order.
 FILLERS = r"(?i)\b(u+h+m+|u+m+|u+h+|erm?|hmm+)\b[,]?"
+TIDY = ((" {2,}", " "), (r"\s+([,.!?;:])", "$1"), (r"^[\s,]+", ""), (",{2,}", ","))
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 MAX_TERMS = 10
 
@@ -21,7 +23,7 @@ MAX_TERMS = 10
 def clean_speech(text: Column) -> Column:
     """Drops fillers and tidies the marks and spaces they leave."""
     out = F.regexp_replace(text, FILLERS, "")
-    for pattern, by in ((" {2,}", " "), (r"\s+([,.!?;:])", "$1"), (r"^[\s,]+", ""), (",{2,}", ",")):
+    for pattern, by in TIDY:
         out = F.regexp_replace(out, pattern, by)
     return trim_all(out)
 

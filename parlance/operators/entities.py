@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
+from parlance.sources.storage import stored
 
 
 def orphans(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -93,15 +94,21 @@ def resolve_surfaces(surfaces: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def merge_closure(entities: DataFrame, same: DataFrame, hops: int = 64) -> DataFrame:
-    """Follows verdicts (a keeps, b becomes a; the smallest a counts) to the end: id, root. Pointers jump, so hops double."""
-    first = same.groupBy("b").agg(F.min("a").alias("a"))
-    at = entities.select("id").join(first, F.col("id") == F.col("b"), "left").select("id", F.coalesce("a", "id").alias("root"))
+    """Follows verdicts (a keeps, b becomes a; the smallest a counts) to the end: id, root.
+
+    Pointers jump, so hops double. Only ids with a verdict take part, each round is stored, and rounds end when
+    nothing moves. A kept id need not be an entity itself.
+    """
+    at = stored(same.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")), "merges")
     done = 1
     while done < hops:
         step = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        at = at.join(step, "root").select("id", F.col("next").alias("root"))
+        moved = stored(at.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "merges")
+        at = moved.select("id", "root")
         done *= 2
-    return at
+        if not moved.where("moved").limit(1).count():
+            break
+    return entities.select("id").join(at, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def collision_pairs(entities: DataFrame, verdicts: DataFrame) -> DataFrame:

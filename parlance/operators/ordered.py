@@ -71,6 +71,39 @@ def comparison_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(lines, lambda x: (F.length(x) > 2) & ~F.regexp_replace(x, r"\s", "").rlike(r"^[\p{N}:.%+/\-]*$")))
 
 
+def line_pairs(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """a, b, a_copies, b_copies, common, jaccard: pairs of distinct line sets (doc_id, lines) that are alike by ``least`` or more.
+
+    A pair that is must share one of the rarest lines of both (all but so many as the rest could make up for), so
+    lines that many documents have are hardly joined on; the candidates' whole sets are then compared.
+    """
+    sets = docs.where(F.size("lines") > 0).groupBy(F.array_sort("lines").alias("lines")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    rows = sets.select("doc_id", F.size("lines").alias("n"), F.explode("lines").alias("line"))
+    used = rows.groupBy("line").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    shared = rows.join(used, "line").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "line"))).alias("rare"))
+    # Lines of one set only come first in the order; what is left of the prefix is taken from the shared ones.
+    prefix = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("rare"))
+    heads = shared.where(prefix > 0).select("doc_id", "n", F.explode(F.slice("rare", F.lit(1), prefix.cast("int"))).alias("x")).select("doc_id", "n", "x.line")
+    of = lambda x: heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), "line")
+    near = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    pairs = of("a").join(of("b"), "line").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("lines").alias(f"l{x}"), F.col("copies").alias(f"{x}_copies"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("la", "lb")).cast("long"))
+    alike = F.col("common") / (F.size("la") + F.size("lb") - F.col("common"))
+    return both.where(alike >= least).select("a", "b", "a_copies", "b_copies", "common", F.round(alike, 9).alias("jaccard"))
+
+
+def append_entries(notes: DataFrame | None, captures: DataFrame) -> DataFrame:
+    """Captures (note, stamp, text, id) in order after the entries (note, entry_no, stamp, text) that their notes have: all entries, with ``created`` for those of new notes."""
+    place = F.row_number().over(W.partitionBy("note").orderBy("stamp", "id"))
+    rows = captures.select("note", place.cast("long").alias("place"), "stamp", "text")
+    if notes is None:
+        return rows.select("note", F.col("place").alias("entry_no"), "stamp", "text", F.lit(True).alias("created"))
+    last = notes.groupBy("note").agg(F.max("entry_no").alias("last"))
+    new = rows.join(last, "note", "left").select("note", (F.col("place") + F.coalesce("last", F.lit(0))).alias("entry_no"), "stamp", "text", F.col("last").isNull().alias("created"))
+    return notes.select("note", "entry_no", "stamp", "text", F.lit(False).alias("created")).unionByName(new)
+
+
 def speaker_slots(lines: DataFrame) -> DataFrame:
     """Speakers (call, seq, speaker) in order of first appearance; one's own labels take no slot."""
     first = lines.where(~F.col("speaker").isin("you", "note")).groupBy("call", "speaker").agg(F.min("seq").alias("first"))

@@ -1,22 +1,37 @@
 """Full-text search: index, prefix and phrase matching, BM25, alias groups, fused results.
 
-Many queries run in one job: queries are rows. A passage is (path, chunk, text, ...).
+The index is a stored table of one row per token and passage, sorted by token, so a corpus is tokenised once and
+any number of searches read it. Many queries run in one job: queries are rows. A passage is (path, chunk, text, ...).
 Scores are negative, lower is better, rounded to nine places; ties go by path and chunk.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
+from parlance.sources.storage import fresh_path, stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OVERFETCH, PER_CALL, LIMIT, TOPIC_SLOTS = 4, 2, 10, 3
 #: Weights of the topic fields.
 TOPIC_WEIGHTS = {"title": 4.0, "summary": 1.0, "tags": 3.0, "participants": 0.5}
 LONGEST_PREFIX = 40
+# Short words in capitals that are no acronyms of the corpus.
+PLAIN_CAPITALS = ("ok", "am", "pm", "tv", "us", "uk", "id", "ai", "iou")
+
+
+@dataclass
+class Index:
+    """counts: token, path, chunk, tf, uses, len (tokens of the passage); stats: one row, n_docs and mean_len; path: the folder of the counts."""
+
+    counts: DataFrame
+    stats: DataFrame
+    path: str
 
 
 def postings(passages: DataFrame) -> DataFrame:
@@ -25,14 +40,30 @@ def postings(passages: DataFrame) -> DataFrame:
     return tokens.groupBy("token", "path", "chunk").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def lengths(passages: DataFrame) -> DataFrame:
-    """path, chunk, len: tokens in each passage."""
-    return passages.select("path", "chunk", F.size(C.tokens(F.col("text"))).alias("len"))
-
-
 def corpus_stats(passages: DataFrame) -> DataFrame:
     """One row: n passages, mean length in tokens."""
-    return lengths(passages).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("len") / F.count(F.lit(1))).alias("mean_len"))
+    sizes = passages.select(F.size(C.tokens(F.col("text"))).alias("len"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("len") / F.count(F.lit(1))).alias("mean_len"))
+
+
+def token_counts(passages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """token, path, chunk, tf, uses, len. ``weights``: text fields whose tokens count so much; else all tokens of ``text`` count one.
+
+    The passages are shuffled once, by path and chunk; counts and lengths follow without another shuffle.
+    """
+    fields = F.array(*[F.struct(F.lit(w).alias("w"), C.tokens(F.col(f)).alias("t")) for f, w in (weights or {"text": 1}).items()])
+    rows = passages.repartition("path", "chunk").select("path", "chunk", F.explode(fields).alias("f")).select("path", "chunk", "f.w", F.explode("f.t").alias("token"))
+    counts = rows.groupBy("path", "chunk", "token").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("uses"))
+    return counts.select("token", "path", "chunk", "tf", "uses", F.sum("uses").over(W.partitionBy("path", "chunk")).alias("len"))
+
+
+def build_index(passages: DataFrame, weights: dict[str, float] | None = None) -> Index:
+    """Tokenises the passages once and stores the index in the shared folder."""
+    spark, path = passages.sparkSession, fresh_path(passages.sparkSession, "search-index")
+    token_counts(passages, weights).sortWithinPartitions("token").write.parquet(path)
+    counts = spark.read.parquet(path)
+    n = passages.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(counts.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("total")))  # one row each
+    return Index(counts, stored(n.select("n_docs", (F.col("total") / F.col("n_docs")).alias("mean_len")), "search-stats"), path)
 
 
 def terms_of(queries: DataFrame, legacy: bool = False) -> DataFrame:
@@ -41,8 +72,9 @@ def terms_of(queries: DataFrame, legacy: bool = False) -> DataFrame:
     return rows.select("q", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def _counts(passages: DataFrame) -> DataFrame:
-    return passages.select("path", "chunk", F.explode(C.tokens(F.col("text"))).alias("token")).groupBy("token", "path", "chunk").agg(F.count(F.lit(1)).alias("tf"))
+def indexed(passages: DataFrame | Index) -> Index:
+    """The index itself, or that of passages."""
+    return passages if isinstance(passages, Index) else build_index(passages)
 
 
 def expand_prefixes(terms: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -53,28 +85,32 @@ def expand_prefixes(terms: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def term_hits(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """term, path, chunk, tf: uses of all tokens that begin with the term."""
+    """term, path, chunk, tf, len: uses of all tokens that begin with the term."""
     matches = expand_prefixes(terms, counts.select("token").distinct())
-    return counts.join(matches, "token").groupBy("term", "path", "chunk").agg(F.sum("tf").alias("tf"))
+    return counts.join(matches, "token").groupBy("term", "path", "chunk").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
 
 
-def phrase_hits(phrases: DataFrame, passages: DataFrame) -> DataFrame:
-    """phrase, path, chunk, tf: exact word sequences. Postings of the words meet where position minus place is equal."""
-    words = phrases.select("phrase", F.size(C.tokens(F.col("phrase"))).alias("n"), F.posexplode(C.tokens(F.col("phrase"))).alias("place", "token"))
-    tokens = passages.select("path", "chunk", F.posexplode(C.tokens(F.col("text"))).alias("pos", "token"))
-    starts = tokens.join(words, "token").groupBy("phrase", "n", "path", "chunk", (F.col("pos") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
-    return starts.where("met = n").groupBy("phrase", "path", "chunk").agg(F.count(F.lit(1)).alias("tf"))
+def phrase_hits(phrases: DataFrame, passages: DataFrame, index: Index | None = None) -> DataFrame:
+    """phrase, path, chunk, tf, len: exact word sequences. Only passages with a phrase's rarest word are read word by word."""
+    counts = (index or indexed(passages)).counts
+    words = phrases.select("phrase", F.explode(F.array_distinct(C.tokens(F.col("phrase")))).alias("token")).distinct()
+    used = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(used, "token", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rarest"))
+    found = counts.join(rarest.select("phrase", F.col("rarest.token").alias("token")), "token").select("phrase", "path", "chunk", "len")
+    texts = passages.select("path", "chunk", C.tokens(F.col("text")).alias("have"))
+    both = found.join(texts, ["path", "chunk"]).select("*", C.tokens(F.col("phrase")).alias("want"))
+    both = both.where(F.contains(F.array_join("have", " "), F.array_join("want", " ")))
+    starts = F.filter(F.sequence(F.lit(1), F.size("have") - F.size("want") + 1), lambda i: (F.element_at("have", i) == F.element_at("want", 1)) & (F.slice("have", i, F.size("want")) == F.col("want")))
+    return both.select("phrase", "path", "chunk", F.size(starts).cast("long").alias("tf"), "len").where("tf > 0")
 
 
-def score(hits: DataFrame, terms: DataFrame, passages: DataFrame, key: str = "term") -> DataFrame:
-    """q, path, chunk, score, matched, n_terms: BM25 over a query's terms, for hits (term, path, chunk, tf)."""
+def score(hits: DataFrame, terms: DataFrame, stats: DataFrame, key: str = "term") -> DataFrame:
+    """q, path, chunk, score, matched, n_terms: BM25 over a query's terms, for hits (term, path, chunk, tf, len) and the index's one row of stats."""
     seen = hits.groupBy(key).agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(passages)  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weights = seen.crossJoin(F.broadcast(stats)).select(key, idf.alias("idf"), "mean_len")
-    rows = hits.join(weights, key).join(lengths(passages), ["path", "chunk"])
     part = -F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = rows.select(key, "path", "chunk", part.alias("part"))
+    scored = hits.join(weights, key).select(key, "path", "chunk", part.alias("part"))
     return terms.join(scored, key).groupBy("q", "path", "chunk").agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
 
 
@@ -88,16 +124,17 @@ def ranked(hits: DataFrame, limit: int = LIMIT, per_call: int | None = PER_CALL,
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("_r")
 
 
-def search(passages: DataFrame, queries: DataFrame, mode: str = "auto", legacy: bool = False) -> DataFrame:
+def search(passages: DataFrame | Index, queries: DataFrame, mode: str = "auto", legacy: bool = False) -> DataFrame:
     """All scored hits. ``and``: every term; ``or``: any; ``auto``: any, only for queries that no passage meets whole."""
-    terms = terms_of(queries, legacy)
-    hits = score(term_hits(terms, _counts(passages)), terms, passages)
+    index, terms = indexed(passages), terms_of(queries, legacy)
+    # The hits of each term are read twice, to count and to score them.
+    hits = score(stored(term_hits(terms, index.counts), "search-hits"), terms, index.stats)
     if mode == "or":
         return hits
-    whole = hits.where("matched = n_terms")
     if mode == "and":
-        return whole
-    return whole.unionByName(hits.join(whole.select("q").distinct(), "q", "left_anti"))
+        return hits.where("matched = n_terms")
+    whole = hits.groupBy("q").agg(F.bool_or(F.col("matched") == F.col("n_terms")).alias("_whole"))
+    return hits.join(whole, "q").where((F.col("matched") == F.col("n_terms")) | ~F.col("_whole")).drop("_whole")
 
 
 def scoped_search(passages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -116,12 +153,8 @@ def leaks(hits: DataFrame, truth: DataFrame) -> DataFrame:
 def topic_search(topics: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Column-weighted BM25 over rows (path, title, summary, tags, participants as text), all terms: q, path, score, snippet."""
     weights = weights or TOPIC_WEIGHTS
-    terms = terms_of(queries)
-    fields = F.array(*[F.struct(F.lit(w).alias("w"), C.tokens(F.col(f)).alias("t")) for f, w in weights.items()])
-    tokens = topics.select("path", F.explode(fields).alias("f")).select("path", "f.w", F.explode("f.t").alias("token"))
-    counts = tokens.groupBy("token", "path").agg(F.sum("w").alias("tf")).withColumn("chunk", F.lit(0))
-    text = topics.select("path", F.lit(0).alias("chunk"), F.concat_ws(" ", *weights).alias("text"))
-    hits = score(term_hits(terms, counts), terms, text).where("matched = n_terms")
+    terms, index = terms_of(queries), build_index(topics.withColumn("chunk", F.lit(0)), weights)
+    hits = score(stored(term_hits(terms, index.counts), "topic-hits"), terms, index.stats).where("matched = n_terms")
     return hits.join(topics.select("path", F.left("summary", F.lit(160)).alias("snippet")), "path").select("q", "path", "score", "snippet")
 
 
@@ -136,36 +169,48 @@ def fuse(passages: DataFrame, topics: DataFrame, limit: int = LIMIT, slots: int
     return every.withColumn("place", place).where(F.col("place") <= limit).select("q", "path", "source", "place")
 
 
-def alias_search(passages: DataFrame, queries: DataFrame, groups: DataFrame) -> DataFrame:
+def alias_search(passages: DataFrame, queries: DataFrame, groups: DataFrame, index: Index | None = None) -> DataFrame:
     """Search in which a term that is a single-word member of an alias group (grp_no, members array) means any member; the first group counts."""
-    terms = terms_of(queries)
+    index, terms = index or indexed(passages), terms_of(queries)
     member = groups.select("grp_no", "members", F.explode("members").alias("term")).where("not contains(term, ' ')")
     first = member.groupBy("term").agg(F.min(F.struct("grp_no", "members"))["members"].alias("members"))
     forms = terms.select("term").distinct().join(first, "term", "left").select("term", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("members", F.array().cast("array<string>"))))).alias("form"))
     forms = forms.withColumn("form", F.trim(F.regexp_replace(F.translate("form", '"', " "), " +", " "))).where("form <> ''")
-    words = forms.where("not contains(form, ' ')")
-    by_word = term_hits(words.select(F.col("form").alias("term")), _counts(passages)).withColumnRenamed("term", "form")
-    by_phrase = phrase_hits(forms.where("contains(form, ' ')").select(F.col("form").alias("phrase")).distinct(), passages).withColumnRenamed("phrase", "form")
-    found = forms.join(by_word.unionByName(by_phrase.select("form", "path", "chunk", "tf")), "form")
+    by_word = term_hits(forms.where("not contains(form, ' ')").select(F.col("form").alias("term")), index.counts).withColumnRenamed("term", "form")
+    by_phrase = phrase_hits(forms.where("contains(form, ' ')").select(F.col("form").alias("phrase")).distinct(), passages, index).withColumnRenamed("phrase", "form")
+    found = stored(forms.join(by_word.unionByName(by_phrase), "form"), "alias-hits")
     # Each form scores as a phrase of its own; a term is met if any form is.
-    scored = score(found.select(F.concat_ws("\u0001", "term", "form").alias("unit"), "path", "chunk", "tf"), terms.join(forms, "term").select("q", F.concat_ws("\u0001", "term", "form").alias("unit"), "n_terms"), passages, "unit")
+    unit = F.concat_ws("\u0001", "term", "form").alias("unit")
+    scored = score(found.select(unit, "path", "chunk", "tf", "len"), terms.join(forms, "term").select("q", unit, "n_terms"), index.stats, "unit")
     met = terms.join(found.select("term", "path", "chunk").distinct(), "term").groupBy("q", "path", "chunk").agg(F.count(F.lit(1)).alias("met"))
     return scored.drop("matched").join(met, ["q", "path", "chunk"]).where("met = n_terms").select("q", "path", "chunk", "score", "n_terms")
 
 
-def snippet(text: Column, terms: Column, size: int = 14) -> Column:
-    """The first window of so many words with most distinct matched terms; matches in brackets, cuts marked.
+def snippets(rows: DataFrame, ids: list[str], size: int = 14) -> DataFrame:
+    """ids, snippet of rows (ids, text, terms): the first window of so many words with most distinct matched terms; matches in brackets, cuts marked.
 
-    Words match if they begin with a term. The text's own words are kept, white space is not.
+    Words match if they begin with a term. The text's own words are kept, white space is not. Each text is read once
+    as rows of words; a match votes for the starts of the windows that hold it.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    bare = F.transform(words, lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{M}\p{N}]+", ""))
-    hit = F.transform(bare, lambda x: F.exists(terms, lambda t: F.startswith(x, t)))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size))
-    value = F.transform(starts, lambda s: F.struct(F.size(F.filter(terms, lambda t: F.exists(F.slice(bare, s + 1, size), lambda x: F.startswith(x, t)))).alias("n"), (-s).alias("s")))
-    at = -F.array_max(value)["s"]
-    marked = F.zip_with(F.slice(words, at + 1, size), F.slice(hit, at + 1, size), lambda x, h: F.when(h, F.concat(F.lit("⟦"), x, F.lit("⟧"))).otherwise(x))
-    return F.concat(F.when(at > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(at + size < F.size(words), "…").otherwise(""))
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    cut = stored(rows.select(*ids, "terms", split.alias("words")).select(*ids, "terms", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "word")), "snippet-words")
+    bare = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{M}\p{N}]+", "")
+    words = cut.withColumn("bare", bare).select(*ids, "n", "pos", "word", F.filter("terms", lambda t: F.startswith(F.col("bare"), t)).alias("met"))
+    last = F.greatest(F.lit(0), F.col("n") - size)
+    votes = words.where(F.size("met") > 0).select(*ids, "pos", last.alias("last"), F.explode("met").alias("term"))
+    votes = votes.select(*ids, "term", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - size + 1), F.least("pos", "last"))).alias("start"))
+    tally = votes.groupBy(*ids, "start").agg(F.count_distinct("term").alias("k"))
+    best = tally.groupBy(*ids).agg(F.max(F.struct("k", (-F.col("start")).alias("s"))).alias("best")).select(*[F.col(c).alias(f"_{c}") for c in ids], (-F.col("best.s")).alias("start"))
+    same = None
+    for c in ids:
+        now = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        same = now if same is None else same & now
+    start = F.coalesce("start", F.lit(0))
+    shown = words.join(best, same, "left").where(F.col("pos").isNull() | ((F.col("pos") >= start) & (F.col("pos") < start + size)))
+    mark = F.when(F.size("met") > 0, F.concat(F.lit("⟦"), "word", F.lit("⟧"))).otherwise(F.col("word"))
+    lines = shown.groupBy(*ids).agg(F.max(start).alias("at"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", mark.alias("word")))).alias("line"))
+    text = F.concat(F.when(F.col("at") > 0, "…").otherwise(""), F.array_join(F.transform("line", lambda x: x["word"]), " "), F.when(F.col("at") + size < F.col("n"), "…").otherwise(""))
+    return lines.select(*ids, text.alias("snippet"))
 
 
 def span_count(text: Column) -> Column:
@@ -187,20 +232,42 @@ def regressions(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.where("not passed").join(old, ["fingerprint", "q"], "left_semi").select("fingerprint", "q")
 
 
-def mentions(chunks: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
-    """Dictionary mentions: known names (id, name) in chunk texts (path, start_ms, text), as word sequences with a capital."""
+def _grams(words: Column, n: int) -> Column:
+    """Runs of n words, as texts."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def mentions(chunks: DataFrame, names: DataFrame, longest: int = 4, attendees: DataFrame | None = None) -> DataFrame:
+    """Dictionary mentions: known names (id, name) in chunk texts (path, start_ms, text), as sequences of up to so many words with a capital.
+
+    Attendees (path, name) are mentions at the beginning, with or without a capital.
+    """
     words = F.filter(F.split("text", r"[^\p{L}\p{M}\p{N}'-]+"), lambda x: x != "")
-    grams = [F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice(F.col("w"), i, n), " ")) for n in range(1, longest + 1)]
-    safe = [F.when(F.size("w") >= n + 1, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(grams)]
-    rows = chunks.select("path", "start_ms", words.alias("w")).select("path", "start_ms", F.explode(F.concat(*safe)).alias("surface"))
-    rows = rows.where((F.length("surface") >= 2) & F.col("surface").rlike(r"\p{Lu}"))
-    return rows.join(names.select("id", C.norm(F.col("name")).alias("key")), F.lower("surface") == F.col("key")).groupBy("id", "path", "surface").agg(F.min("start_ms").alias("start_ms"), F.count(F.lit(1)).alias("n"))
+    rows = chunks.select("path", "start_ms", words.alias("w"))
+    rows = rows.select("path", "start_ms", F.explode(F.concat(*[_grams(F.col("w"), n) for n in range(1, longest + 1)])).alias("surface")).where(F.col("surface").rlike(r"\p{Lu}"))
+    if attendees is not None:
+        rows = rows.unionByName(attendees.select("path", F.lit(0).cast(chunks.schema["start_ms"].dataType).alias("start_ms"), C.trim_all(F.col("name")).alias("surface")))
+    keys = names.select("id", C.norm(F.col("name")).alias("key")).distinct()
+    found = rows.where(F.length("surface") >= 2).join(keys, F.lower("surface") == F.col("key"))
+    return found.groupBy("id", "path", "surface").agg(F.min("start_ms").alias("start_ms"), F.count(F.lit(1)).alias("n"))
+
+
+def glossary_hits(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """q, canonical: terms (canonical) contained in questions (q, text), in any case. Pieces of the questions of the
+    lengths that terms have meet the terms by an equi-join."""
+    keys = terms.select("canonical", F.lower("canonical").alias("piece")).where("piece <> ''")
+    sizes = keys.agg(F.collect_set(F.length("piece")).alias("sizes"))  # one row of the lengths that occur
+    rows = asked.select("q", F.lower("text").alias("hay")).crossJoin(F.broadcast(sizes)).select("q", "hay", F.explode("sizes").alias("size"))
+    starts = F.sequence(F.lit(1), F.length("hay") - F.col("size") + 1)
+    pieces = rows.where(F.length("hay") >= F.col("size")).select("q", "hay", "size", F.explode(starts).alias("at")).select("q", F.substring(F.col("hay"), F.col("at"), F.col("size")).alias("piece"))
+    return pieces.distinct().join(keys, "piece").select("q", "canonical").distinct()
 
 
 def acronyms(texts: DataFrame, known: DataFrame, least: int = 2, limit: int = 5) -> DataFrame:
     """The most frequent words of two to five capitals that are not known (word) and not blocked."""
     word = F.regexp_replace("raw", r"^\p{P}+|\p{P}+$", "")
     rows = texts.select(F.explode(F.split("text", " ")).alias("raw")).select(word.alias("word")).where(F.col("word").rlike(r"^\p{Lu}{2,5}$"))
-    rows = rows.where(~F.lower("word").isin("ok", "am", "pm", "tv", "us", "uk", "id", "ai", "iou"))
+    rows = rows.where(~F.lower("word").isin(*PLAIN_CAPITALS))
     counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return counts.join(known.select(F.lower("word").alias("k")), F.lower("word") == F.col("k"), "left_anti").orderBy(F.desc("n"), "word").limit(limit)

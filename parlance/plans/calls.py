@@ -102,10 +102,15 @@ def resolve_owners(t: Tables) -> DataFrame:
     return E.resolve_owners(t.commitments, t.registry_people)
 
 
-@query("commitments", "select owner = 'you' as is_you, owner, count(*) as n, string_agg(text, '|' order by path) as items from commitments where status = 'open' group by 1, 2")
+@query("commitments", "select owner = 'you' as is_you, owner, row_number() over (partition by owner order by path, text) as place, path, text, count(*) over (partition by owner) as n from commitments where status = 'open'")
 def commitments_by_owner(t: Tables) -> DataFrame:
-    rows = t.commitments.where("status = 'open'").groupBy((F.col("owner") == "you").alias("is_you"), "owner").agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("rows"))
-    return rows.select("is_you", "owner", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda r: r["text"]), "|").alias("items"))
+    """Open commitments in their owner's order, with the owner's number; one's own are marked. Rows, since an owner can have any number."""
+    from pyspark.sql import Window as W
+
+    rows = t.commitments.where("status = 'open'").select("owner", "path", "text")
+    counts = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("owner").orderBy("path", "text"))
+    return rows.withColumn("place", place).join(counts, "owner").select((F.col("owner") == "you").alias("is_you"), "owner", "place", "path", "text", "n")
 
 
 @query("commitments", "select path, owner, text, case when status = 'open' and row_number() over (partition by owner, text, status order by path) = 1 then 'done' else status end as status from commitments")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.adapters import Tables
 from parlance.operators import ordered as O
 from parlance.plans import search as P
-from parlance.plans.ordered import rendered
+from parlance.plans.ordered import DWELL, SCREEN_TEXTS, rendered, screen_texts
 from parlance.registry import query
 from parlance.sources import markdown as M
 from parlance.sources.storage import SnapshotTable, fresh_path
@@ -22,52 +22,51 @@ def _events(t: Tables) -> DataFrame:
 @query("", "select distinct user_id as call, event_type as track, i as line_no, 'line ' || i as line from (select user_id, event_type, unnest(range(0, event_id % 5 + 1)) as i from events)")
 def stream_lines(t: Tables) -> DataFrame:
     lines = F.transform(F.sequence(F.lit(0), (F.col("event_id") % 5).cast("int")), lambda i: F.concat(F.lit("line "), i.cast("string")))
-    return L.drain(L.unseen_lines(L.replay(_events(t).withColumn("lines", lines), "ts")))
+    return L.drain(L.unseen_lines(L.replay(_events(t).withColumn("lines", lines), "ts", "call")))
 
 
 @query("", "select user_id as call, event_type as track, arg_max('text ' || event_id, (ts, event_id)) as text from events group by 1, 2")
 def stream_partials(t: Tables) -> DataFrame:
     rows = _events(t).withColumn("text", F.concat(F.lit("text "), F.col("event_id").cast("string")))
     out = fresh_path(t.spark, "partials")
-    L.drain_batches(L.latest_partials(L.replay(rows, "ts", parts=3)), lambda b, _: b.write.mode("overwrite").parquet(out), "complete")
+    L.drain_batches(L.latest_partials(L.replay(rows, "ts", "call", parts=3)), lambda b, _: b.write.mode("overwrite").parquet(out), "complete")
     return t.spark.read.parquet(out)
 
 
 @query("")
 def stream_recall(t: Tables) -> DataFrame:
-    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), "text")
-    return L.recall(L.replay(lines, "seq", parts=2), P.passages(t))
+    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), (F.col("turn") * 15000).cast("long").alias("ms"), "text")
+    return L.recall(L.replay(lines, "seq", "call", parts=2), P.index(t))
 
 
 @query("")
 def stream_related(t: Tables) -> DataFrame:
-    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), "text")
-    return L.recall(L.replay(lines, "seq", parts=2), P.passages(t), L.RELATED_TAIL, 1, L.RELATED_WORDS, L.RELATED_K, L.RELATED_FLOOR)
+    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), (F.col("turn") * 15000).cast("long").alias("ms"), "text")
+    return L.recall(L.replay(lines, "seq", "call", parts=2), P.index(t), L.RELATED_TAIL, 1, L.RELATED_WORDS, L.RELATED_K, L.RELATED_FLOOR, L.RELATED_MS)
 
 
-@query("")
+@query("screens", "select call, event_id from f where out", ctes=DWELL)
 def stream_dwell(t: Tables) -> DataFrame:
-    return L.drain(L.settled_screens(L.replay(t.screens.withColumn("ts", F.col("ts").cast("timestamp")), "ts", parts=3)))
+    return L.drain(L.settled_screens(L.replay(t.screens.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "call", parts=3)))
 
 
-@query("")
+@query("", f"with recursive {SCREEN_TEXTS} select call::varchar as call, seq from f where kept")
 def stream_screen_dedup(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("source").alias("call"), F.col("doc_id").alias("seq"), O.comparison_lines(F.col("text")).alias("lines"))
-    return L.drain(L.kept_screens(L.replay(rows, "seq", parts=3)))
+    return L.drain(L.kept_screens(L.replay(screen_texts(t).withColumn("call", F.col("call").cast("string")), "seq", "call", parts=3)))
 
 
 @query("snapshot_old snapshot_new", "select coalesce(n.path, o.path) as path, case when n.path is not null and (o.path is null or abs(n.mtime - o.mtime) >= 0.01) then n.mtime else o.mtime end as mtime from snapshot_new n full join snapshot_old o on n.path = o.path")
 def stream_reconcile(t: Tables) -> DataFrame:
     index = SnapshotTable(t.spark, fresh_path(t.spark, "index"))
     index.publish(t.snapshot_old, 0)
-    L.reconcile_stream(L.replay(t.snapshot_new, "path", parts=2), index)
+    L.reconcile_stream(L.replay(t.snapshot_new, "path", "path", parts=2), index)
     return index.current().select("path", "mtime")
 
 
 @query("", "select user_id as note, count(*) as entries, max(ts) as updated from events group by 1")
 def stream_captures(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("user_id").alias("note"), F.col("ts").alias("stamp"), F.col("event_type").alias("text"))
-    return L.capture_stream(L.replay(rows, "stamp", parts=3))
+    return L.capture_stream(L.replay(rows, "stamp", "note", parts=3))
 
 
 @query("snapshot_old snapshot_new", "select path, mtime from snapshot_old where path not in (select path from snapshot_new) union all select path, mtime from snapshot_new")

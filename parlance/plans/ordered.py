@@ -229,22 +229,18 @@ def noise_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(O.comparison_lines(F.concat("text", F.lit("\n12:30\nab\n50% +3")))).alias("line"))
 
 
-@query("", "with l as (select distinct doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents), k as (select * from l where length(line) > 2 and not regexp_matches(regexp_replace(line, '\\s', '', 'g'), '^[\\p{N}:.%+/\\-]*$')), n as (select doc_id, count(*) c from k group by 1) select a.doc_id as a, b.doc_id as b, count(*) as common, round(count(*) / (any_value(x.c) + any_value(y.c) - count(*)), 9) as jaccard from k a join k b on a.line = b.line and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id where a.doc_id % 1 = 0 group by 1, 2 having count(*) / (any_value(x.c) + any_value(y.c) - count(*)) >= 0.5")
+@query("", "with l as (select distinct doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents), k0 as (select * from l where length(line) > 2 and not regexp_matches(regexp_replace(line, '\\s', '', 'g'), '^[\\p{N}:.%+/\\-]*$')), d as (select doc_id, string_agg(line, chr(10) order by line) as body, count(*) as c from k0 group by 1), n as (select min(doc_id) as doc_id, any_value(c) as c, count(*) as copies from d group by body), k as (select k0.* from k0 join n using (doc_id)) select a.doc_id as a, b.doc_id as b, any_value(x.copies) as a_copies, any_value(y.copies) as b_copies, count(*) as common, round(count(*) / (any_value(x.c) + any_value(y.c) - count(*)), 9) as jaccard from k a join k b on a.line = b.line and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by 1, 2 having count(*) / (any_value(x.c) + any_value(y.c) - count(*)) >= 0.5")
 def line_jaccard(t: Tables) -> DataFrame:
-    """Pairs of documents whose sets of lines are alike by half or more."""
-    lines = t.documents.select("doc_id", F.explode(O.comparison_lines(F.col("text"))).alias("line"))
-    sizes = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = lines.select(F.col("doc_id").alias("a"), "line"), lines.select(F.col("doc_id").alias("b"), "line")
-    common = a.join(b, "line").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    both = common.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    score = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return both.where(score >= 0.5).select("a", "b", "common", F.round(score, 9).alias("jaccard"))
+    """Pairs of line sets that are alike by half or more. Documents of one set are one, named by the smallest id, with its copies."""
+    return O.line_pairs(t.documents.select("doc_id", O.comparison_lines(F.col("text")).alias("lines")))
 
 
-@query("", "select user_id, min(event_id) filter (event_type = 'view') as first_view, max(ts) as updated, count(*) as entries from events group by 1")
+@query("", "with e as (select user_id as note, row_number() over (partition by user_id order by ts, event_id) as entry_no, ts as stamp, 'event ' || event_id as text from events where event_type = 'view'), n as (select user_id as note, row_number() over (partition by user_id order by ts, event_id) as k, ts as stamp, 'event ' || event_id as text from events where event_type = 'click') select note, entry_no, stamp, text, false as created from e union all select note, k + coalesce(last, 0), stamp, text, last is null from n left join (select note, max(entry_no) as last from e group by 1) using (note)")
 def capture_append(t: Tables) -> DataFrame:
-    """A workspace's rolling note: entries appended, the stamp of the newest as its update."""
-    return t.events.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("first_view"), F.max("ts").alias("updated"), F.count(F.lit(1)).alias("entries"))
+    """Captures appended to a workspace's rolling note, which is made where there is none: the entries of all notes."""
+    rows = t.events.select(F.col("user_id").alias("note"), F.col("ts").alias("stamp"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("text"), F.col("event_id").alias("id"), "event_type")
+    notes = O.append_entries(None, rows.where("event_type = 'view'")).drop("created")
+    return O.append_entries(notes, rows.where("event_type = 'click'"))
 
 
 @query("", "with m as (select user_id as call, event_id as id, epoch_us(ts) // 1000 as ts_ms, case event_type when 'view' then 'pause' when 'click' then 'resume' else 'note' end as kind from events), s as (select *, last_value(case when kind <> 'note' then kind end ignore nulls) over (partition by call order by ts_ms, id rows between unbounded preceding and 1 preceding) as was, last_value(case when kind <> 'note' then kind end ignore nulls) over (partition by call order by ts_ms, id rows unbounded preceding) as now, min(ts_ms) over (partition by call) as start from m), o as (select *, last_value(case when kind = 'pause' and coalesce(was, 'resume') <> 'pause' then ts_ms end ignore nulls) over (partition by call order by ts_ms, id rows unbounded preceding) as opened from s), p as (select *, sum(case when kind = 'resume' and was = 'pause' then ts_ms - opened else 0 end) over (partition by call order by ts_ms, id rows unbounded preceding) as paused from o) select call, id, kind, (ts_ms - start - paused - case when now = 'pause' then ts_ms - opened else 0 end)::bigint as elapsed_ms from p")
@@ -262,21 +258,63 @@ def caption_patch(t: Tables) -> DataFrame:
     return first.join(captions, ["path", "clock"], "left").where("c_id = event_id").select("path", "clock", "event_id", "caption")
 
 
-@query("segments")
+_CHUNKS = """l as (select call, start_ms::bigint as ms, track as speaker, text, row_number() over (partition by call order by seq, start_ms, track, text) as n from segments where text <> ''),
+f(call, n, chunk, start_ms, end_ms, speaker, text) as (
+  select call, n, 0, ms, ms, speaker, text from l where n = 1
+  union all
+  select l.call, l.n, f.chunk + fresh::int, case when fresh then l.ms else f.start_ms end, l.ms, case when fresh then l.speaker else f.speaker end, case when fresh then l.text else f.text || ' ' || l.text end
+  from f join l on l.call = f.call and l.n = f.n + 1, lateral (select f.speaker is distinct from l.speaker or length(f.text) >= 500 or l.ms - f.start_ms >= 45000 as fresh) x)"""
+
+
+@query("segments", f"select call, chunk as chunk_no, start_ms, end_ms, speaker, trim(text) as text from (select *, row_number() over (partition by call, chunk order by n desc) as last from f) where last = 1 and trim(text) <> ''", ctes=_CHUNKS)
 def turn_chunks(t: Tables) -> DataFrame:
     return O.turn_chunks(t.segments.select("call", "seq", F.col("start_ms").alias("ms"), F.col("track").alias("speaker"), "text"))
 
 
-@query("")
+SCREEN_TEXTS = """l as (select conv_id as call, turn as seq, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 2 and not regexp_matches(regexp_replace(x, '\\s', '', 'g'), '^[\\p{N}:.%+/\\-]*$'))) as lines from conversations),
+k as (select *, row_number() over (partition by call order by seq) as n from l where len(lines) > 0),
+f(call, n, seq, lines, kept) as (
+  select call, n, seq, lines, true from k where n = 1
+  union all
+  select k.call, k.n, k.seq, case when new then k.lines else f.lines end, new
+  from f join k on k.call = f.call and k.n = f.n + 1, lateral (select len(list_intersect(f.lines, k.lines)) / len(list_distinct(list_concat(f.lines, k.lines))) < 0.85 as new) x)"""
+
+
+def screen_texts(t: Tables) -> DataFrame:
+    """The turns of conversations as captures of a call."""
+    return t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), O.comparison_lines(F.col("text")).alias("lines"))
+
+
+@query("", f"with recursive {SCREEN_TEXTS} select call, seq from f where kept")
 def screen_dedup(t: Tables) -> DataFrame:
-    return O.screen_dedup(t.documents.select(F.col("source").alias("call"), F.col("doc_id").alias("seq"), O.comparison_lines(F.col("text")).alias("lines")))
+    return O.screen_dedup(screen_texts(t))
+
+
+_LANES = """e as (select day, path as id, start_min, (start_min + greatest(15, duration_min))::bigint as stop, row_number() over (partition by day order by start_min, path) as n, count(*) over (partition by day) as size from calls),
+f(day, n, size, id, lane, ends) as (
+  select day, n, size, id, 0, [stop] from e where n = 1
+  union all
+  select e.day, e.n, e.size, e.id, (case when free > 0 then free - 1 else len(f.ends) end)::int,
+    case when free > 0 then list_concat(list_concat(f.ends[1:free - 1], [e.stop]), f.ends[free + 1:]) else list_append(f.ends, e.stop) end
+  from f join e on e.day = f.day and e.n = f.n + 1, lateral (select coalesce(list_position(list_transform(f.ends, lambda x: x <= e.start_min), true), 0) as free) x)"""
 
 
-@query("calls")
+@query("calls", "select f.day, f.id, f.lane, len(g.ends) as lanes from f join f g on g.day = f.day and g.n = g.size", ctes=_LANES)
 def calendar_lanes(t: Tables) -> DataFrame:
     return O.calendar_lanes(t.calls.select("day", F.col("path").alias("id"), "start_min", "duration_min"))
 
 
-@query("screens")
+DWELL = """e as (select *, row_number() over (partition by call order by ts, event_id) as n from screens),
+f(call, n, event_id, out, settled, candidate, hits) as (
+  select call, n, event_id, false, null::bigint, hash, 1 from e where n = 1
+  union all
+  select e.call, e.n, e.event_id, done, case when done then cand else f.settled end, case when same or done then null else cand end, case when same or done then 0 else h end
+  from f join e on e.call = f.call and e.n = f.n + 1,
+    lateral (select coalesce(bit_count(xor(e.hash, f.settled)) <= 6, false) as same, coalesce(bit_count(xor(e.hash, f.candidate)) <= 6, false) as again) x,
+    lateral (select case when again then f.candidate else e.hash end as cand, case when again then f.hits + 1 else 1 end as h) y,
+    lateral (select not same and h >= 2 as done) z)"""
+
+
+@query("screens", "select call, event_id from f where out", ctes=DWELL)
 def screen_dwell(t: Tables) -> DataFrame:
     return O.screen_dwell(t.screens)

@@ -9,6 +9,7 @@ from parlance.adapters import Tables
 from parlance.functions import columns as C
 from parlance.operators import search as S
 from parlance.registry import query
+from parlance.sources.storage import exists, version
 
 _SPLIT = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
@@ -32,13 +33,14 @@ def _index_sql(passages: str) -> str:
     tf as (select token, path, chunk, count(*) as tf from tok group by all)"""
 
 
-_SCORE = """met as (select t.term, path, chunk, sum(tf) as tf from (select distinct term from terms) t join tf on starts_with(token, t.term) group by all),
+_SCORE = """pre as (select t.term, token from (select distinct term from terms) t join (select distinct token from tf) k on starts_with(token, t.term)),
+    met as (select term, path, chunk, sum(tf) as tf from pre join tf using (token) group by all),
     df as (select term, count(*) as df from met group by 1),
     part as (select term, path, chunk, -greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len)) as part from met join df using (term) join len using (path, chunk), st),
     hits as (select q, path, chunk, round(sum(part), 9) as score, count(*) as matched, any_value(n_terms) as n_terms from terms join part using (term) group by 1, 2, 3)"""
 _AUTO = "auto as (select * from hits where matched = n_terms union all select * from hits where q not in (select q from hits where matched = n_terms))"
 _DOCS = "p as (select doc_id as path, 0 as chunk, text from documents)"
-_GOLD = "g as (select item_id as q, left(text, 60) as query from benchmark)"
+_GOLD = "g as (select item_id as q, text as query from benchmark)"
 
 
 def _sql(*ctes: str, select: str) -> str:
@@ -64,12 +66,18 @@ def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("query"))
 
 
-def benchmark(t: Tables) -> DataFrame:
-    """Their beginnings, as the SQL has them."""
-    return t.benchmark.select(F.col("item_id").alias("q"), F.left("text", F.lit(60)).alias("query"))
+_indexes: dict[tuple, S.Index] = {}
 
 
-@query("", _sql("g as (select item_id as q, text as query from benchmark)", _queries_sql("g"), select="select q, string_agg(term, ' ' order by term) as terms, any_value(n_terms) as n_terms from terms group by 1"))
+def index(t: Tables, name: str = "documents") -> S.Index:
+    """The stored index of documents or conversations: built once per state of the table's files, read by every search."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name, version(t.spark, f"{t.sf_dir}/{name}.parquet"))
+    if key not in _indexes or not exists(t.spark, _indexes[key].path):
+        _indexes[key] = S.build_index(passages(t) if name == "documents" else turns(t))
+    return _indexes[key]
+
+
+@query("", _sql(_GOLD, _queries_sql("g"), select="select q, string_agg(term, ' ' order by term) as terms, any_value(n_terms) as n_terms from terms group by 1"))
 def query_terms(t: Tables) -> DataFrame:
     rows = S.terms_of(t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("query")))
     return rows.groupBy("q").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"), F.first("n_terms").alias("n_terms"))
@@ -87,34 +95,34 @@ def corpus_stats(t: Tables) -> DataFrame:
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, select="select term, path, tf::bigint as tf from met"))
 def prefix_match(t: Tables) -> DataFrame:
-    return S.term_hits(S.terms_of(benchmark(t)), S._counts(passages(t))).select("term", "path", "tf")
+    return S.term_hits(S.terms_of(questions(t)), index(t).counts).select("term", "path", "tf")
 
 
-@query("", f"with w as (select item_id, list_slice({_SPLIT.format('text')}, 1, 3) as l from benchmark), d as (select doc_id as path, ' ' || array_to_string({_SPLIT.format('text')}, '  ') || ' ' as s from documents) select distinct array_to_string(l, ' ') as phrase, path, (length(s) - length(replace(s, ' ' || array_to_string(l, '  ') || ' ', ''))) // length(' ' || array_to_string(l, '  ') || ' ') as tf from w join d on contains(s, ' ' || array_to_string(l, '  ') || ' ')")
+@query("", f"with w as (select distinct {_SPLIT.format('text')} as l from benchmark), d as (select doc_id as path, ' ' || array_to_string({_SPLIT.format('text')}, '  ') || ' ' as s from documents) select distinct array_to_string(l, ' ') as phrase, path, (length(s) - length(replace(s, ' ' || array_to_string(l, '  ') || ' ', ''))) // length(' ' || array_to_string(l, '  ') || ' ') as tf from w join d on contains(s, ' ' || array_to_string(l, '  ') || ' ')")
 def phrase_match(t: Tables) -> DataFrame:
-    """The first three words of every benchmark text as exact phrases."""
-    phrases = t.benchmark.select(F.array_join(F.slice(C.tokens(F.col("text")), 1, 3), " ").alias("phrase")).distinct()
-    return S.phrase_hits(phrases, passages(t)).select("phrase", "path", "tf")
+    """Every benchmark text, whole, as an exact phrase."""
+    phrases = t.benchmark.select(F.array_join(C.tokens(F.col("text")), " ").alias("phrase")).distinct()
+    return S.phrase_hits(phrases, passages(t), index(t)).select("phrase", "path", "tf")
 
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, select="select q, path, score from hits where matched = n_terms"))
 def and_search(t: Tables) -> DataFrame:
-    return S.search(passages(t), benchmark(t), "and").select("q", "path", "score")
+    return S.search(index(t), questions(t), "and").select("q", "path", "score")
 
 
 @query("", _sql("p as (select conv_id as path, turn as chunk, text from conversations)", _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, select=_ranked_sql("hits")))
 def passage_search(t: Tables) -> DataFrame:
-    return S.ranked(S.search(turns(t), benchmark(t), "or")).select("q", "path", "chunk", "score", "rank")
+    return S.ranked(S.search(index(t, "conversations"), questions(t), "or")).select("q", "path", "chunk", "score", "rank")
 
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, select=_ranked_sql("auto")))
 def search_all(t: Tables) -> DataFrame:
-    return S.ranked(S.search(passages(t), benchmark(t))).select("q", "path", "chunk", "score", "rank")
+    return S.ranked(S.search(index(t), questions(t))).select("q", "path", "chunk", "score", "rank")
 
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g", legacy=True), _index_sql("p"), _SCORE, select=_ranked_sql("hits")))
 def legacy_search(t: Tables) -> DataFrame:
-    return S.ranked(S.search(passages(t), benchmark(t), "or", legacy=True)).select("q", "path", "chunk", "score", "rank")
+    return S.ranked(S.search(index(t), questions(t), "or", legacy=True)).select("q", "path", "chunk", "score", "rank")
 
 
 def topics(t: Tables) -> DataFrame:
@@ -124,11 +132,12 @@ def topics(t: Tables) -> DataFrame:
 _TOPIC = ["topic as (select path, title, summary, concat_ws(' ', tag_lang, tag_quality) as tags, grp as participants from docs)", f"ttok as (select path, w, unnest(t) as token from (select path, 4.0 as w, {_SPLIT.format('title')} as t from topic union all select path, 1.0, {_SPLIT.format('summary')} from topic union all select path, 3.0, {_SPLIT.format('tags')} from topic union all select path, 0.5, {_SPLIT.format('participants')} from topic))", "tlen as (select path, count(*) as len from ttok group by 1)", "tst as (select (select count(*) from topic) as n_docs, (select sum(len) from tlen) / (select count(*) from topic) as mean_len)", "ttf as (select token, path, sum(w)::double as tf from ttok group by all)", "tmet as (select t.term, path, sum(tf) as tf from (select distinct term from terms) t join ttf on starts_with(token, t.term) group by all)", "tdf as (select term, count(*) as df from tmet group by 1)", "tpart as (select term, path, -greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len)) as part from tmet join tdf using (term) join tlen using (path), tst)", "thits as (select q, path, score, left(summary, 160) as snippet from (select q, path, round(sum(part), 9) as score, count(*) as matched, any_value(n_terms) as n_terms from terms join tpart using (term) group by 1, 2) join topic using (path) where matched = n_terms)"]
 
 
-def short(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("q"), F.substring_index("text", " ", 2).alias("query"))
+def titled(t: Tables) -> DataFrame:
+    """The titles of the documents whose id is divisible by 50, as queries."""
+    return t.docs.where("path % 50 = 0").select(F.col("path").alias("q"), F.col("title").alias("query"))
 
 
-_SHORT = "g as (select item_id as q, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as query from benchmark)"
+_TITLED = "g as (select path as q, title as query from docs where path % 50 = 0)"
 
 
 def _docs_cte() -> str:
@@ -137,58 +146,90 @@ def _docs_cte() -> str:
     return f"docs as ({select('docs')})"
 
 
-@query("", _sql(_docs_cte(), _SHORT, _queries_sql("g"), *_TOPIC, select="select q, path, score, snippet from thits"))
+@query("", _sql(_docs_cte(), _TITLED, _queries_sql("g"), *_TOPIC, select="select q, path, score, snippet from thits"))
 def topic_search(t: Tables) -> DataFrame:
-    return S.topic_search(topics(t), short(t))
+    return S.topic_search(topics(t), titled(t))
 
 
-@query("", _sql(_docs_cte(), _DOCS, _SHORT, _queries_sql("g"), _index_sql("p"), _SCORE, *_TOPIC, f"pass as ({_ranked_sql('(select * from hits where matched = n_terms and path % 3 <> 0)')})", "lone as (select q, path, row_number() over (partition by q order by score, path) as rank from thits where not exists (select 1 from pass x where x.q = thits.q and x.path = thits.path))", "kept as (select q, least(count(*), 3) as kept from lone group by 1)", "every as (select pass.q, path, 'passage' as source, rank, case when rank <= 10 - coalesce(kept, 0) then 0 else 2 end as stage from pass left join kept using (q) union all select q, path, 'topic', rank, 1 from lone)", select="select q, path, source, place from (select *, row_number() over (partition by q order by stage, rank) as place from every) where place <= 10"))
+@query("", _sql(_docs_cte(), _DOCS, _TITLED, _queries_sql("g"), _index_sql("p"), _SCORE, *_TOPIC, f"pass as ({_ranked_sql('(select * from hits where matched = n_terms)')})", "lone as (select q, path, row_number() over (partition by q order by score, path) as rank from thits where not exists (select 1 from pass x where x.q = thits.q and x.path = thits.path))", "kept as (select q, least(count(*), 3) as kept from lone group by 1)", "every as (select pass.q, path, 'passage' as source, rank, case when rank <= 10 - coalesce(kept, 0) then 0 else 2 end as stage from pass left join kept using (q) union all select q, path, 'topic', rank, 1 from lone)", select="select q, path, source, place from (select *, row_number() over (partition by q order by stage, rank) as place from every) where place <= 10"))
 def fused_search(t: Tables) -> DataFrame:
-    found = S.ranked(S.search(passages(t), short(t), "and").where("path % 3 <> 0"))
-    return S.fuse(found, S.topic_search(topics(t), short(t)))
-
-
-@query("", _sql(_docs_cte(), _DOCS, "t0 as (select split_part(p_name, ' ', 1) as canonical, min(split_part(p_name, ' ', 2)) as alias from part group by 1)", "g as (select row_number() over (order by canonical) as q, lower(canonical) as query, [lower(canonical), lower(alias)] as forms from t0)", "forms as (select distinct q, unnest(forms) as term from g)", "terms as (select q, term, 1 as n_terms from forms)", _index_sql("p"), _SCORE, select="select q, path, score from hits"))
+    found = S.ranked(S.search(index(t), titled(t), "and"))
+    return S.fuse(found, S.topic_search(topics(t), titled(t)))
+
+
+def _alias_sql(alias: str) -> str:
+    """Alias search: the first word of each benchmark text, in a group with an alias made of its words l."""
+    spaced = f"' ' || array_to_string({_SPLIT.format('text')}, '  ') || ' '"
+    return _sql(
+        _DOCS,
+        f"b as (select item_id, {_SPLIT.format('text')} as l from benchmark)",
+        "g as (select item_id as q, l[1] as query from b where len(l) >= 3)",
+        _queries_sql("g"),
+        _index_sql("p"),
+        f"groups as (select item_id as grp_no, [l[1], {alias}] as members from b where len(l) >= 3)",
+        "first as (select term, arg_min(members, grp_no) as members from (select grp_no, members, unnest(members) as term from groups) where not contains(term, ' ') group by 1)",
+        "forms as (select distinct term, unnest(list_prepend(term, coalesce(members, []))) as form from (select distinct term from terms) left join first using (term))",
+        "word as (select form, token from (select distinct form from forms where not contains(form, ' ')) join (select distinct token from tf) on starts_with(token, form))",
+        "wm as (select form, path, chunk, sum(tf)::bigint as tf from word join tf using (token) group by all)",
+        f"s as (select path, chunk, {spaced} as s from p)",
+        "want as (select distinct form, ' ' || replace(form, ' ', '  ') || ' ' as f from forms where contains(form, ' '))",
+        "pm as (select form, path, chunk, (length(s) - length(replace(s, f, ''))) // length(f) as tf from want join s on contains(s, f))",
+        "fm as (select term, form, path, chunk, tf from forms join (select * from wm union all select * from pm) using (form))",
+        "df as (select term, form, count(*) as df from fm group by all)",
+        "part as (select term, form, path, chunk, -greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len)) as part from fm join df using (term, form) join len using (path, chunk), st)",
+        select="select q, path, round(sum(part), 9) as score from terms join part using (term) group by 1, 2",
+    )
+
+
+def _aliased(t: Tables, alias) -> DataFrame:
+    rows = t.benchmark.select("item_id", C.tokens(F.col("text")).alias("l")).where("size(l) >= 3")
+    groups = rows.select(F.col("item_id").alias("grp_no"), F.array(F.element_at("l", 1), alias).alias("members"))
+    return S.alias_search(passages(t), rows.select(F.col("item_id").alias("q"), F.element_at("l", 1).alias("query")), groups, index(t)).select("q", "path", "score")
+
+
+@query("", _alias_sql("l[2]"))
 def alias_search(t: Tables) -> DataFrame:
-    """Every term of the vocabulary, each also as its alias."""
-    from pyspark.sql import Window as W
-
-    rows = t.terms.select(F.row_number().over(W.orderBy("canonical")).alias("q"), F.lower("canonical").alias("query"), F.lower("alias").alias("alias"))
-    first = rows.select(F.col("q").alias("grp_no"), F.array("query", "alias").alias("members"), "query")
-    # A term that is a member of several groups takes the first; here each query is looked up in its own group.
-    own = first.withColumn("members", F.array("query", F.element_at("members", 2)))
-    units = own.select(F.col("grp_no").alias("q"), F.explode(F.array_distinct("members")).alias("term"), F.lit(1).alias("n_terms"))
-    return S.score(S.term_hits(units, S._counts(passages(t))), units, passages(t)).select("q", "path", "score")
+    """The first words of the benchmark texts, each also as the word after it."""
+    return _aliased(t, F.element_at("l", 2))
 
 
-@query("", name="alias_groups_search")
+@query("", _alias_sql("l[-2] || ' ' || l[-1]"), name="alias_groups_search")
 def alias_groups_search(t: Tables) -> DataFrame:
-    """The same through alias groups, where the first group that has a term counts."""
-    from pyspark.sql import Window as W
+    """The same, each also as a phrase: the last two words of its text."""
+    return _aliased(t, F.concat_ws(" ", F.element_at("l", -2), F.element_at("l", -1)))
 
-    rows = t.terms.select(F.row_number().over(W.orderBy("canonical")).alias("grp_no"), F.lower("canonical").alias("query"), F.lower("alias").alias("alias"))
-    groups = rows.select("grp_no", F.array(F.col("query"), F.concat("query", F.lit(" "), "alias"), F.col("alias")).alias("members"))
-    return S.alias_search(passages(t), rows.select(F.col("grp_no").alias("q"), "query"), groups).select("q", "path", "score")
 
+_SNIPPETS = [
+    f"r as ({_ranked_sql('auto', 5)})",
+    "sw as (select q, path, rank, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as ws from r join documents on doc_id = path)",
+    "w as (select q, path, rank, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from sw)",
+    "m as (select w.*, term from w join terms using (q) where starts_with(regexp_replace(lower(word), '^[^\\p{L}\\p{M}\\p{N}]+', ''), term))",
+    "v as (select distinct q, path, rank, term, unnest(range(greatest(0, pos - 13), least(pos, greatest(0, n - 14)) + 1)) as s from m)",
+    "k as (select q, path, rank, s, count(*) as k from v group by all)",
+    "best as (select q, path, rank, s from (select *, row_number() over (partition by q, path, rank order by k desc, s) as o from k) where o = 1)",
+    "hit as (select distinct q, path, rank, pos from m)",
+    "line as (select w.q, w.path, w.rank, any_value(n) as n, max(coalesce(s, 0)) as first, string_agg(case when hit.pos is null then word else '⟦' || word || '⟧' end, ' ' order by w.pos) as line from w left join best on best.q = w.q and best.path = w.path and best.rank = w.rank left join hit on hit.q = w.q and hit.path = w.path and hit.rank = w.rank and hit.pos = w.pos where w.pos >= coalesce(s, 0) and w.pos < coalesce(s, 0) + 14 group by 1, 2, 3)",
+    "snip as (select q, path, rank, case when first > 0 then '…' else '' end || line || case when first + 14 < n then '…' else '' end as snippet from line)",
+]
 
-@query("")
+
+@query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, *_SNIPPETS, select="select q, path, rank, snippet from snip"))
 def snippets(t: Tables) -> DataFrame:
-    found = S.ranked(S.search(passages(t), questions(t)), limit=5)
+    found = S.ranked(S.search(index(t), questions(t)), limit=5).select("q", "path", "rank")
     texts = found.join(t.documents.select(F.col("doc_id").alias("path"), "text"), "path").join(questions(t), "q")
-    return texts.select("q", "path", "rank", S.snippet(F.col("text"), C.query_terms(F.col("query"))).alias("snippet"))
+    return S.snippets(texts.select("q", "path", "rank", "text", C.query_terms(F.col("query")).alias("terms")), ["q", "path", "rank"])
 
 
-@query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, select=f"select q, path, rank, len(regexp_extract_all(s, '⟦')) as spans from (select q, path, rank, repeat('⟦', (rank % 4)::int) || 'x' as s from ({_ranked_sql('auto', 5)}))"))
+@query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, *_SNIPPETS, select="select q, path, rank, len(regexp_extract_all(snippet, '⟦')) as spans from snip"))
 def span_count(t: Tables) -> DataFrame:
-    found = S.ranked(S.search(passages(t), benchmark(t)), limit=5)
-    return found.select("q", "path", "rank", S.span_count(F.concat(F.expr("repeat('⟦', cast(rank % 4 as int))"), F.lit("x"))).alias("spans"))
+    return snippets(t).select("q", "path", "rank", S.span_count(F.col("snippet")).alias("spans"))
 
 
-@query("", _sql(_docs_cte(), _DOCS, "g as (select path as q, title || ' ' || concat_ws(' ', tag_lang, tag_quality) as query from docs where path % 20 = 0)", _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, select="select q, path, score, rank from (" + _ranked_sql("(select * from auto where q <> path and score <= -0.5)", 4, per_call=False) + ")"))
+@query("", _sql(_docs_cte(), _DOCS, "g as (select path as q, title || ' ' || concat_ws(' ', tag_lang, tag_quality) as query from docs where path % 50 = 0)", _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, select="select q, path, score, rank from (" + _ranked_sql("(select * from auto where q <> path and score <= -0.5)", 4, per_call=False) + ")"))
 def related_items(t: Tables) -> DataFrame:
-    """For every twentieth document (a set of questions) its four nearest others by title and tags."""
-    asked = t.docs.where("path % 20 = 0").select(F.col("path").alias("q"), F.concat_ws(" ", "title", F.concat_ws(" ", "tag_lang", "tag_quality")).alias("query"))
-    hits = S.search(passages(t), asked).where("q <> path and score <= -0.5")
+    """For the documents whose id is divisible by 50 (a set of questions) their four nearest others by title and tags."""
+    asked = t.docs.where("path % 50 = 0").select(F.col("path").alias("q"), F.concat_ws(" ", "title", F.concat_ws(" ", "tag_lang", "tag_quality")).alias("query"))
+    hits = S.search(index(t), asked).where("q <> path and score <= -0.5")
     return S.ranked(hits, 4, per_call=None).select("q", "path", "score", "rank")
 
 
@@ -200,14 +241,14 @@ def recent_neighbours(t: Tables) -> DataFrame:
     recent = first_by(t.docs.select("path", "grp", "title"), ["grp"], [F.desc("path")], 6)
     asked = recent.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("path", "title")), asc=False).alias("rows"))
     asked = asked.select(F.col("grp").alias("q"), F.array_join(F.transform("rows", lambda r: r["title"]), " ").alias("query"))
-    hits = S.search(passages(t), asked).where("score <= -0.5").join(recent.select(F.col("grp").alias("q"), "path"), ["q", "path"], "left_anti")
+    hits = S.search(index(t), asked).where("score <= -0.5").join(recent.select(F.col("grp").alias("q"), "path"), ["q", "path"], "left_anti")
     return S.ranked(hits, 6, per_call=None).select("q", "path", "chunk", "score", "rank")
 
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, f"r as ({_ranked_sql('auto', 8)})", select="select q, count(*) as used, sum(least(length(text), greatest(400, 8000 // n)))::bigint as chars from (select q, text, count(*) over (partition by q) as n from r join documents d on d.doc_id = r.path) group by 1"))
 def answer_contexts(t: Tables) -> DataFrame:
     """The eight best documents of each question, cut to their budget."""
-    found = S.ranked(S.search(passages(t), benchmark(t)), limit=8).join(t.documents.select(F.col("doc_id").alias("path"), "text"), "path")
+    found = S.ranked(S.search(index(t), questions(t)), limit=8).join(t.documents.select(F.col("doc_id").alias("path"), "text"), "path")
     rows = found.groupBy("q").agg(F.count(F.lit(1)).alias("used"), F.collect_list(F.length("text")).alias("sizes"))
     budget = F.greatest(F.lit(400), F.floor(F.lit(8000) / F.col("used")))
     return rows.select("q", "used", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.least(x.cast("long"), budget)).alias("chars"))
@@ -218,20 +259,21 @@ def glossary_terms(t: Tables) -> DataFrame:
     """Terms contained in a question's text, six at most. The vocabulary is one row per first word of the parts' names."""
     from parlance.operators.rollups import first_by
 
-    asked = t.benchmark.select(F.col("item_id").alias("q"), F.lower(F.expr("text || ' ' || case when item_id % 2 = 0 then 'blue STEEL ' else '' end")).alias("hay"))
-    hits = asked.join(t.terms.select("canonical"), F.contains(F.col("hay"), F.lower("canonical"))).select("q", "canonical")
-    return first_by(hits, ["q"], ["canonical"], 6)
+    asked = t.benchmark.select(F.col("item_id").alias("q"), F.expr("text || ' ' || case when item_id % 2 = 0 then 'blue STEEL ' else '' end").alias("text"))
+    return first_by(S.glossary_hits(asked, t.terms.select("canonical")), ["q"], ["canonical"], 6)
 
 
-@query("", "with w as (select doc_id as path, unnest(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{M}\\p{N}''-]+'), lambda x: x <> '')) as surface from documents), k as (select row_number() over (order by name) as id, name from (select distinct split_part(text, ' ', 1) as name from benchmark)) select id, path, surface, count(*) as n from w join k on lower(surface) = lower(name) where length(surface) >= 2 and regexp_matches(surface, '\\p{Lu}') group by 1, 2, 3")
-def dictionary_mentions(t: Tables) -> DataFrame:
-    """The first words of the benchmark texts as a dictionary."""
-    from pyspark.sql import Window as W
+_RUNS = "list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{M}\\p{N}''-]+'), lambda x: x <> '')"
 
-    names = t.benchmark.select(F.substring_index("text", " ", 1).alias("name")).distinct()
-    names = names.select(F.row_number().over(W.orderBy("name")).alias("id"), "name")
+
+@query("", f"with d as (select doc_id as path, {_RUNS} as l from documents), k as (select distinct lower(name) as id from (select array_to_string(list_slice({_RUNS}, 1, 1 + item_id % 4), ' ') as name from benchmark union all select source from documents where source is not null)), w as (select path, unnest(l) as w1, generate_subscripts(l, 1) as pos from d), x as (select path, w1, lead(w1, 1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4 from w window p as (partition by path order by pos)), g as (select path, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4]) as surface from x), s as (select path, surface from g where regexp_matches(surface, '\\p{{Lu}}') union all select doc_id, source from documents where source is not null) select id, path, surface, count(*) as n from s join k on lower(surface) = id where length(surface) >= 2 group by 1, 2, 3")
+def dictionary_mentions(t: Tables) -> DataFrame:
+    """The beginnings of the benchmark texts, one to four words, as a dictionary; sources are the documents' attendees."""
+    run = F.filter(F.split("text", r"[^\p{L}\p{M}\p{N}'-]+"), lambda x: x != "")
+    attendees = t.documents.where("source is not null").select(F.col("doc_id").alias("path"), F.col("source").alias("name"))
+    names = t.benchmark.select(F.array_join(F.slice(run, F.lit(1), (1 + F.col("item_id") % 4).cast("int")), " ").alias("name")).unionByName(attendees.select("name").distinct())
     chunks = t.documents.select(F.col("doc_id").alias("path"), F.lit(0).alias("start_ms"), "text")
-    return S.mentions(chunks, names, 1).select("id", "path", "surface", "n")
+    return S.mentions(chunks, names.select(C.norm(F.col("name")).alias("id"), "name"), attendees=attendees).select("id", "path", "surface", "n")
 
 
 @query("", "with w as (select regexp_replace(unnest(string_split(text, ' ')), '^\\p{P}+|\\p{P}+$', '', 'g') as word from documents) select word, count(*) as n from w where regexp_matches(word, '^\\p{Lu}{2,5}$') and lower(word) not in ('ok', 'am', 'pm', 'tv', 'us', 'uk', 'id', 'ai', 'iou', 'the') group by 1 having count(*) >= 2 order by n desc, word limit 5")
@@ -240,14 +282,14 @@ def acronym_candidates(t: Tables) -> DataFrame:
     return S.acronyms(t.documents.select("text"), known)
 
 
-@query("", "select item_id as id, left(text, 60) as query, (select string_agg(doc_id, ',' order by doc_id) from documents where contains(text, left(b.text, 60))) as expect from benchmark b")
+@query("", "select item_id as id, text as query, (select string_agg(doc_id, ',' order by doc_id) from documents where contains(text, b.text)) as expect from benchmark b")
 def gold_cases(t: Tables) -> DataFrame:
-    """Questions with the documents that hold the benchmark text's beginning.
+    """Questions with the documents that hold the benchmark text.
 
     Candidates share its longest word that has other characters on both sides, which stands whole in
-    both; beginnings without such a word are compared with every document.
+    both; texts without such a word are compared with every document.
     """
-    gold = t.benchmark.select(F.col("item_id").alias("id"), F.left("text", F.lit(60)).alias("query"))
+    gold = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("query"))
     split = lambda c: F.split(c, r"[^\p{L}\p{M}\p{N}]+")
     inner = F.slice(split("query"), F.lit(2), F.greatest(F.size(split("query")) - 2, F.lit(0)))
     keyed = gold.select("id", "query", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"].alias("word"))
@@ -265,20 +307,20 @@ def _gold(t: Tables) -> DataFrame:
     return rows.select(F.col("id").alias("q"), "query", F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("slice"), F.transform(F.split("expect", ","), lambda x: x.cast("long")).alias("expect"))
 
 
-_WANT = "want as (select item_id as q, doc_id as path from benchmark b join documents d on contains(d.text, left(b.text, 60)))"
+_WANT = "want as (select item_id as q, doc_id as path from benchmark b join documents d on contains(d.text, b.text))"
 _BEST = f"best as (select w.q, min(rank) as rank from want w left join ({_ranked_sql('auto')}) r on r.q = w.q and r.path = w.path group by 1)"
 
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, _WANT, _BEST, select="select 's' || (q % 2) as slice, count(*) as cases, round(avg(case when rank = 1 then 1.0 else 0.0 end), 9) as recall_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 9) as recall_k, round(avg(coalesce(1.0 / rank, 0)), 9) as mrr from best group by 1"))
 def eval_metrics(t: Tables) -> DataFrame:
     gold = _gold(t)
-    return S.evaluate(S.ranked(S.search(passages(t), benchmark(t))), gold)
+    return S.evaluate(S.ranked(S.search(index(t), questions(t))), gold)
 
 
 @query("", _sql(_DOCS, _GOLD, _queries_sql("g"), _index_sql("p"), _SCORE, _AUTO, _WANT, _BEST, select="select 'docs' as fingerprint, q from best where coalesce(rank, 99) > 1 and q % 2 = 0"))
 def eval_regressions(t: Tables) -> DataFrame:
     gold = _gold(t)
-    hits = S.ranked(S.search(passages(t), benchmark(t)))
+    hits = S.ranked(S.search(index(t), questions(t)))
     best = gold.select("q", F.explode("expect").alias("path")).join(hits.select("q", "path", "rank"), ["q", "path"], "left").groupBy("q").agg(F.min("rank").alias("rank"))
     now = best.select(F.lit("docs").alias("fingerprint"), "q", (F.coalesce("rank", F.lit(99)) == 1).alias("passed"))
     before = now.select("fingerprint", "q", (F.col("q") % 2 == 0).alias("passed"))

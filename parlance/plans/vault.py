@@ -119,9 +119,9 @@ def normalized_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", C.norm(F.concat(F.lit("  "), "p_name", F.lit("\n"))).alias("name"))
 
 
-@query("", "select page_id, regexp_replace(replace(regexp_replace(left(html, 200), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\"', ''''), '^\\s+|\\s+$', '', 'g') as title from pages")
+@query("", "select page_id, regexp_replace(replace(regexp_replace(html, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\"', ''''), '^\\s+|\\s+$', '', 'g') as title from pages")
 def sanitize_titles(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", C.sanitize_scalar(F.left("html", F.lit(200))).alias("title"))
+    return t.pages.select("page_id", C.sanitize_scalar(F.col("html")).alias("title"))
 
 
 @query("", "select doc_id, md5(text) as h, length(text) as n from documents")

@@ -106,10 +106,21 @@ def test_alias_groups_and_phrases(spark):
 
 def test_snippets_mark_the_first_best_window(spark):
     text = " ".join(["zero"] * 20 + ["budget", "then", "Review,"] + ["zero"] * 20)
-    got = one(spark, S.snippet(F.lit(text), F.array(F.lit("budget"), F.lit("review"))))
+    rows = spark.createDataFrame([(1, text, ["budget", "review"]), (2, "only plain words", ["budget"]), (3, "", ["budget"]), (None, "budget", ["bud"])], "id long, text string, terms array<string>")
+    found = {r["id"]: r["snippet"] for r in S.snippets(rows, ["id"]).collect()}
+    assert (found[2], found[3], found[None]) == ("only plain words", "", "⟦budget⟧")
+    got = found[1]
     assert got.startswith("…") and got.endswith("…") and "⟦budget⟧ then ⟦Review,⟧" in got and one(spark, S.span_count(F.lit(got))) == 2
 
 
+def test_mentions_of_several_words(spark):
+    chunks = spark.createDataFrame([(1, 500, "Today Ada Lovelace King met Delta. ada lovelace left, Delta"), (2, 900, "nothing")], "path long, start_ms int, text string")
+    names = spark.createDataFrame([("a", "Ada Lovelace"), ("k", "ada lovelace king"), ("d", "Delta"), ("z", "zoe")], "id string, name string")
+    attendees = spark.createDataFrame([(2, " zoe ")], "path long, name string")
+    got = {(r["id"], r["path"], r["surface"], r["start_ms"], r["n"]) for r in S.mentions(chunks, names, attendees=attendees).collect()}
+    assert got == {("a", 1, "Ada Lovelace", 500, 1), ("k", 1, "Ada Lovelace King", 500, 1), ("d", 1, "Delta", 500, 2), ("z", 2, "zoe", 0, 1)}
+
+
 def test_and_before_or(spark):
     passages = spark.createDataFrame([(1, 0, "alpha beta"), (2, 0, "alpha"), (3, 0, "gamma")], "path long, chunk int, text string")
     queries = spark.createDataFrame([("both", "alpha beta"), ("one", "gamma delta")], "q string, query string")
@@ -150,6 +161,12 @@ def test_an_unreadable_source_removes_nothing(spark):
     assert change(D.reconcile(a, b, ["/away"])) == {1: "unchanged", 2: "kept"}
 
 
+def test_merges_keep_entities_whose_root_is_none(spark):
+    entities = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
+    same = spark.createDataFrame([(99, 2), (2, 3), (3, 4)], "a long, b long")
+    assert {(r["id"], r["root"]) for r in E.merge_closure(entities, same).collect()} == {(1, 1), (2, 99), (3, 99), (4, 99)}
+
+
 def test_collisions_need_a_strict_subset_of_words(spark):
     rows = [(1, "Ann", "person", "g"), (2, "Ann Lee", "person", "g"), (3, "Ann Lee", "org", "g"), (4, "ann", "person", "g"), (5, "Ann Poe", "person", "h")]
     df = spark.createDataFrame(rows, "id int, name string, kind string, grp string")
@@ -214,3 +231,22 @@ def test_leaks_are_counted(spark, tmp_path):
     hits = S.scoped_search(passages, spark.createDataFrame([(1, "budget", "a"), (1, "budget", "b")], "q long, query string, scope string"))
     truth = spark.createDataFrame([(1, "a"), (2, "b")], "path long, grp string")
     assert [(r["scope"], r["leaks"]) for r in S.leaks(hits, truth).collect()] == [("a", 1)]
+
+
+def test_recall_asks_once_a_tick_and_only_what_is_new(spark):
+    from parlance.streaming import live as L
+
+    rng = random.Random(8)
+    rows = [(c, i, i * 7000, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(0, 30)))) for c in range(5) for i in range(12)]
+    lines = spark.createDataFrame(rows, "call long, seq long, ms long, text string")
+    want = set()
+    for c in range(5):
+        text, asked, tick = "", "", -1
+        for _, i, ms, t in sorted(r for r in rows if r[0] == c):
+            text = (text + " " + t).strip()
+            cut = text if len(text) <= 100 else text[-100:].split(" ", 1)[1].lstrip()
+            if ms // 20_000 > tick and len(cut) >= 30 and cut != asked:
+                want.add((c, i, cut))
+                asked, tick = cut, ms // 20_000
+    got = {(r["call"], r["seq"], r["query"]) for r in L.drain(L.tails(L.replay(lines, "seq", "call", parts=2), 100, lambda t: len(t) >= 30, 20_000)).collect()}
+    assert got == want and len({(c, i * 7000 // 20_000) for c, i, _ in got}) == len(got)

@@ -512,8 +512,8 @@ MEDIA_FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, me
 
 
 def media_features(df: DataFrame, media: str = "media", tail: int = 16) -> DataFrame:
-    """Reads the streams back and replaces them by digests and features of their samples."""
-    names = [c for c in df.columns if c != media]
+    """Reads the streams back and replaces them by digests and features of their samples; columns of those names are replaced too."""
+    names = [c for c in df.columns if c != media and c not in [x.split()[0] for x in MEDIA_FEATURES.split(", ")]]
     schema = T.StructType([*[df.schema[c] for c in names], *T.StructType.fromDDL(MEDIA_FEATURES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

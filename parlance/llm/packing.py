@@ -191,7 +191,9 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, keep: tuple[str, ...] = (), end: int = END_ID) -> DataFrame:
-    """keep..., doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit) of every piece."""
+    """keep..., doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit) of every piece. Columns of these names, or of the staged ones, can't be kept."""
+    if clash := {"doc_id", "text", "n_ids", "signature", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"} & set(keep):
+        raise ValueError(f"columns that packing makes itself: {sorted(clash)}")
     spark = docs.sparkSession
     staged = stored(stage(docs, vocabulary, keep, end), "pack-staged")
     totals = staged.agg(F.count(F.lit(1)).alias("n"), F.sum("n_ids").alias("ids")).first()

@@ -25,9 +25,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Terms of which one is enough.
-STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "pornhub", "spam", "viagra", "warez", "xxx")
-#: Terms that count together: term and weight.
-SOFT = {"ads": 1.0, "bet": 1.0, "bets": 1.0, "bonus": 0.5, "cheap": 0.5, "click": 0.5, "crack": 1.0, "crypto": 0.5, "dating": 1.0, "discount": 0.5, "farm": 0.5, "free": 0.5, "jackpot": 1.0, "loan": 1.0, "pills": 1.0, "poker": 1.0, "prize": 0.5, "sexy": 1.0, "slots": 1.0, "torrent": 1.0, "track": 0.5, "win": 0.5}
+STRICT = tuple((
+    "adult bangbros bdsm bukkake camgirl camgirls camsex casino casinos cialis cuckold deepfake escort escorts fetish "
+    "freeporn hardcore hentai hookup hookups keygen keylogger levitra livesex malware milf milfs nude nudes nudity "
+    "onlinecasino orgy phish phishing porn porno pornhub pornstar ransomware redtube serialz sexcam sexcams "
+    "sexchat sexshop shemale spam spyware stripper strippers striptease trojan upskirt viagra voyeur warez xhamster xnxx "
+    "xrated xvideos xxx youporn"
+).split())
+#: Terms that count together, a half or one each: term and weight.
+SOFT = dict.fromkeys((
+    "airdrop bargain bonus buy cash cheap click clickbait coupon crypto deal deals discount download earn farm forex free "
+    "giveaway hot income lottery lucky money offer offers payday popup prize promo refund replica reward rewards sale "
+    "sponsored survey track tracker trial vip weightloss win winner"
+).split(), 0.5) | dict.fromkeys((
+    "ads adserver affiliate babes bet bets betting bingo blackjack bookmaker brides craps crack cracked dating diet "
+    "doubleclick erotic gamble gambling girls jackpot kink lingerie loan loans mature nulled odds pharmacy pills pirate "
+    "pirated poker roulette sexy singles slot slots sportsbook steroids swinger swingers teens torrent torrents wager webcam"
+).split(), 1.0)
 #: Rules of the query: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SOFT, SOFT_WEIGHT = 2, 1.5
@@ -50,6 +64,18 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return text, verdict
 
 
+def read_terms(table: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, ...], dict[str, float]]:
+    """A vocabulary of one's own, for ``judge_urls``: strict terms and weighted soft ones from rows (term, weight; null: strict).
+
+    Terms are lower-cased; of a repeated one the strict form or else the largest weight counts. More than ``most`` terms are refused.
+    """
+    rows = table.where("term is not null and term <> ''").groupBy(F.lower("term").alias("term")).agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("strict"))
+    got = rows.orderBy("term").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"over {most} terms")
+    return tuple(r["term"] for r in got if r["strict"]), {r["term"]: float(r["weight"]) for r in got if not r["strict"]}
+
+
 _automata: dict = {}
 
 

@@ -1,6 +1,7 @@
 """Quality, toxicity, language, URL verdicts and mixing: held-out accuracy, SQL, edge rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import compare
 from helpers_llm import edge_docs
@@ -138,3 +139,77 @@ def test_mix_rows_reach_targets_exactly(spark):
     for source, r in per.items():
         assert words[source] == int(r["target"] + 1e-6), source
     assert empty == sum(not (r[1] or "").split() for r in rows)
+
+
+def test_quality_scores_are_the_plain_machine(spark):
+    """Scores of a whole table against the sum over all pairs of each row's features, one row at a time."""
+    rng = np.random.default_rng(4)
+    size = quality.CELLS + len(quality.STATISTICS) * quality.BINS
+    machine = quality.Machine(0.3, rng.normal(0, 0.5, size), rng.normal(0, 0.3, (size, quality.FACTORS)))
+    rows = [(0, "Some words, some WORDS.\nAnd 12 more | words", 42), (1, None, None), (2, "", 0), (3, "word", 4), (4, "a b a b a b", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(2)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, machine).collect()}
+    for i, text, n in rows:
+        cells, values, _ = quality.featurise(pa.array([text], pa.string()), pa.array([n], pa.int64()))
+        z = machine.bias + sum(machine.linear[c] * v for c, v in zip(cells, values))
+        z += sum(machine.factors[a] @ machine.factors[b] * x * y for k, (a, x) in enumerate(zip(cells, values)) for b, y in list(zip(cells, values))[:k])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    cells, values, _ = quality.featurise(pa.array(["one two two"]), pa.array([11]))
+    assert sorted(np.round(values[len(quality.STATISTICS) :] * 5**0.5, 9) ** 2) == pytest.approx([1 * 5 / 3, 2 * 5 / 3])
+
+
+def test_the_lexicon_is_a_plain_scan():
+    rng = np.random.default_rng(6)
+    lexicon = toxicity.Lexicon({("bad", True): 2.0, ("bad", False): 0.5, ("badly", True): 1.5, ("evil", False): 3.0, ("vil", True): 9.0}, ("not bad",))
+    parts = ["bad", "badly", "evil", "3vil", "devil", "evils", "not", "bad.", "good", "vil", "B4D"]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts, int(rng.integers(0, 12))))
+        folded, weight, hits = toxicity.fold(text), 0.0, 0
+        spans = [(i, i + 6) for i in range(len(folded)) if folded.startswith("not bad", i) and not (i and folded[i - 1].isalnum()) and not folded[i + 7 : i + 8].isalnum()]
+        for i in range(len(folded)):
+            if i and folded[i - 1].isalnum():
+                continue
+            found = [w for (t, whole), w in lexicon.terms.items() if folded.startswith(t, i) and not (whole and folded[i + len(t) : i + len(t) + 1].isalnum())]
+            if found and not any(a <= i <= b for a, b in spans):
+                weight, hits = weight + max(found), hits + 1
+        assert lexicon.weigh(text) == (pytest.approx(weight), hits, len(text.split()))
+
+
+def test_the_mixture_is_the_best_of_a_grid():
+    rng = np.random.default_rng(2)
+    for _ in range(10):
+        like = np.exp(rng.normal(0, 2, (60, 3)))
+        like /= like.max(axis=1, keepdims=True)
+        share, value = langid._mixture(like, 0.0, [0, 2])
+        grid = [np.log(like[:, [0, 2]] @ np.array([p, 1 - p])).sum() for p in np.linspace(0, 1, 401)]
+        assert abs(share.sum() - 1) < 1e-9 and value >= max(grid) - 0.05 and abs(share[0] - np.linspace(0, 1, 401)[int(np.argmax(grid))]) < 0.1
+    loglike = rng.normal(-30, 3, (80, 4))
+    out = langid.infer(loglike)
+    assert abs(out.sum() - 1) < 1e-9 and langid.infer(loglike, penalty=1e9).max() == 1.0
+
+
+def test_too_many_languages_are_refused_before_counting(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit_languages(spark.createDataFrame([("a b", "x"), ("c", "y"), ("d", "z")], "text string, lang string"))
+
+
+def test_labels_with_repeated_ids(spark):
+    from parlance.llm._labels import labelled
+
+    docs = spark.createDataFrame([(1, "one"), (1, "two"), (2, None), (3, "three"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in (1, 2, 3, 6) for y in ((0, 1) if i == 1 else (0,))], "doc_id long, quality int")
+    rows = labelled(docs, labels, "quality", 10).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) and all(r["label"] == (r["doc_id"] == 1) for r in rows)
+
+
+def test_url_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", None), ("bad", 1.0), ("meh", 0.5), ("meh", 2.0), ("so", 0.1), (None, 1.0), ("", None)], "term string, weight double")
+    strict, soft = url_filter.read_terms(terms)
+    assert strict == ("bad",) and soft == {"meh": 2.0, "so": 0.1}
+    pages = spark.createDataFrame([(1, "http://a.org/bad"), (2, "http://a.org/meh-so/" + "x" * 100_000), (3, "http://a.org/badly"), (3, "http://a.org/badly")], "page_id long, url string")
+    got = sorted((r["page_id"], r["verdict"]) for r in url_filter.judge_urls(pages, strict=strict, soft=soft).collect())
+    assert got == [(1, "block"), (2, "block"), (3, "allow"), (3, "allow")]
+    assert url_filter.judge_urls(pages.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.read_terms(terms, most=1)

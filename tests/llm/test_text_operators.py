@@ -191,3 +191,49 @@ def test_flac_query_stores_its_streams(spark, tmp_path):
     media = {r["doc_id"]: bytes(r["media"]) for r in spark.read.parquet(written).collect()}
     assert set(media) == {1, 2}
     assert all(hashlib.sha256(media[i]).hexdigest() in got[i].asDict().values() for i in media)
+
+
+def test_packed_pieces_are_the_librarys_ids(spark, sf):
+    rows = packing.op2_retrieval_packing(spark, sf).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    at, windows = {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        ids = library_ids(texts[r["doc_id"]])
+        assert r["doc_tokens"] == len(ids) and r["start"] == at.get(r["doc_id"], 0)
+        at[r["doc_id"]] = r["start"] + r["length"]
+        assert r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert at == {i: len(library_ids(x)) for i, x in texts.items()}
+    for pieces in windows.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and (ends[-1] == 1024 or ends[-1] & (ends[-1] - 1) == 0)
+
+
+def test_packing_neighbours_are_in_bm25_order():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 60, int(rng.integers(5, 80))) for _ in range(25)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
+    idf, mean = np.log1p((25 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    index = packing.Index(docs, idf, mean)
+    index.unused[[3, 7]] = False
+    terms = index.query(3, 6)
+    held = sorted({t for t in docs[3].tolist() if df[t] > 1}, key=lambda t: -idf[t])
+    assert len(terms) == 6 and min(idf[terms]) >= idf[held[5]] - 1e-12
+
+    def score(d):
+        return sum(idf[t] * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in terms)
+
+    want = sorted((i for i in range(25) if i not in (3, 7) and score(docs[i]) > 0), key=lambda i: (-round(score(docs[i]), 9), i))
+    assert index.neighbours(terms, 25).tolist() == want
+
+
+def test_packing_refuses_columns_it_makes(spark):
+    with pytest.raises(ValueError):
+        packing.pack_documents(edge_docs(spark), VOCABULARY, keep=("ids",))
+
+
+def test_texts_longer_than_a_piece(spark):
+    long = " ".join(f"w{i}, x{i % 7}" for i in range(700_000))  # over 8 MB
+    docs = spark.createDataFrame([(1, "short"), (2, long), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["n_ids"] for r in id_files.stage_ids(docs, VOCABULARY).select("doc_id", "n_ids").collect()}
+    assert rows == {1: len(library_ids("short")), 2: len(library_ids(long)), 3: 1}

@@ -111,6 +111,19 @@ def test_forest_query_on_given_tables(spark, sf_dir):
     assert all(0 < len(p) < len(shard) / 2 for p in picks)
 
 
+def test_larger_shards_measure_a_smaller_share():
+    rng = np.random.default_rng(7)
+    centres, shares = rng.normal(size=(40, 32)), []
+    for n in (500, 4000, 20_000):
+        rows = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 32))
+        normals = rng.normal(size=(32, forest.TREES * forest.BITS))
+        picks = forest.Forest(rows, (normals, np.median(rows[:4096] @ normals, axis=0))).search(rows[:40])
+        shares.append(np.mean([len(p) for p in picks]) / n)
+        found = [len(set(np.argsort(((rows - rows[i]) ** 2).sum(axis=1))[:11]) & set(p.tolist())) / 11 for i, p in enumerate(picks)]
+        assert np.mean(found) >= 0.9, n
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.2
+
+
 def test_forest_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (None, [1.0, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 2.0, 3.0]), (200, [0.0, 0.0])]
     rows += [(1000 + i, [1.0, 0.0]) for i in range(1, 40)]

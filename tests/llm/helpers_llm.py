@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 
@@ -17,13 +18,18 @@ def edge_docs(spark, empty: bool = False):
     return spark.createDataFrame([] if empty else rows, SCHEMA)
 
 
-def library_ids(text):
+@cache
+def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return t
+
+
+def library_ids(text):
+    return np.array([*library().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def shingles(text, size):

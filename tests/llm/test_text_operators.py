@@ -196,14 +196,15 @@ def test_flac_query_stores_its_streams(spark, tmp_path):
 def test_packed_pieces_are_the_librarys_ids(spark, sf):
     rows = packing.op2_retrieval_packing(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    known = {i: library_ids(x) for i, x in texts.items()}
     at, windows = {}, {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
-        ids = library_ids(texts[r["doc_id"]])
+        ids = known[r["doc_id"]]
         assert r["doc_tokens"] == len(ids) and r["start"] == at.get(r["doc_id"], 0)
         at[r["doc_id"]] = r["start"] + r["length"]
         assert r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
         windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    assert at == {i: len(library_ids(x)) for i, x in texts.items()}
+    assert at == {i: len(x) for i, x in known.items()}
     for pieces in windows.values():
         ends = np.cumsum([n for _, n in sorted(pieces)])
         assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and (ends[-1] == 1024 or ends[-1] & (ends[-1] - 1) == 0)
@@ -233,7 +234,8 @@ def test_packing_refuses_columns_it_makes(spark):
 
 
 def test_texts_longer_than_a_piece(spark):
-    long = " ".join(f"w{i}, x{i % 7}" for i in range(700_000))  # over 8 MB
+    long = " ".join(f"word{i % 997}, and{i % 7}" for i in range(330_000))  # over 4 MB
+    assert len(long) > id_files.BATCH_BYTES
     docs = spark.createDataFrame([(1, "short"), (2, long), (3, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r["n_ids"] for r in id_files.stage_ids(docs, VOCABULARY).select("doc_id", "n_ids").collect()}
     assert rows == {1: len(library_ids("short")), 2: len(library_ids(long)), 3: 1}

@@ -18,12 +18,14 @@ ADAPTERS: dict[str, tuple[list[str], str, str]] = {
     "registry_people": (["c_custkey as id", "c_name as name", "'person' as kind", "c_mktsegment as grp", "c_custkey % 3 <> 0 as confirmed"], "customer", ""),
     "commitments": (["o_orderkey as path", "case when o_custkey % 10 = 0 then 'you' else c_name end as owner", "'item ' || (o_orderkey % 50) as text", "case when o_orderstatus = 'O' then 'open' else 'done' end as status", "c_mktsegment as grp", "cast(o_orderdate as date) as day"], _ORDERS, ""),
     "commitment_lines": (["o_orderkey as path", "case when o_custkey % 10 = 0 then 'you' else c_name end || ': ' || 'item ' || (o_orderkey % 50) || case when o_orderstatus = 'O' then '' else ' [done]' end as line"], _ORDERS, ""),
-    "docs": (["d.doc_id as path", "left(split_part(text, chr(10), 1), 80) as title", "left(text, 160) as summary", "text as body", "source as grp", "source as vault", "d.doc_id % 3 + 1 as tier", "case d.doc_id % 10 when 0 then 'archived' when 1 then 'superseded' when 2 then 'complete' when 3 then 'complete' else 'active' end as status", "case d.doc_id % 5 when 0 then 'note' when 1 then 'report' when 2 then 'spec' when 3 then 'log' else 'memo' end as doc_type", "case d.doc_id % 6 when 0 then 'confirmed' when 1 then 'high' when 2 then 'medium' when 3 then 'low' when 4 then 'contested' else 'unjudged' end as confidence", "case when d.doc_id % 17 = 0 then null when d.doc_id % 4 = 0 then 'conversation' else 'unclassified' end as document_class", "lang as tag_lang", "case when quality is null then null else 'q' || quality end as tag_quality", "cast(quality as int) as quality"], "documents d left join labels l on d.doc_id = l.doc_id", ""),
+    "docs": (["d.doc_id as path", "left(split_part(text, chr(10), 1), 80) as title", "left(text, 160) as summary", "text as body", "source as grp", "source as vault", "d.doc_id % 3 + 1 as tier", "case d.doc_id % 10 when 0 then 'archived' when 1 then 'superseded' when 2 then 'complete' when 3 then 'complete' else 'active' end as status", "case when d.doc_id % 23 = 9 then 'memo' else case d.doc_id % 5 when 0 then 'decision' when 1 then 'digest' when 2 then 'explanation' when 3 then 'how-to' else 'reference' end end as doc_type", "case when d.doc_id % 31 = 5 then 'high' else case d.doc_id % 6 when 0 then 'inferred' when 1 then 'proposed' when 2 then 'stated' when 3 then 'unjudged' when 4 then 'unstated' else 'verified' end end as confidence", "case when d.doc_id % 17 = 0 then null when d.doc_id % 4 = 0 then 'conversation' when d.doc_id % 29 = 3 then 'decision' when d.doc_id % 4 = 1 then 'reference-frozen' when d.doc_id % 4 = 2 then 'reference-versioned' else 'unclassified' end as document_class", "lang as tag_lang", "case when quality is null then null else 'q' || quality end as tag_quality", "cast(quality as int) as quality"], "documents d left join labels l on d.doc_id = l.doc_id", ""),
     "segments": (["conv_id as call", "turn as seq", "case role when 'user' then 'you' when 'assistant' then 'them' else 'note' end as track", "turn * 15000 as start_ms", "text"], "conversations", ""),
     "threads": (["conv_id as id", "case conv_id % 5 when 0 then '' else 'w' || (conv_id % 5) end as workspace", "turn", "role", "text"], "conversations", ""),
     "page_paths": (["page_id", "url", "'v' || (page_id % 8) as vault", "case page_id % 4 when 0 then '00-operator' when 1 then '10-reference' when 2 then '02-areas' else '_sources/transcripts' end as folder", "'/root/' || 'v' || (page_id % 8) || '/' || case page_id % 4 when 0 then '00-operator' when 1 then '10-reference' when 2 then '02-areas' else '_sources/transcripts' end || '/' || page_id || '.md' as path"], "pages", ""),
-    "meetings": (["event_id as meeting", "ts as start_ts", "ts + interval 30 minutes as end_ts", "user_id % 12 as calendar", "user_id"], "events", "event_type = 'signup'"),
-    "recordings": (["event_id as recording", "ts as start_ts", "ts + interval 20 minutes as end_ts", "user_id as owner"], "events", "event_type = 'purchase'"),
+    "meetings": (["event_id as meeting", "ts as start_ts", "ts + interval 30 minutes as end_ts", "user_id % 12 as calendar", "user_id", "case event_id % 4 when 0 then 'https://zoom.us/j/' || event_id when 1 then 'Room 4' when 2 then 'see Teams.Live.com/' || event_id end as location", "event_id % 11 = 0 as all_day"], "events", "event_type = 'signup'"),
+    "recordings": (["event_id as recording", "ts as start_ts", "ts + interval 20 minutes as end_ts", "user_id as owner", "user_id % 12 as calendar"], "events", "event_type = 'purchase'"),
+    "polls": (["event_id", "cast(floor(event_id / 50) as bigint) as poll", "user_id % 20 as scope", "case when event_id % 9 <> 0 then cast(ts as date) end as attempted"], "events", ""),
+    "call_items": (["l_orderkey as path", "cast(l_linenumber as bigint) * 10000000000 + l_partkey * 10000 + l_suppkey as place", "case when l_suppkey % 3 = 0 then 'you' else 'Ann ' || (l_suppkey % 2) end as owner", "'item ' || (l_partkey % 2) as text", "case when l_linestatus = 'O' then 'open' else 'done' end as status"], "lineitem", ""),
     "passes": (["event_id", "user_id % 20 as scope", "ts as attempted", "case event_type when 'error' then 'compose_failed' when 'view' then 'unchanged' else 'refreshed' end as outcome"], "events", ""),
     "samples": (["event_id", "user_id % 40 as track", "case when user_id % 40 % 10 = 0 then value / 50000 else value / 500 end as x"], "events", ""),
     "screens": (["event_id", "user_id as call", "ts", "event_id * 40503 % 65536 as hash"], "events", ""),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # The closed vocabularies of document rows.
 VOCABULARIES = {
-    "status": ("active", "complete", "superseded", "archived"),
-    "document_class": ("conversation", "unclassified", "reference", "decision"),
-    "doc_type": ("note", "report", "spec", "log"),
-    "confidence": ("confirmed", "high", "medium", "low", "contested", "unjudged"),
+    "status": ("active", "archived", "complete", "superseded"),
+    "document_class": ("conversation", "reference-frozen", "reference-versioned", "unclassified"),
+    "doc_type": ("decision", "digest", "explanation", "how-to", "reference"),
+    "confidence": ("inferred", "proposed", "stated", "unjudged", "unstated", "verified"),
 }
 DEFAULT_STATUSES = ("active", "complete")
 MAX_K = 50

@@ -40,10 +40,13 @@ def resolve_owners(commitments: DataFrame, people: DataFrame) -> DataFrame:
     return rows.select("path", "text", F.when(F.col("owner") == "you", "you").otherwise(F.coalesce("person", "owner")).alias("owner_id"))
 
 
-def mark_done(commitments: DataFrame) -> DataFrame:
-    """The first open one of each owner and text becomes done."""
-    n = F.row_number().over(W.partitionBy("owner", "text", "status").orderBy("path"))
-    return commitments.select("path", "owner", "text", F.when((F.col("status") == "open") & (n == 1), "done").otherwise(F.col("status")).alias("status"))
+def mark_done(commitments: DataFrame, named: DataFrame) -> DataFrame:
+    """Commitments (path, place, owner, text, status) with the named ones (path, owner, text) done: of each call's open entries of that
+    owner and text the first. Others, of other calls or already done, stay; a name that nothing meets changes nothing."""
+    keys = ["path", "owner", "text"]
+    first = commitments.where("status = 'open'").join(named.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("place").alias("_first"))
+    hit = (F.col("status") == "open") & (F.col("place") == F.col("_first"))
+    return commitments.join(first, keys, "left").select("path", "place", "owner", "text", F.when(hit, "done").otherwise(F.col("status")).alias("status"))
 
 
 def link_stubs(mentions: DataFrame, calls: DataFrame, entities: DataFrame) -> DataFrame:
@@ -112,8 +115,8 @@ def merge_closure(entities: DataFrame, same: DataFrame, hops: int = 64) -> DataF
 
 
 def collision_pairs(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Pairs of one kind and workspace where one name's words are strictly among the other's, without a verdict."""
-    rows = entities.select("id", "name", "kind", "grp", F.array_distinct(F.split(C.norm(F.col("name")), r"\s+")).alias("words"))
+    """Pairs of one kind and workspace where one name's words are strictly among the other's, without a verdict. Terms are no identities."""
+    rows = entities.where("kind <> 'term'").select("id", "name", "kind", "grp", F.array_distinct(F.split(C.norm(F.col("name")), r"\s+")).alias("words"))
     short = rows.select(F.col("id").alias("a"), F.col("name").alias("a_name"), "kind", "grp", F.col("words").alias("a_words"), F.element_at("words", 1).alias("word"))
     long = rows.where(F.size("words") > 1).select(F.col("id").alias("b"), F.col("name").alias("b_name"), "kind", "grp", F.col("words").alias("b_words"), F.explode("words").alias("word"))
     inside = (F.size("a_words") < F.size("b_words")) & (F.size(F.array_except("a_words", "b_words")) == 0)
@@ -122,6 +125,12 @@ def collision_pairs(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
     return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
 
 
+def first_pairs(pairs: DataFrame, limit: int = 3) -> DataFrame:
+    """The first pairs of each workspace by the ids' order, with their place."""
+    place = F.row_number().over(W.partitionBy("grp").orderBy(F.least("a", "b"), F.greatest("a", "b")))
+    return pairs.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def purge_registry(entities: DataFrame, verdicts: DataFrame, grp: str) -> tuple[DataFrame, DataFrame]:
     """Takes a workspace out of all entities (grps: array); those left without one go, and verdicts on them."""
     left = entities.withColumn("grps", F.array_remove("grps", grp)).where(F.size("grps") > 0)

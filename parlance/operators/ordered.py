@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions.columns import video_service
+
 MAX_CHUNK_CHARS, MAX_CHUNK_MS = 500, 45_000
-PAD_MINUTES = 30
 
 
 def turn_chunks(lines: DataFrame, max_chars: int = MAX_CHUNK_CHARS, max_ms: int = MAX_CHUNK_MS) -> DataFrame:
@@ -145,15 +146,22 @@ def refresh_status(passes: DataFrame) -> DataFrame:
 
 
 def meeting_match(recordings: DataFrame, meetings: DataFrame) -> DataFrame:
-    """The meeting that overlaps a recording longest, within half an hour of it. The range join goes by hours, so it is an equi-join."""
-    pad = F.expr(f"interval {PAD_MINUTES} minutes")
-    hours = lambda a, b: F.explode(F.sequence(F.date_trunc("hour", a.cast("timestamp")), F.date_trunc("hour", b.cast("timestamp")), F.expr("interval 1 hour")))
-    r = recordings.select("*", hours(F.col("start_ts") - pad, F.col("end_ts") + pad).alias("hour"))
-    m = meetings.select("meeting", F.col("start_ts").alias("m_start"), F.col("end_ts").alias("m_end"), F.date_trunc("hour", F.col("start_ts").cast("timestamp")).alias("hour"))
+    """For each recording (recording, calendar, start_ts, end_ts) the meeting of its calendar (meeting, calendar, start_ts, end_ts, location,
+    all_day) that it was made of: one with a video service first, then the longest overlap (in microseconds), then the smaller id. All-day
+    events take no part.
+
+    The range join goes by calendar and hour, so it is an equi-join: each side stands in the hours that it touches, and a pair
+    counts in the first hour that it shares.
+    """
+    hour = lambda c: F.date_trunc("hour", F.col(c).cast("timestamp"))
+    hours = lambda a, b: F.explode(F.sequence(hour(a), hour(b), F.expr("interval 1 hour"))).alias("hour")
+    r = recordings.where("start_ts <= end_ts").select("recording", "calendar", "start_ts", "end_ts", hours("start_ts", "end_ts"))
+    m = meetings.where("not all_day and start_ts <= end_ts").select("meeting", "calendar", F.col("start_ts").alias("m_start"), F.col("end_ts").alias("m_end"), video_service(F.col("location")).alias("service"), hours("start_ts", "end_ts"))
+    once = F.col("hour") == F.greatest(hour("start_ts"), hour("m_start"))
     overlap = F.unix_micros(F.least("end_ts", "m_end").cast("timestamp")) - F.unix_micros(F.greatest("start_ts", "m_start").cast("timestamp"))
-    pairs = r.join(m, "hour").where((F.col("m_start") <= F.col("end_ts") + pad) & (F.col("m_start") >= F.col("start_ts") - pad)).withColumn("overlap", F.floor(overlap / 1000000)).where("overlap > 0")
-    best = F.row_number().over(W.partitionBy("recording").orderBy(F.desc("overlap"), "meeting"))
-    return pairs.withColumn("_n", best).where("_n = 1").select("recording", "meeting", "overlap")
+    pairs = r.join(m, ["calendar", "hour"]).where(once).withColumn("overlap_us", overlap).where("overlap_us > 0")
+    best = F.min(F.struct(F.col("service").isNull().alias("plain"), (-F.col("overlap_us")).alias("o"), "meeting", "service")).alias("best")
+    return pairs.groupBy("recording").agg(best).select("recording", "best.meeting", "best.service", (-F.col("best.o")).alias("overlap_us"))
 
 
 def calendar_lanes(events: DataFrame, least: int = 15) -> DataFrame:
@@ -171,11 +179,13 @@ def calendar_lanes(events: DataFrame, least: int = 15) -> DataFrame:
     return folded.select("day", F.size("f.ends").alias("lanes"), F.explode("f.out").alias("o")).select("day", "o.id", "o.lane", "lanes")
 
 
-def scope_moved(passes: DataFrame) -> DataFrame:
-    """Polls at which a scope's last attempt differs from the poll before; the first is the baseline."""
-    w = W.partitionBy("scope").orderBy("attempted", "event_id")
-    before = F.lag("outcome").over(w)
-    return passes.select("event_id", "scope", (F.row_number().over(w) > 1).alias("known"), F.when(before.isNotNull(), ~before.eqNullSafe(F.col("outcome"))).otherwise(False).alias("moved"))
+def scope_moved(polls: DataFrame) -> DataFrame:
+    """Listed scopes (event_id, poll from 0, scope, attempted) with whether the scope's last refresh attempt is another than the last one
+    known. Listings without an attempt tell nothing, and poll 0 is the baseline; later a scope that is new has moved."""
+    earlier = F.last("attempted", ignorenulls=True).over(W.partitionBy("scope").orderBy("poll", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    rows = polls.withColumn("_was", earlier)
+    moved = (F.col("poll") > 0) & F.col("attempted").isNotNull() & ~F.col("_was").eqNullSafe(F.col("attempted"))
+    return rows.select("event_id", "scope", F.col("_was").isNotNull().alias("known"), moved.alias("moved"))
 
 
 def late_replies(replies: DataFrame) -> DataFrame:

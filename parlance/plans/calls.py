@@ -113,9 +113,11 @@ def commitments_by_owner(t: Tables) -> DataFrame:
     return rows.withColumn("place", place).join(counts, "owner").select((F.col("owner") == "you").alias("is_you"), "owner", "place", "path", "text", "n")
 
 
-@query("commitments", "select path, owner, text, case when status = 'open' and row_number() over (partition by owner, text, status order by path) = 1 then 'done' else status end as status from commitments")
+@query("call_items", "select path, place, owner, text, case when status = 'open' and owner = 'you' and text = 'item 1' and path % 3 = 0 and row_number() over (partition by path, owner, text, status order by place) = 1 then 'done' else status end as status from call_items")
 def mark_done(t: Tables) -> DataFrame:
-    return E.mark_done(t.commitments)
+    """One's own ``item 1`` is resolved in every third call."""
+    named = t.call_items.where("path % 3 = 0").select("path", F.lit("you").alias("owner"), F.lit("item 1").alias("text")).distinct()
+    return E.mark_done(t.call_items, named)
 
 
 @query("calls", "select grp, count(*) as n from calls where kind = 'call' group by 1 order by 2 desc, 1")

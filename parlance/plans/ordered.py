@@ -178,9 +178,12 @@ def refresh_status(t: Tables) -> DataFrame:
     return O.refresh_status(t.passes)
 
 
-@query("passes", "select event_id, scope, row_number() over w > 1 as known, coalesce(lag(outcome) over w <> outcome, false) as moved from passes window w as (partition by scope order by attempted, event_id)")
+MOVED = "select event_id, scope, was is not null as known, poll > 0 and attempted is not null and was is distinct from attempted as moved from (select *, last_value(attempted ignore nulls) over (partition by scope order by poll, event_id rows between unbounded preceding and 1 preceding) as was from polls)"
+
+
+@query("polls", MOVED)
 def scope_moved(t: Tables) -> DataFrame:
-    return O.scope_moved(t.passes)
+    return O.scope_moved(t.polls)
 
 
 @query("replies", "select event_id, key, generation, arrival from (select *, max(generation) over (partition by key order by arrival, event_id rows unbounded preceding) as top from replies) where generation >= top")
@@ -196,20 +199,24 @@ def run_quality(t: Tables) -> DataFrame:
     return rows.agg(F.bool_or(failed).alias("degraded"), F.count_if(failed).alias("unavailable"), F.when(~F.bool_or(F.col("outcome") == "unchanged"), F.round(F.lit(0.593) / F.lit(0.698), 9)).alias("share"))
 
 
-@query("recordings meetings", "select recording, meeting, overlap from (select *, row_number() over (partition by recording order by overlap desc, meeting) as n from (select recording, meeting, floor((epoch_us(least(r.end_ts, m.end_ts)) - epoch_us(greatest(r.start_ts, m.start_ts))) / 1000000.0)::bigint as overlap from recordings r join meetings m on m.start_ts <= r.end_ts + interval 30 minutes and m.start_ts >= r.start_ts - interval 30 minutes) where overlap > 0) where n = 1")
+_SERVICE = "case when contains(lower(location), 'zoom.us') then 'Zoom' when contains(lower(location), 'teams.live.com') then 'Teams' end"
+
+
+@query("recordings meetings", f"select recording, meeting, service, overlap_us from (select *, row_number() over (partition by recording order by service is null, overlap_us desc, meeting) as n from (select recording, meeting, {_SERVICE} as service, epoch_us(least(r.end_ts, m.end_ts)) - epoch_us(greatest(r.start_ts, m.start_ts)) as overlap_us from recordings r join meetings m on m.calendar = r.calendar and m.start_ts < r.end_ts and m.end_ts > r.start_ts where not all_day)) where n = 1")
 def meeting_match(t: Tables) -> DataFrame:
     return O.meeting_match(t.recordings, t.meetings)
 
 
-@query("meetings", "select meeting, start_ts, calendar from meetings where start_ts between timestamp '2024-01-10' and timestamp '2024-01-12' and calendar in (1, 2, 3)")
+@query("meetings", f"select meeting, start_ts, calendar, service from (select *, {_SERVICE} as service from meetings) where start_ts between timestamp '2024-01-10' and timestamp '2024-01-12' and calendar in (1, 2, 3) and service is not null")
 def upcoming_calls(t: Tables) -> DataFrame:
-    return upcoming(t.meetings, "2024-01-10", "2024-01-12", [1, 2, 3]).select("meeting", "start_ts", "calendar")
+    return upcoming(t.meetings, "2024-01-10", "2024-01-12", [1, 2, 3]).select("meeting", "start_ts", "calendar", "service")
 
 
 def upcoming(meetings: DataFrame, since: str, until: str, calendars: list[int] | None = None) -> DataFrame:
-    """Meetings within a horizon; an empty or missing list of calendars watches all."""
+    """Meetings within a horizon that name a video service, with it; an empty or missing list of calendars watches all."""
     rows = meetings.where(F.col("start_ts").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
-    return rows.where(F.col("calendar").isin(*calendars)) if calendars else rows
+    rows = rows.where(F.col("calendar").isin(*calendars)) if calendars else rows
+    return rows.withColumn("service", C.video_service(F.col("location"))).where("service is not null")
 
 
 @query("meetings", "select meeting, start_ts from meetings where start_ts >= timestamp '2024-01-10' order by start_ts, meeting limit 6")

@@ -24,9 +24,9 @@ def vault_documents(t: Tables) -> DataFrame:
     return rows.select("path", "title", "vault", "tier", "status", "doc_type", "confidence", "document_class", F.array_join("tags", ",").alias("tags"), F.lit(None).cast("string").alias("expand_ref"))
 
 
-@query("docs", "select path, title, vault, status, doc_type, total from (select *, count(*) over () as total from docs where status in ('active', 'complete') and document_class is distinct from 'conversation' and doc_type = 'note') order by path limit 20 offset 10")
+@query("docs", "select path, title, vault, status, doc_type, total from (select *, count(*) over () as total from docs where status in ('active', 'complete') and document_class is distinct from 'conversation' and doc_type = 'decision') order by path limit 20 offset 10")
 def documents_browse(t: Tables) -> DataFrame:
-    return D.browse(t.docs, doc_type="note", limit=20, offset=10)
+    return D.browse(t.docs, doc_type="decision", limit=20, offset=10)
 
 
 @query("docs", "select path, status, document_class from docs where status in ('active', 'complete') and document_class is distinct from 'conversation'")
@@ -45,7 +45,7 @@ def classes_excluded(t: Tables) -> DataFrame:
     return t.docs.select("path", F.array_join(F.array_except(every, D.withheld(F.col("status"), F.col("document_class"))), ",").alias("included"))
 
 
-@query("docs", "select path, 'doc_type' as field, doc_type as value from docs where doc_type not in ('note', 'report', 'spec', 'log')")
+@query("docs", "select path, field, value from (select path, unnest(['status', 'document_class', 'doc_type', 'confidence']) as field, unnest([status, document_class, doc_type, confidence]) as value from docs) where value not in ('active', 'archived', 'complete', 'superseded', 'conversation', 'reference-frozen', 'reference-versioned', 'unclassified', 'decision', 'digest', 'explanation', 'how-to', 'reference', 'inferred', 'proposed', 'stated', 'unjudged', 'unstated', 'verified') or field = 'document_class' and value = 'decision'")
 def vocabulary_refusals(t: Tables) -> DataFrame:
     return D.refusals(t.docs)
 
@@ -259,10 +259,22 @@ def registry_purge(t: Tables) -> DataFrame:
     return left.select("id", "name", "kind", "grp")
 
 
-@query("registry", "select a.id as a, b.id as b, a.name as a_name, b.name as b_name, a.kind, a.grp from registry a join registry b on a.kind = b.kind and a.grp = b.grp and a.id <> b.id and a.name <> b.name and not contains(a.name, ' ') and list_contains(string_split(lower(b.name), ' '), lower(a.name)) and len(string_split(b.name, ' ')) > 1 and lower(b.name) <> lower(a.name) || ' ' || lower(a.name) where not (a.id % 10 = 0 and b.id = a.id + 1)")
+_COLLISIONS = "select a.id as a, b.id as b, a.name as a_name, b.name as b_name, a.kind, a.grp from registry a join registry b on a.kind <> 'term' and a.kind = b.kind and a.grp = b.grp and a.id <> b.id and a.name <> b.name and not contains(a.name, ' ') and list_contains(string_split(lower(b.name), ' '), lower(a.name)) and len(string_split(b.name, ' ')) > 1 and lower(b.name) <> lower(a.name) || ' ' || lower(a.name) where not (a.id % 10 = 0 and b.id = a.id + 3) and not (b.id % 10 = 0 and a.id = b.id + 3)"
+
+
+def _told(t: Tables) -> DataFrame:
+    return t.registry.where("id % 10 = 0").select(F.col("id").alias("a"), (F.col("id") + 3).alias("b"))
+
+
+@query("registry", _COLLISIONS)
 def collision_pairs(t: Tables) -> DataFrame:
-    verdicts = t.registry.where("id % 10 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return E.collision_pairs(t.registry, verdicts)
+    return E.collision_pairs(t.registry, _told(t))
+
+
+@query("registry", f"select a, b, a_name, b_name, kind, grp, place from (select *, row_number() over (partition by grp order by least(a, b), greatest(a, b)) as place from ({_COLLISIONS})) where place <= 3")
+def collision_questions(t: Tables) -> DataFrame:
+    """Three pairs of each workspace to ask about, the first in the registry's order."""
+    return E.first_pairs(E.collision_pairs(t.registry, _told(t)))
 
 
 @query("registry", "select x as id, kind, string_agg(distinct name, '|' order by name) as aliases, string_agg(distinct grp, '|' order by grp) as grps, count(*) as n from (select *, cast(min(id) over (partition by kind, lower(name)) as varchar) as x from registry) group by 1, 2")

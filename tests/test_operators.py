@@ -250,3 +250,42 @@ def test_recall_asks_once_a_tick_and_only_what_is_new(spark):
                 asked, tick = cut, ms // 20_000
     got = {(r["call"], r["seq"], r["query"]) for r in L.drain(L.tails(L.replay(lines, "seq", "call", parts=2), 100, lambda t: len(t) >= 30, 20_000)).collect()}
     assert got == want and len({(c, i * 7000 // 20_000) for c, i, _ in got}) == len(got)
+
+
+def test_vocabularies_are_the_contract(spark):
+    fine = [("active", "reference-frozen", "decision", "stated"), ("complete", "unclassified", "how-to", "unstated"), ("archived", "conversation", "digest", "unjudged"), ("superseded", "reference-versioned", "explanation", "proposed"), ("active", None, "reference", "inferred"), ("active", None, None, "verified")]
+    bad = [("draft", "decision", "note", "high")]
+    rows = [(i, *r) for i, r in enumerate(fine + bad)]
+    docs = spark.createDataFrame(rows, "path int, status string, document_class string, doc_type string, confidence string")
+    assert {(r["path"], r["field"], r["value"]) for r in D.refusals(docs).collect()} == {(6, "status", "draft"), (6, "document_class", "decision"), (6, "doc_type", "note"), (6, "confidence", "high")}
+
+
+def test_a_scope_moves_when_its_attempt_does(spark):
+    rows = [(1, 0, "a", 5), (2, 0, "b", None), (3, 1, "a", 5), (4, 1, "b", 7), (5, 2, "a", None), (6, 3, "a", 6), (7, 3, "c", 1), (8, 4, "b", 7)]
+    got = {r["event_id"]: (r["known"], r["moved"]) for r in O.scope_moved(spark.createDataFrame(rows, "event_id int, poll int, scope string, attempted int")).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (True, False), 4: (False, True), 5: (True, False), 6: (True, True), 7: (False, True), 8: (True, False)}
+
+
+def test_done_is_one_entry_of_one_call(spark):
+    rows = [(1, 1, "ann", "x", "done"), (1, 2, "ann", "x", "open"), (1, 3, "ann", "x", "open"), (2, 1, "ann", "x", "open"), (1, 4, "bob", "x", "open")]
+    items = spark.createDataFrame(rows, "path int, place int, owner string, text string, status string")
+    named = spark.createDataFrame([(1, "ann", "x"), (3, "ann", "x"), (2, "ann", "y")], "path int, owner string, text string")
+    got = {(r["path"], r["place"]): r["status"] for r in E.mark_done(items, named).collect()}
+    assert got == {(1, 1): "done", (1, 2): "done", (1, 3): "open", (2, 1): "open", (1, 4): "open"}
+
+
+def test_terms_are_no_identities(spark):
+    rows = [(i, n, k, "g") for i, (n, k) in enumerate([("Ann", "person"), ("Ann Lee", "person"), ("Ann Poe", "person"), ("Ann Lee Poe", "person"), ("x", "term"), ("x y", "term")])]
+    df = spark.createDataFrame(rows, "id int, name string, kind string, grp string")
+    pairs = E.collision_pairs(df, spark.createDataFrame([], "a int, b int"))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)}
+    assert [(r["a"], r["b"]) for r in E.first_pairs(pairs).orderBy("place").collect()] == [(0, 1), (0, 2), (0, 3)]
+
+
+def test_video_meetings_come_first(spark):
+    t = lambda m: f"2024-01-01 {9 + m // 60:02d}:{m % 60:02d}:00"
+    meetings = [(1, 1, t(0), t(60), None, False), (2, 1, t(50), t(65), "join zoom.us/j/1", False), (3, 1, t(-300), t(400), "zoom.us", True), (4, 2, t(0), t(60), "zoom.us", False), (5, 1, t(-120), t(300), None, False)]
+    m = spark.createDataFrame(meetings, "meeting int, calendar int, start_ts string, end_ts string, location string, all_day boolean").withColumns({c: F.col(c).cast("timestamp") for c in ("start_ts", "end_ts")})
+    recordings = [(1, 1, t(0), t(55)), (2, 1, t(0), t(40)), (3, 1, t(299), t(350)), (4, 1, t(300), t(310)), (5, 3, t(0), t(5))]
+    r = spark.createDataFrame(recordings, "recording int, calendar int, start_ts string, end_ts string").withColumns({c: F.col(c).cast("timestamp") for c in ("start_ts", "end_ts")})
+    assert {(x["recording"], x["meeting"]) for x in O.meeting_match(r, m).collect()} == {(1, 2), (2, 1), (3, 5)}

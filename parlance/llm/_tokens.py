@@ -53,7 +53,11 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        #: Added tokens that stand for themselves wherever they occur cut a text; others leave it to the library whole.
+        self.cuts = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added)
+        self.added_token = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.opens_word = np.zeros(self.size, bool)
@@ -126,10 +130,14 @@ class BatchTokenizer:
             out[0, ~plain] = self._known(join("\1", pc.if_else(pc.starts_with(rest, "\0"), pc.utf8_slice_codeunits(rest, 1), join(" ", rest))))
         return out
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
+    def _chunks(self, text: str) -> list[str]:
         if "\0" in text:  # the mark below must stay ours
             return ["\0" + text]
+        if self.added_token and self.added_token.search(text):
+            if not self.cuts:
+                return ["\0" + text]
+            around = self.added_token.split(text)
+            return [c for k, x in enumerate(around) if x for c in (["\0" + x] if k % 2 else self._chunks(x))]
         parts = text.split(" ")
         if _UNSAFE.search(text):
             whole, parts = parts, []
@@ -145,13 +153,16 @@ class BatchTokenizer:
         """The pieces of all texts, two of each chunk, and how many chunks each text has.
 
         Ordinary texts are cut and their chunks told apart by pyarrow; only a batch's distinct
-        words are looked up here. Texts with runs of white space are cut one by one.
+        words are looked up here. Texts with runs of white space or with added tokens of the vocabulary (which
+        the library takes as they are, and which cut a text) are cut one by one.
         """
         if len(self.pieces) > MAX_PIECES:
             self._reset()
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         column = pc.fill_null(column.cast(pa.large_string()), "")
         odd = np.asarray(pc.or_(pc.match_substring_regex(column, _UNSAFE_ARROW), pc.match_substring(column, "\0")))
+        for token in self.added:
+            odd = odd | np.asarray(pc.match_substring(column, token))
         some = np.asarray(pc.binary_length(column)) > 0
         counts = np.zeros(len(column), np.int64)
         marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), column.filter(pa.array(~odd & some)), pa.scalar("", pa.large_string()))

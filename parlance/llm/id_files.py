@@ -24,8 +24,8 @@ as blocks; (4) starts are sums over parts, then blocks, then documents: no
 global window over documents.
 
 Nulls and edge cases: a null text is an empty one and gives only the end id; a
-null doc_id sorts first; repeated rows are kept, in any order among themselves
-but next to each other; an empty table gives an empty file set. Extra columns are ignored.
+null doc_id sorts first; repeated ids and rows are kept, next to each other, and may be
+spread over several parts; an empty table gives an empty file set. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ from parlance.llm._tokens import END_ID, tokenizer
 BLOCK_IDS = 1 << 18
 #: Rows that a task encodes at once are cut so that they hold about this many bytes.
 BATCH_BYTES = 4 << 20
+#: A part (one task's ids) should hold about this many ids; there are as many parts as shuffle partitions at least.
+PART_IDS = 1 << 22
 
 STAGED = "doc_id long, n_ids long, ids binary"
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, doc_nulls binary, lengths binary, control binary, data binary"
@@ -106,9 +109,8 @@ def count_ids(staged: DataFrame) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def rank_table(counts: DataFrame) -> np.ndarray:
-    """Ids by falling frequency. One row per id of the vocabulary comes to the driver."""
-    rows = counts.toPandas()
+def rank_table(rows: pd.DataFrame) -> np.ndarray:
+    """Ids by falling frequency, of counts (token, n): one row per id of the vocabulary."""
     order = np.lexsort((rows["token"].to_numpy(), -rows["n"].to_numpy()))
     return rows["token"].to_numpy(np.int64)[order]
 
@@ -142,12 +144,13 @@ def write_id_files(docs: DataFrame, vocabulary: str, path: str, parts: int | Non
     """Writes the documents' ids below ``path``: ``blocks``, ``parts`` and ``ranks``."""
     spark = docs.sparkSession
     staged = spark.read.schema(STAGED).parquet(write(stage_ids(docs, vocabulary, end), "staged-ids"))
-    by_rank = rank_table(count_ids(staged))
+    counts = count_ids(staged).toPandas()
+    by_rank = rank_table(counts)
     spark.createDataFrame([(i, int(t)) for i, t in enumerate(by_rank)], "rank int, token int").coalesce(1).write.parquet(f"{path}/ranks")
     ranks = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank))
     rank_of = spark.sparkContext.broadcast(ranks)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts["n"].sum()) // PART_IDS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -173,7 +176,9 @@ def write_id_files(docs: DataFrame, vocabulary: str, path: str, parts: int | Non
         if held:
             yield close()
 
-    ordered = staged.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # An id that many rows have (null, say) is split by what the rows hold, then by their places.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("tie")]
+    ordered = staged.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
     ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
 
 

@@ -7,8 +7,9 @@ occur and their weights reach ``soft_weight``. Rules: a rule fits its host and
 all subdomains if the url's path starts with the rule's path; the longest wins
 (ties: a block before an allow, then by text); a rule overrides the vocabulary.
 
-The rules and terms are arguments, read by every task, so keep them to what fits
-in memory (thousands of rules, millions of terms). There is no shuffle.
+The rules and terms are arguments that go to every worker in one broadcast, so keep them to
+what fits in a worker's memory (a million of either). A url looks its rules up by its host
+and the parents of it, so their number doesn't slow it. There is no shuffle.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and
 path, no rule, and is judged by the vocabulary (null: allowed). Repeated rows
@@ -18,9 +19,11 @@ by the query and kept by ``judge_urls``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +58,31 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, F.coalesce(F.regexp_extract(url, parts, 2), F.lit(""))
 
 
-def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The text and verdict of the longest rule that fits, else null."""
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2]), reverse=True):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        text, verdict = F.when(fits, h + p).otherwise(text), F.when(fits, kind).otherwise(verdict)
-    return text, verdict
+class Rules:
+    """Rules (verdict, host, path) by host: a url looks up its host and each of its parents, and there only the lengths of paths that occur."""
+
+    def __init__(self, rules):
+        self.by_host: dict[str, tuple[list[int], dict[str, str]]] = {}
+        for kind, host, path in sorted(rules, key=lambda r: r[0] == "block"):  # of two rules of one place the block counts
+            lengths, paths = self.by_host.setdefault(host, ([], {}))
+            paths[path] = kind
+            lengths[:] = sorted({*lengths, len(path)}, reverse=True)
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """Text and verdict of the longest rule that fits (ties: a block first, then the text), or nothing."""
+        best: tuple | None = None
+        at = 0
+        while at >= 0:
+            parent = host[at:]
+            lengths, paths = self.by_host.get(parent, ((), {}))
+            for n in lengths:
+                kind = paths.get(path[:n]) if len(path) >= n else None
+                if kind is not None:
+                    rank = (-len(parent) - n, kind != "block", parent + path[:n], kind)
+                    best = rank if best is None else min(best, rank)
+                    break  # the others of this host are shorter
+            at = host.find(".", at) + 1 or -1
+        return (best[2], best[3]) if best else (None, None)
 
 
 def read_terms(table: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, ...], dict[str, float]]:
@@ -76,44 +97,49 @@ def read_terms(table: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, ...]
     return tuple(r["term"] for r in got if r["strict"]), {r["term"]: float(r["weight"]) for r in got if not r["strict"]}
 
 
-_automata: dict = {}
+_made: dict = {}
 
 
-def _automaton(terms: tuple[str, ...]):
-    import ahocorasick
+def _ready(name: str, sent):
+    """This worker's automaton and rules of a named broadcast; only the last ones are kept."""
+    if name not in _made:
+        import ahocorasick
 
-    if terms not in _automata:
-        made = ahocorasick.Automaton()
-        for term in terms:
-            made.add_word(term, term)
-        made.make_automaton()
-        _automata[terms] = made
-    return _automata[terms]
+        strict, soft, rules = sent.value
+        automaton = ahocorasick.Automaton()
+        for term in (*strict, *soft):
+            automaton.add_word(term, term)
+        if len(automaton):
+            automaton.make_automaton()
+        _made.clear()
+        _made[name] = automaton, frozenset(strict), soft, Rules(rules)
+    return _made[name]
 
 
-def term_hits(strict: tuple[str, ...] = STRICT, soft: dict[str, float] | None = None):
-    """A pandas UDF: strict hits, distinct soft hits and their weight in a url."""
-    soft = SOFT if soft is None else soft
-    terms = (*strict, *soft)
-    hard = frozenset(strict)
+_HITS = {"strict_hits": "long", "soft_hits": "long", "soft_weight": "double", "rule": "string", "rule_verdict": "string"}
 
-    @F.pandas_udf("strict_hits long, soft_hits long, soft_weight double")
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(terms)
-        for urls in batches:
+
+def judge(rules=RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] | None = None):
+    """A pandas UDF of url, host and path: strict hits, distinct soft hits and their weight, and the rule that fits. Terms and rules go out as one broadcast."""
+    name, sent = uuid.uuid4().hex, SparkContext.getOrCreate().broadcast((tuple(strict), dict(SOFT if soft is None else soft), tuple(rules)))
+
+    @F.pandas_udf(", ".join(f"{k} {v}" for k, v in _HITS.items()))
+    def hits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        automaton, hard, weights, ruled = _ready(name, sent)
+        for urls, hosts, paths in batches:
             rows = []
-            for url in urls:
+            for url, host, path in zip(urls, hosts, paths):
                 strict_n, seen = 0, set()
                 text = url.lower() if url else ""
-                for end, term in automaton.iter(text):
+                for end, term in automaton.iter(text) if len(automaton) else ():
                     a, b = end - len(term), end + 1
                     if (a < 0 or not _alnum(text[a])) and (b == len(text) or not _alnum(text[b])):
                         if term in hard:
                             strict_n += 1
                         else:
                             seen.add(term)
-                rows.append((strict_n, len(seen), sum(soft[t] for t in sorted(seen))))
-            yield pd.DataFrame(rows, columns=["strict_hits", "soft_hits", "soft_weight"]).astype({"strict_hits": "int64", "soft_hits": "int64", "soft_weight": "float64"})
+                rows.append((strict_n, len(seen), float(sum(weights[t] for t in sorted(seen))), *ruled.find(host, path)))
+            yield pd.DataFrame(rows, columns=list(_HITS)).astype({"strict_hits": "int64", "soft_hits": "int64", "soft_weight": "float64", "rule": "object", "rule_verdict": "object"})
 
     return hits
 
@@ -125,12 +151,13 @@ def _alnum(c: str) -> bool:
 def judge_urls(df: DataFrame, url: str = "url", rules=RULES, strict: tuple[str, ...] = STRICT, soft: dict[str, float] | None = None, min_soft: int = MIN_SOFT, soft_weight: float = SOFT_WEIGHT) -> DataFrame:
     """Adds host, path, rule, strict_hits, soft_hits, soft_weight and verdict (allow or block)."""
     made = ("host", "path", "rule", "strict_hits", "soft_hits", "soft_weight", "verdict")
-    kept = [c for c in df.columns if c not in made]
+    kept = F.struct(*[F.col(c) for c in df.columns if c not in made]).alias("row")  # no name in it can clash
     host, path = host_path(F.col(url))
-    out = df.select(*kept, host.alias("host"), path.alias("path"), term_hits(strict, soft)(F.col(url)).alias("_hits"))
-    text, verdict = rule_column(F.col("host"), F.col("path"), rules)
-    bad = (F.col("_hits.strict_hits") > 0) | ((F.col("_hits.soft_hits") >= min_soft) & (F.col("_hits.soft_weight") >= soft_weight))
-    return out.select(*kept, "host", "path", text.alias("rule"), "_hits.*", F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias("verdict"))
+    out = df.select(kept, F.col(url).alias("url"), host.alias("host"), path.alias("path"))
+    out = out.select("row", "host", "path", judge(rules, strict, soft)("url", "host", "path").alias("hits"))
+    bad = (F.col("hits.strict_hits") > 0) | ((F.col("hits.soft_hits") >= min_soft) & (F.col("hits.soft_weight") >= soft_weight))
+    verdict = F.coalesce("hits.rule_verdict", F.when(bad, "block").otherwise("allow")).alias("verdict")
+    return out.select("row.*", "host", "path", "hits.rule", "hits.strict_hits", "hits.soft_hits", "hits.soft_weight", verdict)
 
 
 def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import cache
 
 import numpy as np
 
-TEXTS = [None, "", "   \n", "word", "a b c", "a b c d", "A b  C d e", "x" * 5000, "long text " * 3000, "naïve café 中文 😀 ünï", "same text here again and again", "same text here again and again", "tab\tand\x0bothers\x1c  end ", "1 2 3 4 5 6 !!! ??? ---", "<|endoftext|> \x00 \x01"]
+TEXTS = [None, "", "   \n", "word", "a b c", "a b c d", "A b  C d e", "x" * 5000, "long text " * 3000, "naïve café 中文 😀 ünï", "same text here again and again", "same text here again and again", "tab\tand\x0bothers\x1c  end ", "1 2 3 4 5 6 !!! ??? ---", "<|endoftext|> \x00 \x01", "<|endoftext|>", "a <|endoftext|>  b<|endoftext|><|endoftext|> ,c", "x <|endoftext| > y"]
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, node long, label int, row long, digest string, signature string, size long, weight double, key string, shard int"
 
@@ -23,9 +23,7 @@ def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def library_ids(text):

@@ -1,5 +1,7 @@
 """Quality, toxicity, language, URL verdicts and mixing: held-out accuracy, SQL, edge rows."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -213,3 +215,19 @@ def test_url_vocabulary_from_a_table(spark):
     assert url_filter.judge_urls(pages.where("false")).count() == 0
     with pytest.raises(ValueError):
         url_filter.read_terms(terms, most=1)
+
+
+def test_thousands_of_rules_and_terms(spark):
+    rng = random.Random(9)
+    hosts = ["".join(rng.choice("abc") for _ in range(2)) + f".h{rng.randrange(300)}.org" for _ in range(4000)] + [f"h{i}.org" for i in range(300)] + ["org"]
+    rules = [(rng.choice(["block", "allow"]), h, "/" + rng.choice(["", "en/", "e", "en/x"])) for h in hosts for _ in range(2)]
+    terms = [f"term{i}" for i in range(200_000)]
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{rng.choice(['', 'en/', 'en/x/y', 'fr', f'term{rng.randrange(250_000)}-'])}?q" for _ in range(500)] + ["http://elsewhere.com/term7/", "http://elsewhere.com/term7x/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("_hits", F.lit(1)).withColumn("hits", F.lit(2)).withColumn("row", F.lit(3))
+    got = {r["page_id"]: r for r in url_filter.judge_urls(rows, rules=rules, strict=tuple(terms), soft={}).collect()}
+    assert got[0]["_hits"] == 1 and got[0]["hits"] == 2 and got[0]["row"] == 3 and got[500]["verdict"] == "block" and got[501]["verdict"] == "allow"
+    order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2]))
+    for i, url in enumerate(urls):
+        host, path = url.split("://")[1].split("?")[0].split("/", 1)
+        fits = next((r for r in order if (host == r[1] or host.endswith("." + r[1])) and f"/{path}".startswith(r[2])), None)
+        assert (got[i]["rule"], got[i]["verdict"]) == ((fits[1] + fits[2], fits[0]) if fits else (None, got[i]["verdict"])), url

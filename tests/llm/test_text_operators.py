@@ -49,6 +49,15 @@ def test_id_files(spark, tmp_path, empty):
     assert order == sorted(order, key=lambda x: -1 if x is None else x)
 
 
+def test_an_id_of_all_rows_is_split(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"word {i % 7}") for i in range(400)], "doc_id long, text string").repartition(4)
+    id_files.write_id_files(docs, VOCABULARY, f"{tmp_path}/hot", parts=8)
+    sizes = [r["n_ids"] for r in spark.read.parquet(f"{tmp_path}/hot/blocks").collect()]
+    assert len(sizes) >= 6 and sum(sizes) == sum(len(library_ids(f"word {i % 7}")) for i in range(400)) and max(sizes) < sum(sizes) // 3
+    rows = sorted(id_files.read_id_files(spark, f"{tmp_path}/hot").collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
+
+
 def test_id_files_query_on_a_table(spark, sf):
     rows = {r["doc_id"]: r for r in id_files.op10_token_id_files(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()

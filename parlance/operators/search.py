@@ -1,7 +1,7 @@
 """Full-text search: index, prefix and phrase matching, BM25, alias groups, fused results.
 
-The index is a stored table of one row per token and passage, sorted by token, so a corpus is tokenised once and
-any number of searches read it. Many queries run in one job: queries are rows. A passage is (path, chunk, text, ...).
+The index (operators/index.py) is stored, so a corpus is tokenised once and any number of searches read it, each only the
+buckets of its terms. Many queries run in one job: queries are rows. A passage is (path, chunk, text, ...).
 Scores are negative, lower is better, rounded to nine places; ties go by path and chunk.
 """
 
@@ -14,58 +14,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
-from parlance.sources.storage import fresh_path, stored
+from parlance.operators.index import Index, build_index
+from parlance.sources.storage import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OVERFETCH, PER_CALL, LIMIT, TOPIC_SLOTS = 4, 2, 10, 3
 #: Weights of the topic fields.
 TOPIC_WEIGHTS = {"title": 4.0, "summary": 1.0, "tags": 3.0, "participants": 0.5}
-LONGEST_PREFIX = 40
 # Short words in capitals that are no acronyms of the corpus.
 PLAIN_CAPITALS = ("ok", "am", "pm", "tv", "us", "uk", "id", "ai", "iou")
 
 
-@dataclass
-class Index:
-    """counts: token, path, chunk, tf, uses, len (tokens of the passage); stats: one row, n_docs and mean_len; path: the folder of the counts."""
-
-    counts: DataFrame
-    stats: DataFrame
-    path: str
-
-
-def postings(passages: DataFrame) -> DataFrame:
-    """token, path, chunk, tf, positions of every token of every passage."""
-    tokens = passages.select("path", "chunk", F.posexplode(C.tokens(F.col("text"))).alias("pos", "token"))
-    return tokens.groupBy("token", "path", "chunk").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
 def corpus_stats(passages: DataFrame) -> DataFrame:
     """One row: n passages, mean length in tokens."""
     sizes = passages.select(F.size(C.tokens(F.col("text"))).alias("len"))
     return sizes.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("len") / F.count(F.lit(1))).alias("mean_len"))
 
 
-def token_counts(passages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """token, path, chunk, tf, uses, len. ``weights``: text fields whose tokens count so much; else all tokens of ``text`` count one.
-
-    The passages are shuffled once, by path and chunk; counts and lengths follow without another shuffle.
-    """
-    fields = F.array(*[F.struct(F.lit(w).alias("w"), C.tokens(F.col(f)).alias("t")) for f, w in (weights or {"text": 1}).items()])
-    rows = passages.repartition("path", "chunk").select("path", "chunk", F.explode(fields).alias("f")).select("path", "chunk", "f.w", F.explode("f.t").alias("token"))
-    counts = rows.groupBy("path", "chunk", "token").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("uses"))
-    return counts.select("token", "path", "chunk", "tf", "uses", F.sum("uses").over(W.partitionBy("path", "chunk")).alias("len"))
-
-
-def build_index(passages: DataFrame, weights: dict[str, float] | None = None) -> Index:
-    """Tokenises the passages once and stores the index in the shared folder."""
-    spark, path = passages.sparkSession, fresh_path(passages.sparkSession, "search-index")
-    token_counts(passages, weights).sortWithinPartitions("token").write.parquet(path)
-    counts = spark.read.parquet(path)
-    n = passages.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(counts.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("total")))  # one row each
-    return Index(counts, stored(n.select("n_docs", (F.col("total") / F.col("n_docs")).alias("mean_len")), "search-stats"), path)
-
-
 def terms_of(queries: DataFrame, legacy: bool = False) -> DataFrame:
     """q, term, n_terms of queries (q, query)."""
     rows = queries.select("q", C.query_terms(F.col("query"), legacy).alias("terms"))
@@ -78,40 +43,52 @@ def indexed(passages: DataFrame | Index) -> Index:
 
 
 def expand_prefixes(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """term, token: every token that begins with a term. An equi-join on heads of up to ``LONGEST_PREFIX`` characters, no LIKE; longer terms are then compared whole."""
-    wanted = terms.select("term").distinct().withColumn("head", F.left("term", F.lit(LONGEST_PREFIX)))
-    heads = tokens.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(LONGEST_PREFIX))), lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("head"))
-    return heads.join(wanted, "head").where(F.startswith("token", "term")).select("term", "token")
-
-
-def term_hits(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """term, path, chunk, tf, len: uses of all tokens that begin with the term."""
-    matches = expand_prefixes(terms, counts.select("token").distinct())
-    return counts.join(matches, "token").groupBy("term", "path", "chunk").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
-
-
-def phrase_hits(phrases: DataFrame, passages: DataFrame, index: Index | None = None) -> DataFrame:
-    """phrase, path, chunk, tf, len: exact word sequences. Only passages with a phrase's rarest word are read word by word."""
-    counts = (index or indexed(passages)).counts
-    words = phrases.select("phrase", F.explode(F.array_distinct(C.tokens(F.col("phrase")))).alias("token")).distinct()
-    used = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words.join(used, "token", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rarest"))
-    found = counts.join(rarest.select("phrase", F.col("rarest.token").alias("token")), "token").select("phrase", "path", "chunk", "len")
-    texts = passages.select("path", "chunk", C.tokens(F.col("text")).alias("have"))
-    both = found.join(texts, ["path", "chunk"]).select("*", C.tokens(F.col("phrase")).alias("want"))
-    both = both.where(F.contains(F.array_join("have", " "), F.array_join("want", " ")))
-    starts = F.filter(F.sequence(F.lit(1), F.size("have") - F.size("want") + 1), lambda i: (F.element_at("have", i) == F.element_at("want", 1)) & (F.slice("have", i, F.size("want")) == F.col("want")))
-    return both.select("phrase", "path", "chunk", F.size(starts).cast("long").alias("tf"), "len").where("tf > 0")
-
-
-def score(hits: DataFrame, terms: DataFrame, stats: DataFrame, key: str = "term") -> DataFrame:
-    """q, path, chunk, score, matched, n_terms: BM25 over a query's terms, for hits (term, path, chunk, tf, len) and the index's one row of stats."""
+    """term, token: every token that begins with a term. Tokens meet terms by their beginnings of the lengths that terms have: an equi-join, no LIKE."""
+    wanted = terms.select("term").distinct()
+    sizes = wanted.agg(F.collect_set(F.length("term")).alias("sizes"))  # one row of the lengths that occur
+    heads = tokens.select("token").crossJoin(F.broadcast(sizes)).select("token", F.explode(F.filter("sizes", lambda n: n <= F.length("token"))).alias("n"))
+    return heads.select("token", F.expr("left(token, n)").alias("term")).join(wanted, "term").select("term", "token")
+
+
+def term_hits(terms: DataFrame, index: Index) -> DataFrame:
+    """term, path, chunk, tf, len: uses of all tokens that begin with the term. Only the buckets of the terms are read."""
+    buckets = index.buckets_of(terms)
+    matches = expand_prefixes(terms, index.dictionary(buckets))
+    return index.postings(buckets).join(matches, "token").groupBy("term", "path", "chunk").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
+
+
+def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
+    """phrase, path, chunk, tf, len: exact word sequences, from positions. A phrase starts where its rarest word says; the passages there are asked for the others.
+
+    Phrases without a word have no hits.
+    """
+    words = stored(phrases.select("phrase").distinct().select("phrase", F.posexplode(C.tokens(F.col("phrase"))).alias("at", "token")), "phrase-words")
+    buckets = index.buckets_of(words.select(F.col("token").alias("term")))
+    found = index.postings(buckets).join(words.select("token").distinct(), "token", "left_semi")
+    used = words.join(index.dictionary(buckets), "token", "left")
+    rarest = used.groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "token")).alias("r"), F.count(F.lit(1)).alias("n")).select("phrase", "n", "r.token", "r.at")
+    starts = found.join(rarest, "token").select("phrase", "n", "at", "path", "chunk", "len", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    rest = words.join(rarest.select("phrase", F.col("at").alias("_at")), "phrase").where("at <> _at").select("phrase", "token", "at")
+    asked = starts.select("phrase", "path", "chunk", "starts").join(rest, "phrase").join(found.select("token", "path", "chunk", "positions"), ["token", "path", "chunk"])
+    met = asked.select("phrase", "path", "chunk", F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("at"))).alias("s")).where("size(s) > 0")
+    whole = met.select("phrase", "path", "chunk", F.explode("s").alias("start")).groupBy("phrase", "path", "chunk", "start").agg(F.count(F.lit(1)).alias("k"))
+    many = whole.join(starts.select("phrase", "n", "path", "chunk", "len"), ["phrase", "path", "chunk"]).where("k = n - 1").groupBy("phrase", "path", "chunk").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    single = starts.where("n = 1").select("phrase", "path", "chunk", F.size("starts").cast("long").alias("tf"), "len")
+    return single.unionByName(many)
+
+
+def parts(hits: DataFrame, stats: DataFrame, key: str = "term") -> DataFrame:
+    """key, path, chunk, part: the BM25 part of hits (key, path, chunk, tf, len), with the index's one row of stats."""
     seen = hits.groupBy(key).agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weights = seen.crossJoin(F.broadcast(stats)).select(key, idf.alias("idf"), "mean_len")
     part = -F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = hits.join(weights, key).select(key, "path", "chunk", part.alias("part"))
-    return terms.join(scored, key).groupBy("q", "path", "chunk").agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
+    return hits.join(weights, key).select(key, "path", "chunk", part.alias("part"))
+
+
+def score(hits: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """q, path, chunk, score, matched, n_terms: BM25 over a query's terms, for hits (term, path, chunk, tf, len)."""
+    return terms.join(parts(hits, stats), "term").groupBy("q", "path", "chunk").agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
 
 
 def ranked(hits: DataFrame, limit: int = LIMIT, per_call: int | None = PER_CALL, overfetch: int = OVERFETCH) -> DataFrame:
@@ -126,9 +103,9 @@ def ranked(hits: DataFrame, limit: int = LIMIT, per_call: int | None = PER_CALL,
 
 def search(passages: DataFrame | Index, queries: DataFrame, mode: str = "auto", legacy: bool = False) -> DataFrame:
     """All scored hits. ``and``: every term; ``or``: any; ``auto``: any, only for queries that no passage meets whole."""
-    index, terms = indexed(passages), terms_of(queries, legacy)
+    index, terms = indexed(passages), stored(terms_of(queries, legacy), "search-terms")
     # The hits of each term are read twice, to count and to score them.
-    hits = score(stored(term_hits(terms, index.counts), "search-hits"), terms, index.stats)
+    hits = score(stored(term_hits(terms, index), "search-hits"), terms, index.stats)
     if mode == "or":
         return hits
     if mode == "and":
@@ -137,53 +114,125 @@ def search(passages: DataFrame | Index, queries: DataFrame, mode: str = "auto",
     return hits.join(whole, "q").where((F.col("matched") == F.col("n_terms")) | ~F.col("_whole")).drop("_whole")
 
 
-def scoped_search(passages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of any term for queries (q, query, scope) over passages (path, chunk, text, grp), each within its scope only: scope, q, path, chunk, score."""
-    hits = search(passages, queries.select("q", "query").distinct(), "or").join(passages.select("path", "chunk", "grp").distinct(), ["path", "chunk"])
-    asked = queries.select(F.col("q").alias("_q"), "scope").distinct()
-    within = hits.join(asked, (F.col("q") == F.col("_q")) & F.col("grp").eqNullSafe(F.col("scope")))
-    return within.select("scope", "q", "path", "chunk", "score")
+def leaks(hits: DataFrame, truth: DataFrame) -> DataFrame:
+    """scope, hits, leaks: hits (scope, path), and those that by the truth (path, grp) belong to another group."""
+    return hits.join(truth.select("path", "grp"), "path").groupBy("scope").agg(F.count(F.lit(1)).alias("hits"), F.count_if(~F.col("grp").eqNullSafe(F.col("scope"))).alias("leaks"))
 
 
-def leaks(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """scope, leaks: hits (scope, path) that by the truth (path, grp) belong to another group."""
-    return hits.join(truth.select("path", "grp"), "path").groupBy("scope").agg(F.count_if(~F.col("grp").eqNullSafe(F.col("scope"))).alias("leaks"))
+def topic_index(topics: DataFrame, weights: dict[str, float] | None = None) -> Index:
+    """The index of rows (path, title, summary, tags, participants as text) by their weighted fields."""
+    return build_index(topics.withColumn("chunk", F.lit(0).cast("long")), weights or TOPIC_WEIGHTS)
 
 
-def topic_search(topics: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Column-weighted BM25 over rows (path, title, summary, tags, participants as text), all terms: q, path, score, snippet."""
-    weights = weights or TOPIC_WEIGHTS
-    terms, index = terms_of(queries), build_index(topics.withColumn("chunk", F.lit(0)), weights)
-    hits = score(stored(term_hits(terms, index.counts), "topic-hits"), terms, index.stats).where("matched = n_terms")
+def topic_search(topics: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
+    """Column-weighted BM25 over topics, all terms: q, path, score, snippet."""
+    terms, index = stored(terms_of(queries), "search-terms"), index or topic_index(topics)
+    hits = score(stored(term_hits(terms, index), "topic-hits"), terms, index.stats).where("matched = n_terms")
     return hits.join(topics.select("path", F.left("summary", F.lit(160)).alias("snippet")), "path").select("q", "path", "score", "snippet")
 
 
 def fuse(passages: DataFrame, topics: DataFrame, limit: int = LIMIT, slots: int = TOPIC_SLOTS) -> DataFrame:
-    """q, path, source, place: passages (q, path, rank) first, up to ``slots`` places kept for calls that only topics (q, path, score) find, then the rest."""
+    """q, path, chunk, source, place: passages (q, path, rank; chunk, if they have it) first, up to ``slots`` places kept for calls that only topics (q, path, score) find, then the rest."""
     only = topics.join(passages.select("q", "path").distinct(), ["q", "path"], "left_anti")
     only = only.select("q", "path", F.row_number().over(W.partitionBy("q").orderBy("score", "path")).alias("rank"))
     kept = only.groupBy("q").agg(F.least(F.count(F.lit(1)), F.lit(slots)).alias("kept"))
-    first = passages.join(kept, "q", "left").select("q", "path", F.lit("passage").alias("source"), "rank", F.when(F.col("rank") <= limit - F.coalesce("kept", F.lit(0)), 0).otherwise(2).alias("stage"))
-    every = first.unionByName(only.select("q", "path", F.lit("topic").alias("source"), "rank", F.lit(1).alias("stage")))
+    passages = passages if "chunk" in passages.columns else passages.withColumn("chunk", F.lit(None).cast("long"))
+    first = passages.join(kept, "q", "left").select("q", "path", "chunk", F.lit("passage").alias("source"), "rank", F.when(F.col("rank") <= limit - F.coalesce("kept", F.lit(0)), 0).otherwise(2).alias("stage"))
+    every = first.unionByName(only.select("q", "path", F.lit(None).cast("long").alias("chunk"), F.lit("topic").alias("source"), "rank", F.lit(1).alias("stage")))
     place = F.row_number().over(W.partitionBy("q").orderBy("stage", "rank"))
-    return every.withColumn("place", place).where(F.col("place") <= limit).select("q", "path", "source", "place")
+    return every.withColumn("place", place).where(F.col("place") <= limit).select("q", "path", "chunk", "source", "place")
+
+
+def _forms(terms: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, form: what a term (keys, term) can be: itself, and the members of the first group (keys, grp_no, members) that has it as a single word."""
+    member = groups.select(*keys, "grp_no", "members", F.explode("members").alias("term")).where("not contains(term, ' ')")
+    first = member.groupBy(*keys, "term").agg(F.min(F.struct("grp_no", "members"))["members"].alias("members"))
+    forms = terms.select(*keys, "term").distinct().join(first, [*keys, "term"], "left")
+    forms = forms.select(*keys, "term", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("members", F.array().cast("array<string>"))))).alias("form"))
+    return forms.withColumn("form", F.trim(F.regexp_replace(F.translate("form", '"', " "), " +", " "))).where("form <> ''").distinct()
+
 
+def form_hits(forms: DataFrame, index: Index) -> DataFrame:
+    """form, path, chunk, part: what each form (a prefix, or a phrase of several words) adds to a passage's score."""
+    wanted = stored(forms.select("form").distinct(), "search-forms")
+    by_word = term_hits(wanted.where("not contains(form, ' ')").select(F.col("form").alias("term")), index).withColumnRenamed("term", "form")
+    by_phrase = phrase_hits(wanted.where("contains(form, ' ')").select(F.col("form").alias("phrase")), index).withColumnRenamed("phrase", "form")
+    return parts(stored(by_word.unionByName(by_phrase), "form-hits"), index.stats, "form")
 
-def alias_search(passages: DataFrame, queries: DataFrame, groups: DataFrame, index: Index | None = None) -> DataFrame:
+
+def matched(terms: DataFrame, forms: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """q, path, chunk, score, matched, n_terms of terms (q, keys, term, n_terms): every form scores for itself; a term is met if any form is."""
+    asked = terms.join(forms, [*keys, "term"]).select("q", "term", "n_terms", "form")
+    return asked.join(found, "form").groupBy("q", "path", "chunk").agg(F.round(F.sum("part"), 9).alias("score"), F.count_distinct("term").alias("matched"), F.first("n_terms").alias("n_terms"))
+
+
+def alias_search(passages: DataFrame | Index, queries: DataFrame, groups: DataFrame) -> DataFrame:
     """Search in which a term that is a single-word member of an alias group (grp_no, members array) means any member; the first group counts."""
-    index, terms = index or indexed(passages), terms_of(queries)
-    member = groups.select("grp_no", "members", F.explode("members").alias("term")).where("not contains(term, ' ')")
-    first = member.groupBy("term").agg(F.min(F.struct("grp_no", "members"))["members"].alias("members"))
-    forms = terms.select("term").distinct().join(first, "term", "left").select("term", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("members", F.array().cast("array<string>"))))).alias("form"))
-    forms = forms.withColumn("form", F.trim(F.regexp_replace(F.translate("form", '"', " "), " +", " "))).where("form <> ''")
-    by_word = term_hits(forms.where("not contains(form, ' ')").select(F.col("form").alias("term")), index.counts).withColumnRenamed("term", "form")
-    by_phrase = phrase_hits(forms.where("contains(form, ' ')").select(F.col("form").alias("phrase")).distinct(), passages, index).withColumnRenamed("phrase", "form")
-    found = stored(forms.join(by_word.unionByName(by_phrase), "form"), "alias-hits")
-    # Each form scores as a phrase of its own; a term is met if any form is.
-    unit = F.concat_ws("\u0001", "term", "form").alias("unit")
-    scored = score(found.select(unit, "path", "chunk", "tf", "len"), terms.join(forms, "term").select("q", unit, "n_terms"), index.stats, "unit")
-    met = terms.join(found.select("term", "path", "chunk").distinct(), "term").groupBy("q", "path", "chunk").agg(F.count(F.lit(1)).alias("met"))
-    return scored.drop("matched").join(met, ["q", "path", "chunk"]).where("met = n_terms").select("q", "path", "chunk", "score", "n_terms")
+    index, terms = indexed(passages), stored(terms_of(queries), "search-terms")
+    forms = _forms(terms, groups, [])
+    return matched(terms, forms, form_hits(forms, index), []).where("matched = n_terms").drop("matched")
+
+
+@dataclass
+class Corpus:
+    """What a whole search reads: two indexes and the tables that filter and show their hits.
+
+    calls: path, title, day, grp, kind, participants, tags (arrays), summary; chunks: path, chunk, start_ms, speaker, text;
+    aliases: grp_no, grp ("" for all workspaces), members (array, lower case).
+    """
+
+    passages: Index
+    topics: Index
+    calls: DataFrame
+    chunks: DataFrame
+    aliases: DataFrame
+
+
+def _asked_for(hits: DataFrame, calls: DataFrame, asked: DataFrame) -> DataFrame:
+    """The hits (q, path, ...) whose call a question lets through: whole participants and tags whatever their case, a first day, one workspace."""
+    has = lambda values, wanted: F.col(wanted).isNull() | F.array_contains(F.transform(values, lambda x: F.lower(x)), F.lower(wanted))
+    rows = hits.join(asked.select("q", "participant", "tag", "since", "speaker", F.col("grp").alias("scope")), "q").join(calls, "path")
+    fits = has("participants", "participant") & has("tags", "tag") & (F.col("since").isNull() | (F.col("day") >= F.col("since"))) & (F.col("scope").isNull() | (F.col("grp") == F.col("scope")))
+    return rows.where(fits)
+
+
+def whole_search(corpus: Corpus, queries: DataFrame, limit: int = LIMIT, slots: int = TOPIC_SLOTS, snippet_words: int = 14, without: DataFrame | None = None) -> DataFrame:
+    """q, place, source, path, title, day, start_ms, speaker, score, snippet for questions (q, query, participant, tag, since, speaker, grp; null: any).
+
+    Spoken passages and topics (title, summary, tags, participants) are both asked, with the workspace's aliases. A question
+    is answered by hits of all its terms if there are any on either surface, else by hits of any term. Filters are applied to the
+    candidates, before any limit. Passages come first, two of a call at most; places are kept for calls that only their topic finds;
+    a question for one speaker has no topics. ``without``: calls (q, path) that are no candidates of a question.
+    """
+    asked = stored(queries.select("q", "query", "participant", "tag", F.col("since").cast("date").alias("since"), "speaker", "grp"), "asked")
+    scope = F.coalesce(F.concat(F.lit("s"), "grp"), F.lit("")).alias("scope")  # "" for every workspace, which no name is
+    terms = terms_of(asked).join(asked.select("q", scope), "q")
+    terms = stored(terms, "search-terms")
+    scopes = terms.select("scope").distinct()
+    seen = corpus.aliases.join(scopes, (F.col("scope") == "") | (F.col("grp") == "") | (F.concat(F.lit("s"), "grp") == F.col("scope")))
+    forms = stored(_forms(terms, seen.select("scope", "grp_no", "members"), ["scope"]), "search-forms")
+    free = lambda hits: hits if without is None else hits.join(without, ["q", "path"], "left_anti")
+    spoken = _asked_for(free(matched(terms, forms, form_hits(forms, corpus.passages), ["scope"])), corpus.calls, asked)
+    spoken = spoken.withColumnRenamed("speaker", "wanted").join(corpus.chunks.select("path", "chunk", "start_ms", "speaker"), ["path", "chunk"])
+    spoken = stored(spoken.where(F.col("wanted").isNull() | (F.col("wanted") == F.col("speaker"))).select("q", "path", "chunk", "score", "matched", "n_terms", "start_ms", "speaker"), "passage-hits")
+    topical = _asked_for(free(matched(terms, forms, form_hits(forms, corpus.topics), ["scope"])), corpus.calls.where("kind = 'call'"), asked.where("speaker is null"))
+    topical = stored(topical.select("q", "path", "score", "matched", "n_terms"), "topic-hits")
+    every = spoken.select("q", "matched", "n_terms").unionByName(topical.select("q", "matched", "n_terms"))
+    whole = every.groupBy("q").agg(F.bool_or(F.col("matched") == F.col("n_terms")).alias("_whole"))
+    told = lambda hits: hits.join(whole, "q").where(~F.col("_whole") | (F.col("matched") == F.col("n_terms"))).drop("_whole")
+    passages = stored(ranked(told(spoken), limit), "passages")
+    topics = told(topical).withColumn("_t", F.row_number().over(W.partitionBy("q").orderBy("score", "path"))).where(F.col("_t") <= limit)
+    shown = fuse(passages.select("q", "path", "chunk", "rank"), topics.select("q", "path", "score"), limit, slots)
+    shown = shown.join(passages.select("q", "path", "chunk", "score", "start_ms", "speaker"), ["q", "path", "chunk"], "left")
+    shown = shown.join(topics.select("q", "path", F.col("score").alias("_topic")), ["q", "path"], "left").join(corpus.calls.select("path", "title", "day", "summary"), "path")
+    shown = stored(shown, "shown")
+    words = terms.join(forms, ["scope", "term"]).where("not contains(form, ' ')").groupBy("q").agg(F.collect_set("form").alias("terms"))
+    texts = shown.where("source = 'passage'").select("q", "place", "path", "chunk").join(corpus.chunks.select("path", "chunk", "text"), ["path", "chunk"]).join(words, "q")
+    cut = snippets(texts.select("q", "place", "text", "terms"), ["q", "place"], snippet_words)
+    topic_text = F.coalesce(F.nullif(F.left("summary", F.lit(160)), F.lit("")), F.lit("matched on topic"))
+    spoke = F.col("source") == "passage"
+    out = shown.join(cut, ["q", "place"], "left")
+    return out.select("q", "place", "source", "path", "title", "day", F.when(spoke, F.col("start_ms")).otherwise(0).alias("start_ms"), "speaker", F.when(spoke, F.col("score")).otherwise(F.col("_topic")).alias("score"), F.when(spoke, F.col("snippet")).otherwise(topic_text).alias("snippet"))
 
 
 def snippets(rows: DataFrame, ids: list[str], size: int = 14) -> DataFrame:

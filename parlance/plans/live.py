@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.adapters import Tables
 from parlance.operators import ordered as O
+from parlance.operators.index import PublishedCorpus
+from parlance.operators.search import TOPIC_WEIGHTS
 from parlance.plans import search as P
 from parlance.plans.ordered import DWELL, SCREEN_TEXTS, rendered, screen_texts
 from parlance.registry import query
@@ -33,16 +35,37 @@ def stream_partials(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out)
 
 
-@query("")
+def _spoken(t: Tables) -> DataFrame:
+    """The conversations as lines of live calls that all begin together, and a last heartbeat."""
+    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").alias("seq"), (F.col("turn") * 15000).cast("long").alias("ms"), "text")
+    beat = t.conversations.agg(F.max("turn").alias("last")).select(F.lit(-1).cast("long").alias("call"), (F.col("last") + 1).alias("seq"), ((F.col("last") + 1) * 15000 + 10_000_000).cast("long").alias("ms"), F.lit(None).cast("string").alias("text"))
+    return L.replay(lines.unionByName(beat), "seq", "call", parts=2)
+
+
+def _ticks_sql(every: int, tail: str, ready: str) -> list[str]:
+    """Questions (q, call, tick, query) of the conversations as live calls."""
+    return [
+        f"lines as (select conv_id as call, turn as seq, ceil(turn * 15000 / {every})::bigint as tick, replace(text, chr(10), ' ') as text from conversations)",
+        "said as (select t.call, t.tick, regexp_replace(string_agg(l.text, ' ' order by seq), '^\\s+|\\s+$', '', 'g') as flat from (select distinct call, tick from lines) t join lines l on l.call = t.call and l.tick <= t.tick group by 1, 2)",
+        f"cut as (select call, tick, {tail} as query from said)",
+        f"ticks as (select call || '/' || tick as q, call, tick, query from (select *, lag(query) over (partition by call order by tick) as was from cut where {ready}) where was is distinct from query)",
+    ]
+
+
+_RECALL_TAIL = "case when length(flat) <= 600 then flat when contains(right(flat, 600), ' ') then substr(right(flat, 600), strpos(right(flat, 600), ' ') + 1) else right(flat, 600) end"
+
+
+@query("", P._sql(*_ticks_sql(20_000, _RECALL_TAIL, "length(query) >= 80"), P._DOCS, "g as (select q, query from ticks)", P._queries_sql("g"), P._index_sql("p"), P._SCORE, P._AUTO, select=f"select call, tick, path, rank from ({P._ranked_sql('(select * from auto)', 3, keep=1)}) join ticks using (q)"))
 def stream_recall(t: Tables) -> DataFrame:
-    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), (F.col("turn") * 15000).cast("long").alias("ms"), "text")
-    return L.recall(L.replay(lines, "seq", "call", parts=2), P.index(t))
+    return L.recall(_spoken(t), P.index(t))
+
 
+_RELATED = "asked as (select q, query, null::varchar as participant, null::varchar as tag, null::date as since, null::varchar as speaker, grp, call as own from ticks join talks on talks.path = ticks.call)"
 
-@query("")
+
+@query("", P._sql(*_ticks_sql(5_000, "right(flat, 400)", "len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '')) >= 4"), *P._whole_ctes(_RELATED, 12, "own <> talks.path"), select="select call, tick, path, start_ms, rank from (select *, row_number() over (partition by call, tick order by place) as rank from (select k.call, k.tick, s.path, min(s.place) as place, min_by(s.start_ms, s.place) as start_ms from shown s join ticks k using (q) where s.start_ms > 0 and s.score <= -0.5 group by 1, 2, 3)) where rank <= 4"))
 def stream_related(t: Tables) -> DataFrame:
-    lines = t.conversations.select(F.col("conv_id").alias("call"), F.col("turn").cast("long").alias("seq"), (F.col("turn") * 15000).cast("long").alias("ms"), "text")
-    return L.recall(L.replay(lines, "seq", "call", parts=2), P.index(t), L.RELATED_TAIL, 1, L.RELATED_WORDS, L.RELATED_K, L.RELATED_FLOOR, L.RELATED_MS)
+    return L.related(_spoken(t), P.corpus(t))
 
 
 @query("screens", "select call, event_id from f where out", ctes=DWELL)
@@ -55,12 +78,39 @@ def stream_screen_dedup(t: Tables) -> DataFrame:
     return L.drain(L.kept_screens(L.replay(screen_texts(t).withColumn("call", F.col("call").cast("string")), "seq", "call", parts=3)))
 
 
-@query("snapshot_old snapshot_new", "select coalesce(n.path, o.path) as path, case when n.path is not null and (o.path is null or abs(n.mtime - o.mtime) >= 0.01) then n.mtime else o.mtime end as mtime from snapshot_new n full join snapshot_old o on n.path = o.path")
+def _corpus(t: Tables) -> PublishedCorpus:
+    return PublishedCorpus(t.spark, fresh_path(t.spark, "published"), TOPIC_WEIGHTS)
+
+
+def _load(t: Tables, edited: str):
+    """Loads documents by path: a call, a passage per line, a topic, and a commitment of those with a source. ``edited``: the text as it is by then."""
+
+    def load(paths: DataFrame) -> dict[str, DataFrame]:
+        docs = t.documents.select(F.col("doc_id").alias("path"), F.expr(edited).alias("text"), "source").join(paths.select("path", "mtime"), "path")
+        lines = docs.select("path", F.posexplode(F.split("text", "\n")).alias("chunk", "text"))
+        title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))
+        return {
+            "calls": docs.select("path", "mtime", title.alias("title")),
+            "chunks": lines.select("path", F.col("chunk").cast("long").alias("chunk"), "text"),
+            "topics": docs.select("path", title.alias("title"), F.left("text", F.lit(160)).alias("summary"), F.lit("").alias("tags"), F.col("source").alias("participants")),
+            "commitments": docs.where("source is not null").select("path", F.col("source").alias("owner"), title.alias("text"), F.lit("open").alias("status")),
+        }
+
+    return load
+
+
+_EDITED = "case when doc_id % 13 = 0 then text || '\nrevised edition' else text end"
+
+
+@query("snapshot_new", "select path, mtime + case when path % 26 = 0 and path % 2 = 0 then 10 else 0 end as mtime from snapshot_new")
 def stream_reconcile(t: Tables) -> DataFrame:
-    index = SnapshotTable(t.spark, fresh_path(t.spark, "index"))
-    index.publish(t.snapshot_old, 0)
-    L.reconcile_stream(L.replay(t.snapshot_new, "path", "path", parts=2), index)
-    return index.current().select("path", "mtime")
+    """Three scans: the old state; the new one, complete; half of it again, later and incomplete, which removes nothing."""
+    scan = lambda df, n, complete: df.select(F.lit(n).cast("long").alias("scan"), "path", "mtime", F.lit(complete).alias("complete"))
+    half = t.snapshot_new.where("path % 2 = 0").withColumn("mtime", F.expr("mtime + case when path % 26 = 0 then 10 else 0 end"))
+    scans = scan(t.snapshot_old, 0, True).unionByName(scan(t.snapshot_new, 1, True)).unionByName(scan(half, 2, False))
+    corpus = _corpus(t)
+    L.reconcile_stream(L.replay(scans, "scan", "path", parts=3), corpus, _load(t, "text"))
+    return corpus.read("calls").select("path", "mtime")
 
 
 @query("", "select user_id as note, count(*) as entries, max(ts) as updated from events group by 1")
@@ -69,12 +119,30 @@ def stream_captures(t: Tables) -> DataFrame:
     return L.capture_stream(L.replay(rows, "stamp", "note", parts=3))
 
 
-@query("snapshot_old snapshot_new", "select path, mtime from snapshot_old where path not in (select path from snapshot_new) union all select path, mtime from snapshot_new")
+_NEW = f"new as (select path, mtime, source, case when path % 13 = 0 then text || chr(10) || 'revised edition' else text end as text from snapshot_new join documents on doc_id = path), lines as (select path, unnest(string_split(text, chr(10))) as line from new)"
+
+
+@query("snapshot_new", f"select 'calls' as tbl, path, 1::bigint as n, mtime::varchar as v from new union all select 'chunks', path, count(*), sum(length(line))::varchar from lines group by path union all select 'topics', path, 1, left(text, 160) from new union all select 'commitments', path, 1, source from new where source is not null union all select 'revised', path, count(*), 'revised' from lines where list_contains({P._SPLIT.format('line')}, 'revised') group by path", ctes=_NEW)
 def index_publish(t: Tables) -> DataFrame:
-    index = SnapshotTable(t.spark, fresh_path(t.spark, "index"))
-    index.publish(t.snapshot_old, 0)
-    index.upsert(t.snapshot_new, 1)
-    return index.current().select("path", "mtime")
+    """The old state, then the new one's changes and removals, under one manifest each; a replayed batch; a merge. All tables as they are then, and a phrase of the index."""
+    from parlance.operators.documents import reconcile
+    from parlance.operators.search import phrase_hits, term_hits
+
+    corpus = _corpus(t)
+    corpus.apply(**_load(t, "text")(t.snapshot_old), batch=0)
+    changes = reconcile(t.snapshot_new, corpus.read("calls"))
+    fresh = t.snapshot_new.join(changes.where("change in ('new', 'changed')").select("path"), "path", "left_semi")
+    edits = _load(t, _EDITED)(fresh)
+    assert corpus.apply(**edits, removed=changes.where("change = 'removed'").select("path"), batch=1)
+    assert not corpus.apply(**edits, batch=1)
+    before = term_hits(t.spark.createDataFrame([("revised",)], "term string"), corpus.spoken).count()
+    corpus.merge()
+    found = phrase_hits(t.spark.createDataFrame([("revised edition",)], "phrase string"), corpus.spoken).unionByName(phrase_hits(t.spark.createDataFrame([("revised",)], "phrase string"), corpus.spoken)).select("path", "chunk").distinct()
+    assert found.count() == before
+    rows = lambda name, n, v, by=("path",): corpus.read(name).groupBy(*by).agg(n.alias("n"), v.alias("v")).select(F.lit(name).alias("tbl"), "path", "n", F.col("v").cast("string").alias("v"))
+    one = F.count(F.lit(1))
+    out = rows("calls", one, F.first("mtime")).unionByName(rows("chunks", one, F.sum(F.length("text")))).unionByName(rows("topics", one, F.first("summary"))).unionByName(rows("commitments", one, F.first("owner")))
+    return out.unionByName(found.groupBy("path").agg(one.alias("n")).select(F.lit("revised").alias("tbl"), "path", "n", F.lit("revised").alias("v")))
 
 
 @query("registry", "select id, name, kind, grp, confirmed from registry where id % 2 = 0")

@@ -45,7 +45,7 @@ from parlance.llm._tokens import END_ID, tokenizer
 #: A block is closed when it has at least this many ids.
 BLOCK_IDS = 1 << 18
 #: Rows that a task encodes at once are cut so that they hold about this many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: A part (one task's ids) should hold about this many ids; there are as many parts as shuffle partitions at least.
 PART_IDS = 1 << 22
 

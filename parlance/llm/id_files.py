@@ -176,8 +176,8 @@ def write_id_files(docs: DataFrame, vocabulary: str, path: str, parts: int | Non
         if held:
             yield close()
 
-    # An id that many rows have (null, say) is split by what the rows hold, then by their places.
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("tie")]
+    # An id that many rows have (null, say) is split by the rows' places.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ordered = staged.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
     ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
 

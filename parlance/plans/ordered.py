@@ -26,9 +26,10 @@ def rendered(segments: DataFrame) -> DataFrame:
     return rows.select("call", F.array_join(F.transform("rows", lambda r: r["line"]), "\n\n").alias("body"))
 
 
-@query("segments", f"select call, seq, text from (select call, seq, {_CLEAN} as text from (select call, seq, 'um, ' || regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') || ' Hmm , uh yes' as text from segments)) where text <> ''")
+@query("segments", f"select call, seq, text from (select call, seq, replace({_CLEAN}, '_zq_', '') as text from (select call, seq, regexp_replace('um, ' || text || ' Hmm , uh yes', '([^\\x00-\\x7F])', '_zq_\\1_zq_', 'g') as text from segments)) where text <> ''")
 def clean_segments(t: Tables) -> DataFrame:
-    spoken = F.concat(F.lit("um, "), F.regexp_replace("text", r"[^\x00-\x7F]", "x"), F.lit(" Hmm , uh yes"))
+    """Whole texts. Only ASCII counts as a word's part to DuckDB's ``\\b``, so its SQL puts marks of ASCII letters around the texts' other letters meanwhile."""
+    spoken = F.concat(F.lit("um, "), "text", F.lit(" Hmm , uh yes"))
     return t.segments.select("call", "seq", C.clean_speech(spoken).alias("text")).where("text <> ''")
 
 

@@ -162,13 +162,13 @@ def people_rollup(t: Tables) -> DataFrame:
     return R.spelled_rollup(t.documents.select(F.expr("case when doc_id % 3 = 0 then upper(source) else source end").alias("value")))
 
 
-@query("docs", "select path, left(title, 40) as title, concat_ws(',', case when path % 5 = 0 then 'edited' end, tag_lang, tag_quality) as tags from (select path, case when path % 5 = 0 then 'Edited ' || path else title end as title, tag_lang, tag_quality from docs)")
+@query("docs", "select path, title, concat_ws(',', case when path % 5 = 0 then 'edited' end, tag_lang, tag_quality) as tags from (select path, case when path % 5 = 0 then 'Edited ' || path else title end as title, tag_lang, tag_quality from docs)")
 def apply_edits(t: Tables) -> DataFrame:
     docs = _tags(t.docs)
     patch = docs.where("path % 5 = 0").select("path", F.concat(F.lit("Edited "), F.col("path").cast("string")).alias("title"), F.array(F.lit("edited")).alias("tags"))
     out = D.patched(docs, patch)
     order = F.array_sort("tags", lambda a, b: F.when(a == "edited", -1).when(b == "edited", 1).when(a.rlike("^q"), 1).when(b.rlike("^q"), -1).otherwise(0))
-    return out.select("path", F.left("title", F.lit(40)).alias("title"), F.array_join(order, ",").alias("tags"))
+    return out.select("path", "title", F.array_join(order, ",").alias("tags"))
 
 
 @query("docs", "select path, case when path % 4 = 0 then 'Digest ' || path else trim(title) end as title, case when path % 3 = 0 then 'made summary' else trim(summary) end as summary from docs where (path % 4 = 0 or trim(title) <> '') and (path % 3 = 0 or trim(summary) <> '')")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.columns import video_service
+from parlance.operators.folds import sorted_fold
 
 MAX_CHUNK_CHARS, MAX_CHUNK_MS = 500, 45_000
 
@@ -17,22 +20,28 @@ MAX_CHUNK_CHARS, MAX_CHUNK_MS = 500, 45_000
 def turn_chunks(lines: DataFrame, max_chars: int = MAX_CHUNK_CHARS, max_ms: int = MAX_CHUNK_MS) -> DataFrame:
     """Lines (call, seq, ms, speaker, text) to chunks: a new one on another speaker, or when the running one is full.
 
-    The budget starts anew with every chunk, so this is a fold over the call's sorted lines.
+    The budget starts anew with every chunk, so this is a fold over the call's sorted lines, linear in them: a chunk's texts are kept
+    as a list until it closes. Lines without text are passed over; a line or chunk without a time never fills a chunk by its length in time;
+    chunks of nothing but spaces take a number but give no row.
     """
-    empty = F.struct(F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit(None).cast("string").alias("speaker"), F.lit("").alias("text"))
-    start = F.struct(F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,speaker:string,text:string>>").alias("done"), empty.alias("now"))
 
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        held = now["text"] != ""
-        full = held & (~now["speaker"].eqNullSafe(x["speaker"]) | (F.length(now["text"]) >= max_chars) | (x["ms"] - now["start_ms"] >= max_ms))
-        fresh = full | ~held
-        grown = F.struct(F.when(fresh, x["ms"]).otherwise(now["start_ms"]).alias("start_ms"), x["ms"].alias("end_ms"), F.when(fresh, x["speaker"]).otherwise(now["speaker"]).alias("speaker"), F.when(fresh, x["text"]).otherwise(F.concat(now["text"], F.lit(" "), x["text"])).alias("text"))
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"), grown.alias("now"))
+    def closed(now: dict) -> list[tuple]:
+        text = " ".join(now["texts"]).strip(" ")
+        return [(now["no"], now["start"], now["end"], now["speaker"], text)] if text else []
 
-    rows = lines.where(F.col("text") != "").groupBy("call").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("ms").cast("long").alias("ms"), "speaker", "text"))).alias("rows"))
-    folded = rows.select("call", F.aggregate("rows", start, step).alias("f"))
-    return folded.select("call", F.posexplode(F.concat("f.done", F.array("f.now"))).alias("chunk_no", "c")).select("call", "chunk_no", "c.start_ms", "c.end_ms", "c.speaker", F.trim("c.text").alias("text")).where("text <> ''")
+    def step(now: dict | None, x: dict) -> tuple[dict, list[tuple]]:
+        late = now is not None and None not in (x["ms"], now["start"]) and x["ms"] - now["start"] >= max_ms
+        if now is not None and now["speaker"] == x["speaker"] and now["size"] < max_chars and not late:
+            now["texts"].append(x["text"])
+            now["size"] += 1 + len(x["text"])
+            now["end"] = x["ms"]
+            return now, []
+        fresh = {"no": 0 if now is None else now["no"] + 1, "start": x["ms"], "end": x["ms"], "speaker": x["speaker"], "texts": [x["text"]], "size": len(x["text"])}
+        return fresh, [] if now is None else closed(now)
+
+    rows = lines.where(F.col("text") != "").select("call", "seq", F.col("ms").cast("long").alias("ms"), F.col("speaker").cast("string").alias("speaker"), F.col("text").cast("string").alias("text"))
+    made = [("chunk_no", T.IntegerType()), ("start_ms", T.LongType()), ("end_ms", T.LongType()), ("speaker", T.StringType()), ("text", T.StringType())]
+    return sorted_fold(rows, ["call"], ["seq", "ms", "speaker", "text"], made, lambda: None, step, closed)
 
 
 def history_trim(turns: DataFrame, budget: int) -> DataFrame:
@@ -54,16 +63,14 @@ def close_turns(turns: DataFrame) -> DataFrame:
 
 
 def screen_dedup(screens: DataFrame, below: float = 0.85) -> DataFrame:
-    """Captures (call, seq, lines array) that differ from the last kept one; empty sets are dropped. A fold per call."""
-    rows = screens.where(F.size("lines") > 0).groupBy("call").agg(F.array_sort(F.collect_list(F.struct("seq", "lines"))).alias("rows"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<string>").alias("last"))
+    """Captures (call, seq, lines array) that differ from the last kept one; empty and null sets are dropped. A fold per call that holds the last kept set."""
 
-    def step(acc: Column, x: Column) -> Column:
-        union = F.size(F.array_union(acc["last"], x["lines"]))
-        new = F.size(F.array_intersect(acc["last"], x["lines"])) / union < below
-        return F.struct(F.when(new, F.concat(acc["kept"], F.array(x["seq"]))).otherwise(acc["kept"]).alias("kept"), F.when(new, x["lines"]).otherwise(acc["last"]).alias("last"))
+    def step(last: set, x: dict) -> tuple[set, list[tuple]]:
+        now = set(x["lines"])
+        return (now, [(x["seq"],)]) if len(now & last) / len(now | last) < below else (last, [])
 
-    return rows.select("call", F.explode(F.aggregate("rows", start, step)["kept"]).alias("seq"))
+    rows = screens.where(F.size("lines") > 0).select("call", F.col("seq").cast("long").alias("seq"), "lines")
+    return sorted_fold(rows, ["call"], ["seq", "lines"], [("seq", T.LongType())], set, step)
 
 
 def comparison_lines(text: Column) -> Column:
@@ -165,18 +172,24 @@ def meeting_match(recordings: DataFrame, meetings: DataFrame) -> DataFrame:
 
 
 def calendar_lanes(events: DataFrame, least: int = 15) -> DataFrame:
-    """Events (day, id, start_min, duration_min) to lanes: each takes the first lane that is free at its start. A fold per day."""
-    rows = events.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("start_min", "id", (F.col("start_min") + F.greatest(F.lit(least), "duration_min")).alias("end")))).alias("rows"))
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<id:bigint,lane:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.array_position(F.transform(acc["ends"], lambda e: e <= x["start_min"]), True)
-        lane = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"])).cast("int")
-        ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i == lane, x["end"].cast("long")).otherwise(e))).otherwise(F.concat(acc["ends"], F.array(x["end"].cast("long"))))
-        return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), lane.alias("lane")))).alias("out"))
-
-    folded = rows.select("day", F.aggregate("rows", start, step).alias("f"))
-    return folded.select("day", F.size("f.ends").alias("lanes"), F.explode("f.out").alias("o")).select("day", "o.id", "o.lane", "lanes")
+    """Events (grp, day, id, start_min, duration_min) to lanes: each takes the first lane of its workspace's day that is free at its start.
+
+    A fold with two heaps, of the busy lanes by their ends and of the free ones, so an event costs the logarithm of the lanes. Events without a
+    start have no place in a day and are left out; one without a duration takes the least.
+    """
+
+    def step(state: list, x: dict) -> tuple[list, list[tuple]]:
+        busy, free, n = state
+        while busy and busy[0][0] <= x["start_min"]:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        lane = heapq.heappop(free) if free else n
+        heapq.heappush(busy, (x["end"], lane))
+        return [busy, free, max(n, lane + 1)], [(x["id"], lane)]
+
+    end = F.col("start_min") + F.greatest(F.lit(least), "duration_min")
+    rows = events.where(F.col("start_min").isNotNull()).select("grp", "day", F.col("id").cast("long").alias("id"), F.col("start_min").cast("long").alias("start_min"), end.cast("long").alias("end"))
+    placed = sorted_fold(rows, ["grp", "day"], ["start_min", "id", "end"], [("id", T.LongType()), ("lane", T.IntegerType())], lambda: [[], [], 0], step)
+    return placed.select("grp", "day", "id", "lane", (F.max("lane").over(W.partitionBy("grp", "day")) + 1).alias("lanes"))
 
 
 def scope_moved(polls: DataFrame) -> DataFrame:

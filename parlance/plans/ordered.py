@@ -298,18 +298,19 @@ def screen_dedup(t: Tables) -> DataFrame:
     return O.screen_dedup(screen_texts(t))
 
 
-_LANES = """e as (select day, path as id, start_min, (start_min + greatest(15, duration_min))::bigint as stop, row_number() over (partition by day order by start_min, path) as n, count(*) over (partition by day) as size from calls),
-f(day, n, size, id, lane, ends) as (
-  select day, n, size, id, 0, [stop] from e where n = 1
+_LANES = """e as (select grp, day, path as id, start_min, (start_min + greatest(15, duration_min))::bigint as stop, row_number() over (partition by grp, day order by start_min, path) as n, count(*) over (partition by grp, day) as size from calls),
+f(grp, day, n, size, id, lane, ends) as (
+  select grp, day, n, size, id, 0, [stop] from e where n = 1
   union all
-  select e.day, e.n, e.size, e.id, (case when free > 0 then free - 1 else len(f.ends) end)::int,
+  select e.grp, e.day, e.n, e.size, e.id, (case when free > 0 then free - 1 else len(f.ends) end)::int,
     case when free > 0 then list_concat(list_concat(f.ends[1:free - 1], [e.stop]), f.ends[free + 1:]) else list_append(f.ends, e.stop) end
-  from f join e on e.day = f.day and e.n = f.n + 1, lateral (select coalesce(list_position(list_transform(f.ends, lambda x: x <= e.start_min), true), 0) as free) x)"""
+  from f join e on e.grp = f.grp and e.day = f.day and e.n = f.n + 1, lateral (select coalesce(list_position(list_transform(f.ends, lambda x: x <= e.start_min), true), 0) as free) x)"""
 
 
-@query("calls", "select f.day, f.id, f.lane, len(g.ends) as lanes from f join f g on g.day = f.day and g.n = g.size", ctes=_LANES)
+@query("calls", "select f.grp, f.day, f.id, f.lane, len(g.ends) as lanes from f join f g on g.grp = f.grp and g.day = f.day and g.n = g.size", ctes=_LANES)
 def calendar_lanes(t: Tables) -> DataFrame:
-    return O.calendar_lanes(t.calls.select("day", F.col("path").alias("id"), "start_min", "duration_min"))
+    """Lanes of each workspace's day."""
+    return O.calendar_lanes(t.calls.select("grp", "day", F.col("path").alias("id"), "start_min", "duration_min"))
 
 
 DWELL = """e as (select *, row_number() over (partition by call order by ts, event_id) as n from screens),

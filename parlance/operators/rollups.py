@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.sources.storage import stored
 
 def in_workspace(df: DataFrame, grp: str | None, column: str = "grp") -> DataFrame:
     """None: every workspace; "": the rows that have none; else that workspace."""
@@ -34,11 +35,29 @@ def co_occurring(mentions: DataFrame, entity_id) -> DataFrame:
     return rows.groupBy("entity_id").agg(F.countDistinct("path").alias("n_calls"))
 
 
-def co_occurring_all(mentions: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of entities (a < b) with at least so many calls in common."""
-    once = mentions.select("path", "entity_id").distinct()
-    a, b = once.withColumnRenamed("entity_id", "a"), once.withColumnRenamed("entity_id", "b")
-    return a.join(b, "path").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_calls")).where(F.col("n_calls") >= least)
+def co_occurring_in(mentions: DataFrame, calls: DataFrame, entities: DataFrame, entity_id, grp: str, limit: int = 20) -> DataFrame:
+    """The entities (id, name, kind) that share most calls of one workspace with an entity; ties by name, then id. A limit under 1 is 1."""
+    counts = co_occurring(mentions.join(calls.where(F.col("grp") == grp).select("path"), "path", "left_semi"), entity_id)
+    rows = entities.join(counts, entities["id"] == counts["entity_id"]).select("id", "name", "kind", "n_calls")
+    return rows.orderBy(F.desc("n_calls"), "name", "id").limit(max(1, limit))
+
+
+def co_occurring_all(mentions: DataFrame, least: int = 2, block: int = 512) -> DataFrame:
+    """Pairs of entities (a < b) with at least so many calls in common.
+
+    Entities of fewer calls than that can be in no such pair and go first. A call's entities are cut into blocks of about so many
+    by their hash, and its pairs are made one pair of blocks at a time, so that a call of many entities is spread over tasks
+    (a block's rows are copied once per block of the call). Null ids and paths pair with nothing.
+    """
+    once = mentions.select("path", "entity_id").where("path is not null and entity_id is not null").distinct()
+    often = once.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_calls")).where(F.col("_calls") >= least).select("entity_id")
+    rows = once.join(often, "entity_id")
+    blocks = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("path", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    placed = rows.join(blocks, "path").withColumn("_own", F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"))
+    first = placed.select("path", F.col("entity_id").alias("x"), F.col("_own").alias("i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("j"))
+    second = placed.select("path", F.col("entity_id").alias("y"), F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"))
+    pairs = first.join(second, ["path", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n_calls")).where(F.col("n_calls") >= least)
 
 
 def spelled_rollup(values: DataFrame, column: str = "value") -> DataFrame:
@@ -88,9 +107,43 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str], n: int =
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def nearest_rank(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """Percentiles by nearest rank: the sorted value at index min(n - 1, int(share * n))."""
-    w = W.partitionBy(key)
-    ranked = values.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
-    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("i") == at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares])
+def nearest_rank(values: DataFrame, key: str, value: str, shares: tuple[float, ...], small: int = 1 << 20, rounds: int = 3, cuts: int = 256, keys: int = 100_000) -> DataFrame:
+    """Percentiles by nearest rank: the sorted value at index min(n - 1, int(share * n)), exactly. Null and NaN values take no part.
+
+    A distributed selection: each key's values are cut into ranges at about equal ranks by a mergeable sketch, exact counts below and inside the range
+    of the wanted rank are taken, and again inside that range, until at most ``small`` values are left, whose distinct ones are
+    ranked. Nothing sorts a whole key, and all counting is done on the map side first. A range that misses the rank (the sketch
+    only estimates) isn't taken, so more is left to rank, and the result is the same. Ranges are broadcast up to ``keys`` keys, else joined.
+    """
+    rows = values.select(F.col(key).alias("_key"), F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+    names = [f"p{round(p * 100)}" for p in shares]
+    share = F.explode(F.array(*[F.struct(F.lit(n).alias("share"), F.lit(float(p)).alias("p")) for n, p in zip(names, shares)]))
+    counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.least(F.col("_n") - 1, F.floor(F.col("s.p") * F.col("_n")))
+    none = F.lit(None).cast(rows.schema["_v"].dataType)
+    at = stored(counts.select("_key", "_n", share.alias("s")).select("_key", F.col("s.share").alias("share"), rank.cast("long").alias("rank"), F.lit(0).cast("long").alias("below"), F.col("_n").alias("inside"), none.alias("lo"), none.alias("hi")), "ranks")
+    few = counts.limit(keys + 1).count() <= keys
+    in_range = (F.col("lo").isNull() | (F.col("_v") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("_v") <= F.col("hi")))
+
+    def against(ranges: DataFrame) -> DataFrame:
+        small_side = F.broadcast(ranges) if few else ranges
+        return rows.join(small_side, rows["_key"].eqNullSafe(ranges["_key"])).drop(rows["_key"])
+
+    for _ in range(rounds):
+        if not at.where(F.col("inside") > small).limit(1).count():
+            break
+        wide = at.where(F.col("inside") > small)
+        sketch = F.percentile_approx("_v", [i / cuts for i in range(cuts + 1)], 16 * cuts).alias("edges")
+        edges = against(wide).where(in_range).groupBy("_key", "share").agg(sketch).withColumnRenamed("_key", "_k").withColumnRenamed("share", "_s")
+        place = F.floor((F.col("rank") - F.col("below")) * cuts / F.col("inside")).cast("int")
+        near = wide.join(edges, wide["_key"].eqNullSafe(F.col("_k")) & (F.col("share") == F.col("_s"))).select("_key", "share", "rank", F.col("below").alias("was_below"), F.col("inside").alias("was_inside"), F.col("lo").alias("was_lo"), F.col("hi").alias("was_hi"), F.element_at("edges", F.greatest(place, F.lit(1))).alias("lo"), F.element_at("edges", F.least(place + 3, F.lit(cuts + 1))).alias("hi"))
+        near = stored(near, "ranges")
+        exact = against(near).groupBy("_key", "share").agg(F.count_if(F.col("_v") < F.col("lo")).alias("now_below"), F.count_if(F.col("_v").between(F.col("lo"), F.col("hi"))).alias("now_inside")).withColumnRenamed("_key", "_k").withColumnRenamed("share", "_s")
+        met = (F.col("now_below") <= F.col("rank")) & (F.col("rank") < F.col("now_below") + F.col("now_inside"))
+        pick = lambda c: F.when(met, F.col(c if c in ("lo", "hi") else f"now_{c}")).otherwise(F.col(f"was_{c}")).alias(c)
+        nearer = near.join(exact, near["_key"].eqNullSafe(F.col("_k")) & (F.col("share") == F.col("_s"))).select("_key", "share", "rank", pick("below"), pick("inside"), pick("lo"), pick("hi"))
+        at = stored(nearer.unionByName(at.where(F.col("inside") <= small)), "ranks")
+    left = against(at).where(in_range).groupBy("_key", "share", "rank", "below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    after = F.col("below") + F.sum("_c").over(W.partitionBy("_key", "share").orderBy("_v"))
+    hits = left.withColumn("_after", after).where(F.col("_after") > F.col("rank"))
+    return hits.groupBy(F.col("_key").alias(key)).agg(*[F.min(F.when(F.col("share") == n, F.col("_v"))).alias(n) for n in names])

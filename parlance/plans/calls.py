@@ -28,6 +28,12 @@ def co_occurring(t: Tables) -> DataFrame:
     return R.co_occurring(t.mentions, 42)
 
 
+@query("mentions calls registry", "select r.id, r.name, r.kind, count(distinct m.path) as n_calls from mentions m join calls c using (path) join registry r on r.id = m.entity_id where c.grp = 'BUILDING' and m.entity_id <> 42 and m.path in (select path from mentions where entity_id = 42) group by all order by n_calls desc, r.name, r.id limit 20")
+def co_occurring_workspace(t: Tables) -> DataFrame:
+    """The twenty entities that share most calls of one workspace with one."""
+    return R.co_occurring_in(t.mentions, t.calls, t.registry, 42, "BUILDING")
+
+
 @query("mentions", "select x.entity_id as a, y.entity_id as b, count(*) as n_calls from (select distinct path, entity_id from mentions) x join (select distinct path, entity_id from mentions) y on x.path = y.path and x.entity_id < y.entity_id group by 1, 2 having count(*) >= 2")
 def co_occurring_all(t: Tables) -> DataFrame:
     return R.co_occurring_all(t.mentions)

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from parlance.operators import ordered as O
+from parlance.operators import rollups as R
 
 
 def chunks_loop(rows, max_chars=500, max_ms=45_000):
@@ -63,3 +64,40 @@ def test_lanes_are_the_loop(spark):
                 ends[lane : lane + 1] = [start + size]
                 at[i] = lane
             assert {i: lanes[g, d, i] for i in at} == {i: (lane, len(ends)) for i, lane in at.items()}
+
+
+def test_ranks_are_the_sorted_values(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([float(rng.randrange(9)), rng.gauss(0, 1) ** 5])) for k in ("hot", None) for _ in range(3_000 if k else 700)]
+    rows += [("one", 2.0), ("none", None), ("one", float("nan")), ("flat", 1.0)] + [("flat", 1.0)] * 900
+    shares = (0.0, 0.5, 0.95, 1.0)
+    df = spark.createDataFrame(rows, "key string, v double").repartition(5)
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted(v for key, v in rows if key == k and v is not None and v == v)
+        if mine:
+            want[k] = tuple(mine[min(len(mine) - 1, int(p * len(mine)))] for p in shares)
+    for small, keys in ((1 << 20, 9), (40, 9), (1, 9), (40, 0)):
+        got = {r["key"]: tuple(r)[1:] for r in R.nearest_rank(df, "key", "v", shares, small=small, keys=keys, cuts=16).collect()}
+        assert got == want
+    assert R.nearest_rank(df.limit(0), "key", "v", shares).count() == 0
+
+
+def test_pairs_by_blocks_lose_none(spark):
+    rng = random.Random(6)
+    rows = [(p, rng.randrange(60)) for p in range(12) for _ in range(40)] + [(99, e) for e in range(60)] + [(None, 1), (99, None), (98, 7)]
+    calls = {}
+    for path, entity in set(rows):
+        if path is not None and entity is not None:
+            calls.setdefault(path, set()).add(entity)
+    want = {}
+    for entities in calls.values():
+        for a in entities:
+            for b in entities:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "path int, entity_id int")
+    for block in (1, 7, 512):
+        for least in (1, 3):
+            got = {(r["a"], r["b"]): r["n_calls"] for r in R.co_occurring_all(df, least, block).collect()}
+            assert got == {k: n for k, n in want.items() if n >= least}

@@ -16,6 +16,11 @@ ADAPTERS: dict[str, tuple[list[str], str, str]] = {
     "mentions": (["l_partkey as entity_id", "l_orderkey as path", "l_linenumber * 1000 as start_ms"], "lineitem", "l_partkey % 50 <> 7"),
     "registry": (["p_partkey as id", "case when p_partkey % 5 = 0 then split_part(p_name, ' ', 1) else p_name end as name", "case p_partkey % 3 when 0 then 'person' when 1 then 'org' else 'term' end as kind", "p_brand as grp", "p_partkey % 2 = 0 as confirmed"], "part", ""),
     "registry_people": (["c_custkey as id", "c_name as name", "'person' as kind", "c_mktsegment as grp", "c_custkey % 3 <> 0 as confirmed"], "customer", ""),
+    "registry_aliases": (["p_partkey as id", "upper(split_part(p_name, ' ', 2)) || ' of ' || p_brand as alias"], "part", "p_partkey % 4 = 0"),
+    "registry_merges": (["cast(floor(p_partkey / 2) as bigint) as a", "p_partkey as b"], "part", "p_partkey % 6 = 0"),
+    "people_aliases": (["c_custkey as id", "replace(c_name, 'Customer#', 'CUST ') as alias"], "customer", "c_custkey % 4 <> 0"),
+    "people_merges": (["cast(floor(c_custkey / 2) as bigint) as a", "c_custkey as b"], "customer", "c_custkey % 5 = 0"),
+    "spoken_owners": (["o_orderkey as path", "case when o_custkey % 10 = 0 then 'you' when o_orderkey % 3 = 0 then replace(c_name, 'Customer#', 'Cust ') else c_name end as owner", "'item ' || (o_orderkey % 50) as text", "c_mktsegment as grp"], _ORDERS, ""),
     "commitments": (["o_orderkey as path", "case when o_custkey % 10 = 0 then 'you' else c_name end as owner", "'item ' || (o_orderkey % 50) as text", "case when o_orderstatus = 'O' then 'open' else 'done' end as status", "c_mktsegment as grp", "cast(o_orderdate as date) as day"], _ORDERS, ""),
     "commitment_lines": (["o_orderkey as path", "case when o_custkey % 10 = 0 then 'you' else c_name end || ': ' || 'item ' || (o_orderkey % 50) || case when o_orderstatus = 'O' then '' else ' [done]' end as line"], _ORDERS, ""),
     "docs": (["d.doc_id as path", "left(split_part(text, chr(10), 1), 80) as title", "left(text, 160) as summary", "text as body", "source as grp", "source as vault", "d.doc_id % 3 + 1 as tier", "case d.doc_id % 10 when 0 then 'archived' when 1 then 'superseded' when 2 then 'complete' when 3 then 'complete' else 'active' end as status", "case when d.doc_id % 23 = 9 then 'memo' else case d.doc_id % 5 when 0 then 'decision' when 1 then 'digest' when 2 then 'explanation' when 3 then 'how-to' else 'reference' end end as doc_type", "case when d.doc_id % 31 = 5 then 'high' else case d.doc_id % 6 when 0 then 'inferred' when 1 then 'proposed' when 2 then 'stated' when 3 then 'unjudged' when 4 then 'unstated' else 'verified' end end as confidence", "case when d.doc_id % 17 = 0 then null when d.doc_id % 4 = 0 then 'conversation' when d.doc_id % 29 = 3 then 'decision' when d.doc_id % 4 = 1 then 'reference-frozen' when d.doc_id % 4 = 2 then 'reference-versioned' else 'unclassified' end as document_class", "lang as tag_lang", "case when quality is null then null else 'q' || quality end as tag_quality", "cast(quality as int) as quality"], "documents d left join labels l on d.doc_id = l.doc_id", ""),
@@ -66,7 +71,7 @@ class Tables:
         return self._adapted(name, columns, where)
 
     def _adapted(self, name: str, columns: list[str], where: str) -> DataFrame:
-        if name in ("calls", "commitments", "commitment_lines"):
+        if name in ("calls", "commitments", "commitment_lines", "spoken_owners"):
             rows = self.orders.join(self.customer, _eq("o_custkey", "c_custkey"))
         elif name == "docs":
             rows = self.documents.alias("d").join(self.labels.alias("l"), _eq("d.doc_id", "l.doc_id"), "left")

@@ -33,10 +33,27 @@ def open_commitments(commitments: DataFrame, grp: str | None, owner: str | None
     return rows.select("path", "owner", "text", "day").orderBy(F.desc("day"), "path").limit(limit)
 
 
-def resolve_owners(commitments: DataFrame, people: DataFrame) -> DataFrame:
-    """``you`` stays, a confirmed person of the workspace becomes its id, any other name stays as written."""
-    known = people.where("confirmed").select(F.col("grp"), C.norm(F.col("name")).alias("key"), F.col("id").cast("string").alias("person"))
-    rows = commitments.withColumn("key", C.norm(F.col("owner"))).join(known, ["grp", "key"], "left")
+def _forms(entities: DataFrame, aliases: DataFrame | None, *keys: str) -> DataFrame:
+    """The alias index: for every normal form of a name or alias (id, alias) within the keys the first entity in the registry's order, which is the ids'."""
+    forms = entities.select("id", *keys, C.norm(F.col("name")).alias("key"))
+    if aliases is not None:
+        forms = forms.unionByName(entities.select("id", *keys).join(aliases.select("id", C.norm(F.col("alias")).alias("key")), "id"))
+    return forms.groupBy(*keys, "key").agg(F.min("id").alias("entity"))
+
+
+def _merged(rows: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    """Rows (entity) with ``root``: the entity after all merges (a keeps, b becomes a); null stays null."""
+    if verdicts is None:
+        return rows.withColumn("root", F.col("entity"))
+    roots = merge_closure(verdicts.select(F.col("b").alias("id")).distinct(), verdicts).select(F.col("id").alias("entity"), "root")
+    return rows.join(roots, "entity", "left").withColumn("root", F.coalesce("root", "entity"))
+
+
+def resolve_owners(commitments: DataFrame, people: DataFrame, aliases: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """``you`` stays; a confirmed person of the workspace, met by name or alias, becomes the id that verdicts make of it; any other name stays as
+    written, so nothing is allocated. Of several people the first in the registry's order counts. Null owners stay null."""
+    known = _merged(_forms(people.where("confirmed and kind = 'person'"), aliases, "grp"), verdicts)
+    rows = commitments.withColumn("key", C.norm(F.col("owner"))).join(known.select("grp", "key", F.col("root").cast("string").alias("person")), ["grp", "key"], "left")
     return rows.select("path", "text", F.when(F.col("owner") == "you", "you").otherwise(F.coalesce("person", "owner")).alias("owner_id"))
 
 
@@ -86,14 +103,20 @@ def wipe(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame
     return {name: df.join(doomed, "path", "left_anti") for name, df in tables.items()}
 
 
-def resolve_surfaces(surfaces: DataFrame, entities: DataFrame) -> DataFrame:
-    """Mention surfaces (surface, kind, grp) to ids, by exact name within the kind; unmatched ones get an id made of kind and name."""
-    known = entities.groupBy("kind", C.norm(F.col("name")).alias("key")).agg(F.min("id").cast("string").alias("known"))
-    rows = surfaces.withColumn("key", C.norm(F.col("surface"))).join(known, ["kind", "key"], "left")
+def resolve_surfaces(surfaces: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """Mention surfaces (surface, kind, grp) to entities by exact name or alias within the kind: entity, id, kind, aliases, grps, n.
+
+    Of several entities the first in the registry's order takes a form. A form that none has makes one new entity for all
+    its rows, with an id made of kind and form, so reruns agree. Each entity gains the forms and workspaces it was met by; ``id`` is what
+    verdicts (a keeps, b becomes a) make of it. Rows without a surface are left out.
+    """
+    known = _forms(entities, aliases, "kind")
+    forms = surfaces.where("surface is not null").groupBy("kind", C.norm(F.col("surface")).alias("key"), "grp").agg(F.count(F.lit(1)).alias("n"))
+    rows = _merged(forms.join(known, ["kind", "key"], "left"), verdicts)
     made = F.substring(F.sha2(F.concat_ws("|", "kind", "key"), 256), 1, 16)
-    out = rows.withColumn("id", F.coalesce("known", made))
-    join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
-    return out.groupBy("id", "kind").agg(join("surface").alias("aliases"), join("grp").alias("grps"), F.count(F.lit(1)).alias("n"))
+    join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|").alias(c)
+    out = rows.withColumns({"entity": F.coalesce(F.col("entity").cast("string"), made), "id": F.coalesce(F.col("root").cast("string"), made)}).withColumnRenamed("key", "aliases").withColumnRenamed("grp", "grps")
+    return out.groupBy("entity", "id", "kind").agg(join("aliases"), join("grps"), F.sum("n").alias("n"))
 
 
 def merge_closure(entities: DataFrame, same: DataFrame, hops: int = 64) -> DataFrame:

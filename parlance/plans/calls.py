@@ -103,9 +103,10 @@ def commitment_rows(t: Tables) -> DataFrame:
     return E.commitment_rows(t.commitment_lines)
 
 
-@query("commitments registry_people", "select c.path, c.text, case when c.owner = 'you' then 'you' when r.id is not null then cast(r.id as varchar) else c.owner end as owner_id from commitments c left join registry_people r on lower(trim(c.owner)) = lower(r.name) and r.confirmed and r.grp = c.grp")
+@query("spoken_owners registry_people people_aliases people_merges", "select c.path, c.text, case when c.owner = 'you' then 'you' else coalesce(cast(k.root as varchar), c.owner) end as owner_id from spoken_owners c left join known k on k.grp = c.grp and k.key = lower(trim(c.owner))", ctes="forms as (select id, grp, lower(trim(name)) as key from registry_people where confirmed union all select p.id, grp, lower(trim(alias)) from registry_people p join people_aliases using (id) where confirmed), first as (select grp, key, min(id) as id from forms group by 1, 2), w(id, root, n) as (select id, id, 0 from (select distinct id from first) union all select w.id, m.a, n + 1 from w join people_merges m on w.root = m.b where n < 64), known as (select f.grp, f.key, r.root from first f join (select id, arg_max(root, n) as root from w group by 1) r using (id))")
 def resolve_owners(t: Tables) -> DataFrame:
-    return E.resolve_owners(t.commitments, t.registry_people)
+    """Owners by name or alias of a confirmed person of the workspace, after merges."""
+    return E.resolve_owners(t.spoken_owners, t.registry_people, t.people_aliases, t.people_merges)
 
 
 @query("commitments", "select owner = 'you' as is_you, owner, row_number() over (partition by owner order by path, text) as place, path, text, count(*) over (partition by owner) as n from commitments where status = 'open'")

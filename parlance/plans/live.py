@@ -10,7 +10,7 @@ from parlance.operators import ordered as O
 from parlance.operators.index import PublishedCorpus
 from parlance.operators.search import TOPIC_WEIGHTS
 from parlance.plans import search as P
-from parlance.plans.ordered import DWELL, SCREEN_TEXTS, rendered, screen_texts
+from parlance.plans.ordered import DWELL, LATE, MOVED, SCREEN_TEXTS, rendered, screen_texts
 from parlance.registry import query
 from parlance.sources import markdown as M
 from parlance.sources.storage import SnapshotTable, fresh_path
@@ -78,6 +78,17 @@ def stream_screen_dedup(t: Tables) -> DataFrame:
     return L.drain(L.kept_screens(L.replay(screen_texts(t).withColumn("call", F.col("call").cast("string")), "seq", "call", parts=3)))
 
 
+@query("polls", MOVED)
+def stream_scope_moved(t: Tables) -> DataFrame:
+    return L.drain(L.moved_scopes(L.replay(t.polls.withColumn("attempted", F.col("attempted").cast("string")), "poll", "scope", parts=3)))
+
+
+@query("replies", LATE)
+def stream_late_replies(t: Tables) -> DataFrame:
+    rows = t.replies.withColumn("arrival", F.col("arrival").cast("timestamp"))
+    return L.drain(L.timely_replies(L.replay(rows, "arrival", "key", parts=3)))
+
+
 def _corpus(t: Tables) -> PublishedCorpus:
     return PublishedCorpus(t.spark, fresh_path(t.spark, "published"), TOPIC_WEIGHTS)
 

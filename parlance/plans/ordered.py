@@ -187,7 +187,10 @@ def scope_moved(t: Tables) -> DataFrame:
     return O.scope_moved(t.polls)
 
 
-@query("replies", "select event_id, key, generation, arrival from (select *, max(generation) over (partition by key order by arrival, event_id rows unbounded preceding) as top from replies) where generation >= top")
+LATE = "select event_id, key, generation, arrival from (select *, max(generation) over (partition by key order by arrival, event_id rows unbounded preceding) as top from replies) where generation >= top"
+
+
+@query("replies", LATE)
 def late_replies(t: Tables) -> DataFrame:
     return O.late_replies(t.replies)
 

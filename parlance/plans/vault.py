@@ -277,9 +277,20 @@ def collision_questions(t: Tables) -> DataFrame:
     return E.first_pairs(E.collision_pairs(t.registry, _told(t)))
 
 
-@query("registry", "select x as id, kind, string_agg(distinct name, '|' order by name) as aliases, string_agg(distinct grp, '|' order by grp) as grps, count(*) as n from (select *, cast(min(id) over (partition by kind, lower(name)) as varchar) as x from registry) group by 1, 2")
+_SURFACES = """surfaces as (select name as surface, kind, grp from registry union all select lower(alias), kind, grp from registry_aliases join registry using (id) union all select 'New ' || name, kind, grp from registry where id % 9 = 0),
+forms as (select id, kind, lower(trim(name)) as key from registry union all select id, kind, lower(trim(alias)) from registry_aliases join registry using (id)),
+first as (select kind, key, min(id) as id from forms group by 1, 2),
+w(id, root, n) as (select id, id, 0 from (select distinct id from first) union all select w.id, m.a, n + 1 from w join registry_merges m on w.root = m.b where n < 64),
+met as (select s.*, lower(trim(surface)) as key, first.id as known, r.root from surfaces s left join first on first.kind = s.kind and first.key = lower(trim(surface)) left join (select id, arg_max(root, n) as root from w group by 1) r on r.id = first.id)"""
+
+
+@query("registry registry_aliases registry_merges", "select coalesce(known::varchar, left(sha256(kind || '|' || key), 16)) as entity, coalesce(root::varchar, left(sha256(kind || '|' || key), 16)) as id, kind, string_agg(distinct key, '|' order by key) as aliases, string_agg(distinct grp, '|' order by grp) as grps, count(*) as n from met group by 1, 2, 3", ctes=_SURFACES)
 def resolve_surfaces(t: Tables) -> DataFrame:
-    return E.resolve_surfaces(t.registry.select(F.col("name").alias("surface"), "kind", "grp"), t.registry)
+    """Names, aliases in another case and new names, resolved by alias index and merges; new names make entities."""
+    named = t.registry.select(F.col("name").alias("surface"), "kind", "grp")
+    other = t.registry_aliases.join(t.registry.select("id", "kind", "grp"), "id").select(F.lower("alias").alias("surface"), "kind", "grp")
+    new = t.registry.where("id % 9 = 0").select(F.concat(F.lit("New "), "name").alias("surface"), "kind", "grp")
+    return E.resolve_surfaces(named.unionByName(other).unionByName(new), t.registry, t.registry_aliases, t.registry_merges)
 
 
 @query("", "with recursive s as (select p_partkey as b, p_partkey // 2 as a from part where p_partkey % 3 <> 0 and p_partkey > 1), w(id, root, n) as (select p_partkey, p_partkey, 0 from part union all select w.id, s.a, n + 1 from w join s on w.root = s.b where n < 64) select id, arg_max(root, n) as root from w group by 1")

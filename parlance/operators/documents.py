@@ -62,11 +62,51 @@ def vault_groups(docs: DataFrame) -> DataFrame:
     return docs.groupBy("vault").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.min("tier"), F.lit(9)).alias("tier"))
 
 
-def drift(composed: DataFrame, indexed: DataFrame) -> DataFrame:
-    """path, change: what differs between composed notes and the index (path, checksum; a null one can't be verified)."""
-    a, b = composed.select("path", F.col("checksum").alias("now"), F.lit(True).alias("in_now")), indexed.select("path", F.col("checksum").alias("then"), F.lit(True).alias("in_then"))
-    change = F.when(F.col("in_then").isNull(), "added").when(F.col("in_now").isNull(), "removed").when(F.col("now").isNull() | F.col("then").isNull(), "unverifiable").when(F.col("now") != F.col("then"), "changed")
-    return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
+def drift(composed: DataFrame, indexed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """path, change: what differs between composed notes (path, checksum, perhaps readable) and the index (path, checksum).
+
+    A composed note that could not be read is ``unreadable`` where the index has it; a null checksum can't be verified. ``by``: scopes,
+    within which paths are compared.
+    """
+    read = F.col("readable") if "readable" in composed.columns else F.lit(True)
+    a = composed.select(*by, "path", F.col("checksum").alias("now"), F.coalesce(read, F.lit(False)).alias("read"), F.lit(True).alias("in_now"))
+    b = indexed.select(*by, "path", F.col("checksum").alias("then"), F.lit(True).alias("in_then"))
+    change = F.when(F.col("in_then").isNull(), "added").when(F.col("in_now").isNull(), "removed").when(~F.col("read"), "unreadable").when(F.col("now").isNull() | F.col("then").isNull(), "unverifiable").when(F.col("now") != F.col("then"), "changed")
+    return a.join(b, [*by, "path"], "full_outer").select(*by, "path", change.alias("change"), (F.col("in_now") & F.col("in_then") & F.col("read")).alias("checked"))
+
+
+def drift_verdicts(scopes: DataFrame, composed: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row per scope (scope, error): what a check of its notes says as a whole.
+
+    ``stale``: something was added, removed or changed; ``checkable``: every indexed note could be read. The verdict reads both: moved, unchanged and
+    complete, unchanged but incomplete. A scope that could not be resolved (error) is unavailable and has no figures, so it never
+    reads as unchanged; one without notes is unchanged and complete. Notes of scopes that aren't listed are left out.
+    """
+    count = lambda what: F.count_if(F.col("change") == what).alias(what)
+    figures = drift(composed, indexed, ("scope",)).groupBy("scope").agg(*[count(c) for c in ("added", "removed", "changed", "unverifiable", "unreadable")], F.count_if("checked").alias("checked"))
+    known = F.col("error").isNull()
+    rows = scopes.select("scope", "error").join(figures, "scope", "left")
+    rows = rows.select("scope", "error", *[F.when(known, F.coalesce(c, F.lit(0))).alias(c) for c in figures.columns[1:]])
+    stale, checkable = F.col("added") + F.col("removed") + F.col("changed") > 0, F.col("unreadable") == 0
+    verdict = F.when(~known, "unavailable").when(stale, "moved").when(checkable, "unchanged and complete").otherwise("unchanged but incomplete")
+    return rows.select("*", stale.alias("stale"), checkable.alias("checkable"), verdict.alias("verdict"))
+
+
+def wipe_plans(docs: DataFrame, listings: DataFrame) -> DataFrame:
+    """What a wipe of each listed workspace would take: grp, calls, documents, other, refused.
+
+    docs: grp, path, document_class; listings: grp, location, readable, one row per place that was looked through. A plan is whole or
+    absent: if any place of a workspace could not be listed, the plan has no numbers and ``refused`` says which places, in order. Paths found
+    twice count once.
+    """
+    kind = F.col("document_class")
+    counts = docs.select("grp", "path", "document_class").distinct().groupBy("grp").agg(
+        F.count_if(kind == "conversation").alias("calls"), F.count_if(F.startswith(kind, F.lit("reference-"))).alias("documents"), F.count_if(~F.coalesce((kind == "conversation") | F.startswith(kind, F.lit("reference-")), F.lit(False))).alias("other")
+    )
+    gates = listings.groupBy("grp").agg(F.array_sort(F.collect_set(F.when(~F.coalesce("readable", F.lit(False)), F.col("location")))).alias("bad"))
+    whole = F.size("bad") == 0
+    plan = gates.join(counts, gates["grp"].eqNullSafe(counts["grp"]), "left").drop(counts["grp"])
+    return plan.select("grp", *[F.when(whole, F.coalesce(c, F.lit(0))).alias(c) for c in ("calls", "documents", "other")], F.when(~whole, F.array_join("bad", "; ")).alias("refused"))
 
 
 def reconcile(listed: DataFrame, indexed: DataFrame, unreadable: list[str] | None = None, tolerance: float = 0.01) -> DataFrame:

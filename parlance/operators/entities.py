@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
+from parlance.sources.markdown import OWNER_MARKER, front, is_owned
 from parlance.sources.storage import stored
 
 
@@ -70,13 +71,33 @@ def link_stubs(mentions: DataFrame, calls: DataFrame, entities: DataFrame) -> Da
     """For each workspace and entity the links to its calls, sorted."""
     pairs = mentions.select("entity_id", "path").distinct().join(calls.where("kind = 'call'").select("path", "title", "grp"), "path")
     lists = pairs.groupBy("grp", "entity_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("[["), "title", F.lit("]]")))), "\n").alias("links"))
-    return lists.join(entities, lists["entity_id"] == entities["id"]).select(lists["grp"], "id", "name", "n", "links")
+    return lists.join(entities, lists["entity_id"] == entities["id"]).select(lists["grp"], "id", "name", "kind", "n", "links")
 
 
-def changed_stubs(stubs: DataFrame, written: DataFrame) -> DataFrame:
-    """The stubs whose text is not what was written before (keys grp, id; hash)."""
-    now = stubs.withColumn("hash", F.sha2("links", 256))
-    return now.join(written, ["grp", "id", "hash"], "left_anti")
+#: The marks around what is ours in a stub; all else in it is its reader's.
+LINKS_BEGIN, LINKS_END = "<!-- links: begin -->", "<!-- links: end -->"
+
+
+def with_region(text: Column, region: Column) -> Column:
+    """A text with the region between its first marks replaced; where they are missing or the wrong way round, it is put at the end."""
+    b, e = F.locate(LINKS_BEGIN, text), F.locate(LINKS_END, text)
+    spliced = F.concat(F.left(text, b - 1), region, F.substr(text, e + len(LINKS_END)))
+    return F.when((b > 0) & (e > b), spliced).otherwise(F.concat(text, F.lit("\n\n"), region, F.lit("\n")))
+
+
+def stub_files(stubs: DataFrame, files: DataFrame) -> DataFrame:
+    """The files (grp, id, content, made) that a run must write for the stubs (grp, id, name, kind, links), given those that are there (grp, id, content).
+
+    A missing file is made with its metadata; in an owned one the region between the marks is replaced and all else stays; a file
+    without the owner's mark is another's and is left alone. What would be written as it is isn't written, so a second run writes nothing. A null
+    content is a missing file.
+    """
+    region = F.concat(F.lit(LINKS_BEGIN + "\n"), F.when(F.col("links") == "", "").otherwise(F.concat(F.lit("- "), F.replace("links", F.lit("\n"), F.lit("\n- ")))), F.lit("\n" + LINKS_END))
+    head = F.concat(F.lit(f"---\napp: {OWNER_MARKER}\nkind: "), "kind", F.lit('\ngroup: "'), F.coalesce("grp", F.lit("")), F.lit('"\n---\n\n# '), "name", F.lit("\n\n"), region, F.lit("\n"))
+    there = files.select(F.col("grp").alias("_grp"), F.col("id").alias("_id"), F.col("content").alias("old"))
+    rows = stubs.join(there, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("id") == F.col("_id")), "left")
+    new = F.when(F.col("old").isNull(), head).when(is_owned(front(F.col("old"))), with_region(F.col("old"), region))
+    return rows.select("grp", "id", new.alias("content"), F.col("old").isNull().alias("made"), "old").where(F.col("content").isNotNull() & ~F.col("content").eqNullSafe(F.col("old"))).drop("old")
 
 
 def repair_casing(stored: DataFrame, real: DataFrame) -> DataFrame:

@@ -149,7 +149,23 @@ def first_hit_per_path(t: Tables) -> DataFrame:
 
 @query("calls mentions registry", "select grp, id, name, n, links from (select c.grp, r.id, r.name, count(distinct c.path) as n, string_agg(distinct '[[' || c.title || ']]', chr(10) order by '[[' || c.title || ']]') as links from mentions m join calls c using (path) join registry r on r.id = m.entity_id where c.kind = 'call' group by 1, 2, 3)")
 def entity_link_stubs(t: Tables) -> DataFrame:
-    return E.link_stubs(t.mentions, t.calls, t.registry)
+    return E.link_stubs(t.mentions, t.calls, t.registry).drop("kind")
+
+
+_STUBS = """s as (select c.grp, r.id, r.name, r.kind, string_agg(distinct '[[' || c.title || ']]', chr(10) order by '[[' || c.title || ']]') as links from mentions m join calls c using (path) join registry r on r.id = m.entity_id where c.kind = 'call' group by all),
+o as (select *, '<!-- links: begin -->' || chr(10) || '- ' || replace(links, chr(10), chr(10) || '- ') || chr(10) || '<!-- links: end -->' as region, '---' || chr(10) || 'app: call-transcriber' || chr(10) || 'kind: ' || kind || chr(10) || 'group: "' || grp || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || name || chr(10) || chr(10) as head from s)"""
+
+
+@query("calls mentions registry", "select grp, id, md5(case id % 5 when 0 then head || region || chr(10) when 2 then head || 'mine' || chr(10) || region || ' more' else head || 'no marks' || chr(10) || chr(10) || region || chr(10) end) as hash, id % 5 = 0 as made from o where id % 5 in (0, 2, 4)", ctes=_STUBS)
+def entity_stub_files(t: Tables) -> DataFrame:
+    """Stubs against the files that are there: none, one that is up to date, one with old links and a reader's words, another's, and one without marks."""
+    stubs = E.link_stubs(t.mentions, t.calls, t.registry)
+    head = F.concat(F.lit("---\napp: call-transcriber\nkind: "), "kind", F.lit('\ngroup: "'), "grp", F.lit('"\n---\n\n# '), "name", F.lit("\n\n"))
+    kept = F.concat(head, F.lit(E.LINKS_BEGIN + "\n- "), F.replace("links", F.lit("\n"), F.lit("\n- ")), F.lit("\n" + E.LINKS_END + "\n"))
+    old = F.concat(head, F.lit(f"mine\n{E.LINKS_BEGIN}\n- [[gone]]\n{E.LINKS_END} more"))
+    kind = F.col("id") % 5
+    files = stubs.where(kind != 0).select("grp", "id", F.when(kind == 1, kept).when(kind == 2, old).when(kind == 3, F.lit("# another's note")).otherwise(F.concat(head, F.lit("no marks"))).alias("content"))
+    return E.stub_files(stubs, files).select("grp", "id", F.md5("content").alias("hash"), "made")
 
 
 @query("", "select c_mktsegment as stored, count(*) as n, 'BUILDING' as real from customer where lower(c_mktsegment) = lower('Building') group by 1")

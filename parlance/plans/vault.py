@@ -137,11 +137,30 @@ def reconcile_diff(t: Tables) -> DataFrame:
     return D.reconcile(t.snapshot_new, t.snapshot_old)
 
 
-@query("", "select coalesce(a.doc_id, b.doc_id) as path, case when b.doc_id is null then 'added' when a.doc_id is null then 'removed' when a.h is null or b.h is null then 'unverifiable' else 'changed' end as change from (select doc_id, case when doc_id % 19 <> 0 then md5(text) end h from documents where doc_id % 11 <> 0) a full join (select doc_id, md5(text || case when doc_id % 13 = 0 then 'x' else '' end) h from documents where doc_id % 7 <> 0) b on a.doc_id = b.doc_id where a.h is distinct from b.h or a.h is null")
+_DRIFT = """a as (select doc_id, source as scope, case when doc_id % 19 <> 0 then md5(text) end as h, doc_id % 23 <> 0 as readable from documents where doc_id % 11 <> 0 or source = 'src2'),
+b as (select doc_id, source as scope, md5(text || case when doc_id % 13 = 0 and source <> 'src2' then 'x' else '' end) as h from documents where doc_id % 7 <> 0 or source = 'src2'),
+c as (select coalesce(a.doc_id, b.doc_id) as path, coalesce(a.scope, b.scope) as scope, case when b.doc_id is null then 'added' when a.doc_id is null then 'removed' when not readable then 'unreadable' when a.h is null or b.h is null then 'unverifiable' when a.h <> b.h then 'changed' end as change, coalesce(readable and a.doc_id is not null and b.doc_id is not null, false) as checked from a full join b on a.doc_id = b.doc_id)"""
+
+
+def _composed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Notes as composed and as indexed; in one workspace nothing differs, but not all can be read."""
+    note = t.documents.select(F.col("doc_id").alias("path"), F.col("source").alias("scope"), "text")
+    now = note.where("path % 11 <> 0 or scope = 'src2'").select("path", "scope", F.expr("case when path % 19 <> 0 then md5(text) end").alias("checksum"), F.expr("path % 23 <> 0").alias("readable"))
+    then = note.where("path % 7 <> 0 or scope = 'src2'").select("path", "scope", F.expr("md5(text || case when path % 13 = 0 and scope <> 'src2' then 'x' else '' end)").alias("checksum"))
+    return now, then
+
+
+@query("", f"with {_DRIFT} select path, change from c where change is not null")
 def drift_report(t: Tables) -> DataFrame:
-    now = t.documents.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), F.expr("case when doc_id % 19 <> 0 then md5(text) end").alias("checksum"))
-    then = t.documents.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.expr("md5(text || case when doc_id % 13 = 0 then 'x' else '' end)").alias("checksum"))
-    return D.drift(now, then)
+    return D.drift(*_composed(t)).where("change is not null").select("path", "change")
+
+
+@query("", f"with {_DRIFT}, s as (select source as scope, case when source = 'src3' then 'the manifest is malformed' end as error from documents where source is not null group by 1 union all select 'none yet', null), f as (select scope, count(*) filter (change = 'added') as added, count(*) filter (change = 'removed') as removed, count(*) filter (change = 'changed') as changed, count(*) filter (change = 'unverifiable') as unverifiable, count(*) filter (change = 'unreadable') as unreadable, count(*) filter (checked) as checked from c group by 1), g as (select s.scope, error, " + ", ".join(f"case when error is null then coalesce({c}, 0) end as {c}" for c in ("added", "removed", "changed", "unverifiable", "unreadable", "checked")) + " from s left join f using (scope)) select *, added + removed + changed > 0 as stale, unreadable = 0 as checkable, case when error is not null then 'unavailable' when added + removed + changed > 0 then 'moved' when unreadable = 0 then 'unchanged and complete' else 'unchanged but incomplete' end as verdict from g")
+def drift_verdicts(t: Tables) -> DataFrame:
+    """A verdict per workspace: one can't be resolved, and one has no notes."""
+    scopes = t.documents.where("source is not null").select(F.col("source").alias("scope")).distinct().withColumn("error", F.expr("case when scope = 'src3' then 'the manifest is malformed' end"))
+    none = t.spark.range(1).select(F.lit("none yet").alias("scope"), F.lit(None).cast("string").alias("error"))
+    return D.drift_verdicts(scopes.unionByName(none), *_composed(t))
 
 
 @query("", "select (select count(*) from embeddings) as stored, (select count(*) from documents) as chunks, (select count(*) from documents) > 0 and (select count(*) from embeddings) >= (select count(*) from documents) as complete")
@@ -214,11 +233,11 @@ def assign_workspace(t: Tables) -> DataFrame:
     return out.select("path", F.coalesce("new_grp", "grp").alias("grp"), F.array_join(F.when(F.col("new_grp").isNotNull(), F.array_remove("tags", "untagged")).otherwise(F.col("tags")), ",").alias("tags"))
 
 
-@query("docs", "select grp, count(*) filter (document_class = 'conversation') as calls, count(*) filter (document_class is distinct from 'conversation') as documents from docs where grp = 'src1' group by 1")
+@query("docs", "select grp, case when bad is null then calls end as calls, case when bad is null then documents end as documents, case when bad is null then other end as other, bad as refused from (select grp, count(*) filter (document_class = 'conversation') as calls, count(*) filter (document_class in ('reference-frozen', 'reference-versioned')) as documents, count(*) filter (document_class is null or document_class not in ('conversation', 'reference-frozen', 'reference-versioned')) as other, string_agg(distinct case when tier = 2 and grp = 'src2' then grp || '/2' end, '; ' order by case when tier = 2 and grp = 'src2' then grp || '/2' end) as bad from docs group by 1)")
 def wipe_plan(t: Tables) -> DataFrame:
-    """What a wipe of one workspace would take; planned only if every location could be listed."""
-    is_call = F.col("document_class").eqNullSafe("conversation")
-    return t.docs.where("grp = 'src1'").groupBy("grp").agg(F.count_if(is_call).alias("calls"), F.count_if(~is_call).alias("documents"))
+    """What a wipe of each workspace would take; one has a place that could not be listed, so it has no plan."""
+    listings = t.docs.select("grp", F.concat_ws("/", "grp", F.col("tier").cast("string")).alias("location"), F.expr("not (tier = 2 and grp = 'src2')").alias("readable")).distinct()
+    return D.wipe_plans(t.docs, listings)
 
 
 @query("page_paths", "select page_id, vault, path from page_paths where folder = '02-areas' order by page_id")

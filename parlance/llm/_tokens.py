@@ -10,7 +10,9 @@ The memory is bounded: the store starts anew beyond ``MAX_PIECES`` pieces.
 
 from __future__ import annotations
 
+import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ class BatchTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only cost time on others
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -102,15 +105,15 @@ class BatchTokenizer:
         """Pieces of many keys, all words or all other texts; fresh ones are learnt."""
         told = keys.dictionary_encode()
         names = told.dictionary.to_pylist()
-        got = list(map(self.pieces.get, names))
-        fresh = [x for x, piece in zip(names, got) if piece is None]
+        got = np.fromiter(map(self.pieces.get, names, repeat(-1)), np.int64, len(names))
+        at = np.flatnonzero(got < 0)
+        fresh = [names[i] for i in at.tolist()]
         if fresh and words:
             self._words(fresh)
         elif fresh:
             self._add(fresh, self._library([x[1:] for x in fresh]))
-        if fresh:
-            got = list(map(self.pieces.__getitem__, names))
-        return np.array(got, np.int64)[np.asarray(told.indices)] if names else np.empty(0, np.int64)
+        got[at] = np.fromiter(map(self.pieces.__getitem__, fresh), np.int64, len(fresh))
+        return got[np.asarray(told.indices)]
 
     def _parts(self, chunks: pa.Array) -> np.ndarray:
         """The two pieces of each chunk: a word of letters and the marks after it, or the whole chunk and the empty piece.

@@ -162,3 +162,15 @@ def test_a_failed_batch_is_asked_again(spark):
     assert sorted(got) == [(c, i) for c in range(3) for i in range(4)] and len(failed) == 2
     with pytest.raises(Exception):
         L.answered(L.questions(L.replay(lines, "ms", "call", parts=2), 200, 10), lambda b: 1 / 0, "call long, tick long", tries=1)
+
+
+def test_postings_are_counted_where_the_passages_are(spark):
+    """One shuffle, of the passages; passages in several rows are put together, as are those without ids."""
+    rows = spark.createDataFrame([(1, 0, "b a b"), (2, 0, None), (3, 0, "a"), (3, 0, "c a"), (None, 0, "x"), (None, 0, "x y")], "path long, chunk long, text string")
+    from parlance.operators.index import postings
+
+    got = {(r["token"], r["path"]): (r["tf"], r["uses"], r["len"], r["positions"]) for r in postings(rows).collect()}
+    assert got == {("a", 1): (1.0, 1, 3, [1]), ("b", 1): (2.0, 2, 3, [0, 2]), ("a", 3): (2.0, 2, 3, [0, 1]), ("c", 3): (1.0, 1, 3, [0]), ("x", None): (2.0, 2, 3, [0, 0]), ("y", None): (1.0, 1, 3, [1])}
+    once = postings(rows.where("path < 3").withColumn("chunk", F.lit(0).cast("long")))
+    once.collect()
+    assert once._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ShuffleQueryStage") <= 1

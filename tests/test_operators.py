@@ -261,3 +261,41 @@ def test_video_meetings_come_first(spark):
     recordings = [(1, 1, t(0), t(55)), (2, 1, t(0), t(40)), (3, 1, t(299), t(350)), (4, 1, t(300), t(310)), (5, 3, t(0), t(5))]
     r = spark.createDataFrame(recordings, "recording int, calendar int, start_ts string, end_ts string").withColumns({c: F.col(c).cast("timestamp") for c in ("start_ts", "end_ts")})
     assert {(x["recording"], x["meeting"]) for x in O.meeting_match(r, m).collect()} == {(1, 2), (2, 1), (3, 5)}
+
+
+def test_search_by_shards_is_the_plain_search(spark, monkeypatch):
+    """Every mode, whole and with the best only, over many small shards, against BM25 written out; only as many hits as are kept leave a shard."""
+    import math
+    import random
+
+    from parlance.operators import scoring
+
+    monkeypatch.setattr(scoring, "SHARD_TOKENS", 40)
+    rnd = random.Random(3)
+    words = ["alpha", "alphabet", "beta", "gamma", "delta", "rare"]
+    texts = {(p, c): " ".join(rnd.choices(words, [5, 3, 5, 4, 2, 0.2], k=rnd.randint(1, 9))) for p in range(40) for c in range(2)}
+    index = S.build_index(spark.createDataFrame([(*k, t) for k, t in texts.items()], "path long, chunk long, text string"))
+    queries = {1: "alpha beta", 2: "beta alpha", 3: "delta rare zzz", 4: "alpha", 5: "gamma delta"}
+    mean = sum(len(t.split()) for t in texts.values()) / len(texts)
+    tf = {w: {k: n for k, t in texts.items() if (n := sum(x.startswith(w) for x in t.split()))} for q in queries.values() for w in q.split()}
+
+    def part(w, k):
+        idf = max(math.log((len(texts) - len(tf[w]) + 0.5) / (len(tf[w]) + 0.5)), 1e-6)
+        return -idf * tf[w][k] * 2.2 / (tf[w][k] + 1.2 * (0.25 + 0.75 * len(texts[k].split()) / mean))
+
+    asked = spark.createDataFrame(list(queries.items()), "q long, query string")
+    for mode in ("and", "or", "auto"):
+        want = {}
+        for q, text in queries.items():
+            ws = text.split()
+            hits = {k: (round(sum(part(w, k) for w in ws if k in tf[w]), 9), sum(k in tf[w] for w in ws)) for k in texts if any(k in tf[w] for w in ws)}
+            whole = {k: v for k, v in hits.items() if v[1] == len(ws)}
+            want[q] = sorted((s, *k) for k, (s, _) in (whole if mode == "and" or (mode == "auto" and whole) else hits).items())
+        for keep in (None, 7):
+            got = {q: [] for q in queries}
+            for r in S.search(index, asked, mode, keep=keep).collect():
+                got[r["q"]].append((r["score"], r["path"], r["chunk"]))
+            for q in queries:
+                full = sorted(got[q])
+                assert [x[1:] for x in full] == [x[1:] for x in want[q][:keep]]
+                assert all(abs(a[0] - b[0]) < 2e-9 for a, b in zip(full, want[q]))

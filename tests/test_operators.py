@@ -299,3 +299,16 @@ def test_search_by_shards_is_the_plain_search(spark, monkeypatch):
                 full = sorted(got[q])
                 assert [x[1:] for x in full] == [x[1:] for x in want[q][:keep]]
                 assert all(abs(a[0] - b[0]) < 2e-9 for a, b in zip(full, want[q]))
+
+
+def test_phrases_within_their_own_uses_count_in_query_and_sql(spark):
+    """The SQL of forms counted "of of" once in "of of of", where it begins twice."""
+    import duckdb
+
+    from parlance.plans import search as P
+
+    rows = [(1, 0, "of of of"), (2, 0, "Of of, a of"), (3, 0, "of a of")]
+    values = ", ".join(f"({p}, {c}, '{t}')" for p, c, t in rows)
+    sql = P._sql(f"p as (select * from (values {values}) v(path, chunk, text))", "forms as (select 'of of' as form)", P._index_sql("p"), *P._form_sql("tf", "p", "st", "len"), select="select path, tf from pm")
+    got = S.phrase_hits(spark.createDataFrame([("of of",)], "phrase string"), S.build_index(spark.createDataFrame(rows, "path long, chunk long, text string")))
+    assert sorted((r["path"], float(r["tf"])) for r in got.collect()) == sorted(duckdb.connect().sql(sql).fetchall()) == [(1, 2.0), (2, 1.0)]

@@ -312,3 +312,21 @@ def test_phrases_within_their_own_uses_count_in_query_and_sql(spark):
     sql = P._sql(f"p as (select * from (values {values}) v(path, chunk, text))", "forms as (select 'of of' as form)", P._index_sql("p"), *P._form_sql("tf", "p", "st", "len"), select="select path, tf from pm")
     got = S.phrase_hits(spark.createDataFrame([("of of",)], "phrase string"), S.build_index(spark.createDataFrame(rows, "path long, chunk long, text string")))
     assert sorted((r["path"], float(r["tf"])) for r in got.collect()) == sorted(duckdb.connect().sql(sql).fetchall()) == [(1, 2.0), (2, 1.0)]
+
+
+def test_first_collisions_are_those_of_all_pairs_with_few_of_a_class_paired(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    names = ["ann", "Ann Lee", "lee ann", "ann lee fox", "fox", "Lee", "bob"]
+    rows = [(i, rnd.choice(names), rnd.choice(["person", "org", "term"]), rnd.choice(["w1", "w2", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, name string, kind string, grp string")
+    told = spark.createDataFrame([(rnd.randrange(40), rnd.randrange(300)) for _ in range(120)], "a long, b long")
+    key = lambda r: (r["a"], r["b"], r["grp"], r["place"])
+    for verdicts in (told, told.limit(0)):
+        assert sorted(map(key, E.first_collisions(df, verdicts).collect())) == sorted(map(key, E.first_pairs(E.collision_pairs(df, verdicts)).collect()))
+    paired = []
+    whole = E.collision_pairs
+    monkeypatch.setattr(E, "collision_pairs", lambda kept, verdicts: paired.append(kept.count()) or whole(kept, verdicts))
+    E.first_collisions(df, told.limit(0)).collect()
+    assert paired[0] < 220  # before: all 300

@@ -174,3 +174,30 @@ def test_postings_are_counted_where_the_passages_are(spark):
     once = postings(rows.where("path < 3").withColumn("chunk", F.lit(0).cast("long")))
     once.collect()
     assert once._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ShuffleQueryStage") <= 1
+
+
+def test_forms_are_scored_in_shards(spark, monkeypatch):
+    """Whole searches and phrases over many shards find what they find in one; no more than a question's best leave a shard."""
+    from parlance.operators import scoring as G
+
+    rng = random.Random(5)
+    chunks = [(p, c, " ".join(rng.choice(WORDS) for _ in range(8))) for p in range(12) for c in range(4)]
+    index = I.build_index(spark.createDataFrame(chunks, "path long, chunk long, text string"))
+    terms = spark.createDataFrame([(q, w, 2) for q in range(3) for w in WORDS[q : q + 2]], "q long, term string, n_terms int")
+    forms = spark.createDataFrame([(w, f) for w in WORDS[:4] for f in (w, f"{WORDS[5]} {WORDS[6]}")], "term string, form string")
+    allowed = spark.createDataFrame([(p % 2, p, c) for p, c, _ in chunks], "filter long, path long, chunk long")
+    wanted = spark.createDataFrame([(q, q % 2) for q in range(3)], "q long, filter long")
+    without = spark.createDataFrame([(0, 2)], "q long, path long")
+    phrases = spark.createDataFrame([(f"{a} {b}",) for a in WORDS[:4] for b in WORDS[:4]], "phrase string")
+
+    def found():
+        hits = [tuple(r) for r in G.form_hits(index, terms, forms, [], keep=3, allowed=allowed, wanted=wanted, without=without).collect()]
+        best = {q: sorted((r[3], r[1], r[2]) for r in hits if r[0] == q and (r[4] == 2 or not any(x[0] == q and x[4] == 2 for x in hits)))[:3] for q in range(3)}
+        return len(hits), best, sorted(tuple(r) for r in S.phrase_hits(phrases, index).collect())
+
+    one = found()
+    assert one[0] <= 9 and all(one[1].values()) and one[2]
+    assert all(p % 2 == q % 2 and (q, p) != (0, 2) for q, rows in one[1].items() for _, p, _ in rows)
+    monkeypatch.setattr(G, "SHARD_TOKENS", 100)
+    many = found()
+    assert many[0] <= 9 * 4 and many[1:] == one[1:]

@@ -152,8 +152,8 @@ class BatchTokenizer:
         parts[0] = "\0" + parts[0]
         return parts
 
-    def cut(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of all texts, two of each chunk, and how many chunks each text has.
+    def _coded(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two pieces of each distinct chunk, the chunks of all texts as places among these, and how many chunks each text has.
 
         Ordinary texts are cut and their chunks told apart by pyarrow; only a batch's distinct
         words are looked up here. Texts with runs of white space or with added tokens of the vocabulary (which
@@ -172,31 +172,48 @@ class BatchTokenizer:
         chunks = pc.split_pattern(marked, " ")
         counts[~odd & some] = np.asarray(pc.list_value_length(chunks))
         told = chunks.flatten().dictionary_encode()
-        pieces = self._parts(told.dictionary)[:, np.asarray(told.indices)]
+        pieces, codes = self._parts(told.dictionary), np.asarray(told.indices)
         if odd.any():
             lists = [self._chunks(x) for x in column.filter(pa.array(odd)).to_pylist()]
             counts[odd] = [len(x) for x in lists]
             own = np.repeat(odd, counts)
-            every = np.empty((2, len(own)), np.int64)
-            every[:, ~own] = pieces
             told = pa.array([c for x in lists for c in x], pa.large_string()).dictionary_encode()
-            every[:, own] = self._parts(told.dictionary)[:, np.asarray(told.indices)]
-            pieces = every
-        return pieces, counts
+            every = np.empty(len(own), codes.dtype)
+            every[~own], every[own] = codes, np.asarray(told.indices) + pieces.shape[1]
+            pieces, codes = np.concatenate((pieces, self._parts(told.dictionary)), axis=1), every
+        return pieces, codes, counts
+
+    def cut(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts, two of each chunk, and how many chunks each text has."""
+        pieces, codes, counts = self._coded(texts)
+        return pieces[:, codes], counts
 
     def encode(self, texts: pa.Array | list[str | None], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and a length per text; null is an empty text. ``end`` is appended to each text."""
-        pieces, counts = self.cut(texts)
-        pieces = pieces.T.ravel()
-        starts, lengths = self.spans.rows[:, pieces]
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        upto = total[2 * np.cumsum(counts)]
-        sizes = np.diff(upto, prepend=0)
-        ids = self.flat.rows[0][np.arange(total[-1]) + np.repeat(starts - total[:-1], lengths)]
-        if end is not None:
-            ids = np.insert(ids, upto, end)
-            sizes = sizes + 1
-        return ids.astype(np.uint32, copy=False), sizes
+        """Flat ids and a length per text; null is an empty text. ``end`` is appended to each text.
+
+        The ids of a batch's distinct chunks are put together once, so each use of a chunk is one run.
+        """
+        pieces, codes, counts = self._coded(texts)
+        begins, lengths = self.spans.rows[:, pieces.T.ravel()]
+        own = self.flat.rows[0][_runs(begins, lengths)].astype(np.uint32)
+        sizes = (lengths[::2] + lengths[1::2]).astype(np.int32)
+        if end is not None:  # the end is one more chunk, after each text's own
+            own, sizes = np.append(own, np.uint32(end)), np.append(sizes, np.int32(1))
+            every = np.full(len(codes) + len(counts), len(sizes) - 1, np.int32)
+            last = np.zeros(len(every), bool)
+            last[np.cumsum(counts + 1) - 1] = True
+            every[~last] = codes
+            codes, counts = every, counts + 1
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32)
+        lengths = sizes[codes]
+        total = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]
+        return own[_runs(begins[codes], lengths)], np.diff(total, prepend=0)
+
+
+def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    ends = np.cumsum(lengths, dtype=begins.dtype)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=begins.dtype) + np.repeat(begins - (ends - lengths), lengths)
 
 
 _kept: dict[str, BatchTokenizer] = {}

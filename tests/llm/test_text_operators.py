@@ -248,3 +248,21 @@ def test_texts_longer_than_a_piece(spark):
     docs = spark.createDataFrame([(1, "short"), (2, long), (3, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r["n_ids"] for r in id_files.stage_ids(docs, VOCABULARY).select("doc_id", "n_ids").collect()}
     assert rows == {1: len(library_ids("short")), 2: len(library_ids(long)), 3: 1}
+
+
+def test_encoding_holds_little_per_word():
+    """A use of a word costs its place among the batch's distinct words and its ids, not two runs of 64-bit numbers."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from parlance.llm._tokens import BatchTokenizer
+
+    bpe = BatchTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two, three " * 1000 + "end"] * 100 + ["", None]
+    bpe.encode(texts)
+    tracemalloc.start()
+    ids, sizes = bpe.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * 300_000 and sizes.sum() == len(ids) and sizes.tolist()[-2:] == [1, 1]

@@ -330,3 +330,26 @@ def test_first_collisions_are_those_of_all_pairs_with_few_of_a_class_paired(spar
     monkeypatch.setattr(E, "collision_pairs", lambda kept, verdicts: paired.append(kept.count()) or whole(kept, verdicts))
     E.first_collisions(df, told.limit(0)).collect()
     assert paired[0] < 220  # before: all 300
+
+
+def test_collision_classes_stand_for_all_pairs_of_ids(spark):
+    import random
+
+    rnd = random.Random(8)
+    names = ["ann", "Ann Lee", "lee ann", "ann lee fox", "fox", "Lee", "bob"]
+    rows = [(i, rnd.choice(names), rnd.choice(["person", "org", "term"]), rnd.choice(["w1", "w2", None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, name string, kind string, grp string")
+    told = spark.createDataFrame([(rnd.randrange(200), rnd.randrange(200)) for _ in range(900)] + [(3, 3), (None, 4)], "a long, b long")
+    members: dict = {}
+    for r in E.name_classes(df).collect():
+        members.setdefault(r["class"], set()).add(r["id"])
+    assert {i for m in members.values() for i in m} == {r[0] for r in rows if r[2] != "term" and r[3]}
+    known = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in told.where("a is not null").collect()}
+    for verdicts, seen in ((told, known), (told.limit(0), set())):
+        made, per = set(), E.collision_classes(df, verdicts).collect()
+        for r in per:
+            pairs = {(a, b) for a in members[r["a"]] for b in members[r["b"]] if (min(a, b), max(a, b)) not in seen}
+            assert (r["a_copies"], r["b_copies"], r["open"]) == (len(members[r["a"]]), len(members[r["b"]]), len(pairs))
+            made |= pairs
+        whole = {(r["a"], r["b"]) for r in E.collision_pairs(df, verdicts).collect()}
+        assert made == whole and len(per) * 5 < len(whole)

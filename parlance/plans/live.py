@@ -13,7 +13,7 @@ from parlance.plans import search as P
 from parlance.plans.ordered import DWELL, LATE, MOVED, SCREEN_TEXTS, rendered, screen_texts
 from parlance.registry import query
 from parlance.sources import markdown as M
-from parlance.sources.storage import SnapshotTable, fresh_path
+from parlance.sources.storage import SnapshotTable, broadcast_few, fresh_path, stored
 from parlance.streaming import live as L
 
 
@@ -97,7 +97,8 @@ def _load(t: Tables, edited: str):
     """Loads documents by path: a call, a passage per line, a topic, and a commitment of those with a source. ``edited``: the text as it is by then."""
 
     def load(paths: DataFrame) -> dict[str, DataFrame]:
-        docs = t.documents.select(F.col("doc_id").alias("path"), F.expr(edited).alias("text"), "source").join(paths.select("path", "mtime"), "path")
+        # Stored, so that the texts meet the paths once and not for each table.
+        docs = stored(t.documents.select(F.col("doc_id").alias("path"), F.expr(edited).alias("text"), "source").join(broadcast_few(paths.select("path", "mtime")), "path"), "loaded")
         lines = docs.select("path", F.posexplode(F.split("text", "\n")).alias("chunk", "text"))
         title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80))
         return {

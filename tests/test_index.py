@@ -201,3 +201,43 @@ def test_forms_are_scored_in_shards(spark, monkeypatch):
     monkeypatch.setattr(G, "SHARD_TOKENS", 100)
     many = found()
     assert many[0] <= 9 * 4 and many[1:] == one[1:]
+
+
+def test_publishing_shuffles_texts_once_and_postings_never(spark, monkeypatch):
+    """The plans of what updates and a merge write, where Spark itself broadcasts nothing."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen: dict[str, list[str]] = {}
+    plain = Library._write
+
+    def watched(self, tables, removed, more=None):
+        def note(made):
+            for name, df in made.items():
+                seen.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+            return made
+
+        note(tables)
+        return plain(self, tables, removed, more and (lambda there: note(more(there))))
+
+    monkeypatch.setattr(Library, "_write", watched)
+    corpus = I.PublishedCorpus(spark, fresh_path(spark, "corpus"), {"title": 1.0, "summary": 1.0, "tags": 1.0, "participants": 1.0})
+
+    def update(paths, text):
+        rows = spark.createDataFrame([(p,) for p in paths], "path long")
+        corpus.apply(
+            rows.select("path", F.lit(1.0).alias("mtime"), F.lit("t").alias("title")),
+            rows.select("path", F.lit(0).cast("long").alias("chunk"), F.lit(text).alias("text")),
+            rows.select("path", F.lit("t").alias("title"), F.lit("s").alias("summary"), F.lit("").alias("tags"), F.lit("p").alias("participants")),
+            rows.select("path", F.lit("o").alias("owner"), F.lit("x").alias("text"), F.lit("open").alias("status")),
+        )
+
+    try:
+        update(range(20), "old words")
+        update(range(5), "new words")
+        corpus.merge()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r["token"] for r in corpus.spoken.postings().collect()) == ["new"] * 5 + ["old"] * 15 + ["words"] * 20
+    spoken = seen["spoken_postings"]
+    assert len(spoken) == 3 and not any("Exchange hashpartitioning(bucket" in plan for plan in spoken)  # before: by bucket
+    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in (spoken[-1], seen["chunks"][-1]))  # the merge; before: sorted by path

@@ -47,3 +47,16 @@ def test_streams_of_polls_and_replies_are_their_batch_forms(spark):
     replies = spark.createDataFrame([(i, rng.randrange(3), rng.choice([None, 1, 2, 3]), i // 2) for i in range(60)], "event_id long, key long, generation int, at long").select("event_id", "key", "generation", F.timestamp_seconds("at").alias("arrival"))
     got = L.drain(L.timely_replies(L.replay(replies, "arrival", "key", parts=4)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, O.late_replies(replies).collect()))
+
+
+def test_keys_of_a_shard_share_a_group_and_keep_their_own_state(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARDS", 2)  # before: every key was a group of its own
+    rows = spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 13).alias("key"), (F.col("id") * 11 % 5).cast("int").alias("generation"), F.timestamp_millis(F.col("id") * 1000).alias("arrival"))
+    sharded = L.timely_replies(L.replay(rows, "arrival", "key", parts=4))
+    assert "_shard" in sharded._jdf.queryExecution().analyzed().toString()
+    top, want = {}, []
+    for r in rows.orderBy("event_id").collect():
+        if r["generation"] >= top.get(r["key"], 0):
+            top[r["key"]] = r["generation"]
+            want.append(r["event_id"])
+    assert sorted(r["event_id"] for r in L.drain(sharded).collect()) == want

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.sources.storage import stored
+from parlance.sources.storage import broadcast_few, stored
+
 
 def in_workspace(df: DataFrame, grp: str | None, column: str = "grp") -> DataFrame:
     """None: every workspace; "": the rows that have none; else that workspace."""
@@ -42,22 +45,42 @@ def co_occurring_in(mentions: DataFrame, calls: DataFrame, entities: DataFrame,
     return rows.orderBy(F.desc("n_calls"), "name", "id").limit(max(1, limit))
 
 
-def co_occurring_all(mentions: DataFrame, least: int = 2, block: int = 512) -> DataFrame:
+def co_occurring_all(mentions: DataFrame, least: int = 2, block: int = 512, share: int = 1_000_000) -> DataFrame:
     """Pairs of entities (a < b) with at least so many calls in common.
 
-    Entities of fewer calls than that can be in no such pair and go first. A call's entities are cut into blocks of about so many
-    by their hash, and its pairs are made one pair of blocks at a time, so that a call of many entities is spread over tasks
-    (a block's rows are copied once per block of the call). Null ids and paths pair with nothing.
+    Entities of fewer mentions than that can be in no such pair and go first. A call of at most ``block`` mentions is one list, whose pairs are
+    made in place. The entities of a larger one are cut into blocks of about so many by their hash, and its pairs are made one pair of
+    blocks at a time, so that it is spread over tasks (a block's rows are copied once per block of the call).
+    Pairs are counted beforehand and dealt into as many parts as give a task about ``share`` of them, so a task's memory
+    doesn't grow with the table. Null ids and paths pair with nothing.
     """
-    once = mentions.select("path", "entity_id").where("path is not null and entity_id is not null").distinct()
-    often = once.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_calls")).where(F.col("_calls") >= least).select("entity_id")
-    rows = once.join(often, "entity_id")
-    blocks = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("path", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    placed = rows.join(blocks, "path").withColumn("_own", F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"))
-    first = placed.select("path", F.col("entity_id").alias("x"), F.col("_own").alias("i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("j"))
-    second = placed.select("path", F.col("entity_id").alias("y"), F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"))
-    pairs = first.join(second, ["path", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n_calls")).where(F.col("n_calls") >= least)
+    spark = mentions.sparkSession
+    known = mentions.select("path", "entity_id").where("path is not null and entity_id is not null")
+    rare = known.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < least).select("entity_id")
+    rows = known.join(broadcast_few(rare), "entity_id", "left_anti")
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    is_large, n_pairs = F.col("_n") > block, F.col("_n") * (F.col("_n") - 1) / 2
+    counts = sizes.agg(F.count_if(is_large).alias("large"), F.sum(F.when(is_large, n_pairs)).alias("crossed"), F.sum(F.when(~is_large, n_pairs)).alias("listed")).first()
+    listed, crossed = counts["listed"] or 0, counts["crossed"] or 0
+    parts = lambda n: max(spark.sparkContext.defaultParallelism, math.ceil(n / share))
+
+    large = broadcast_few(sizes.where(is_large).select("path")) if counts["large"] else None
+    few = rows.join(large, "path", "left_anti") if counts["large"] else rows
+    lists = few.repartition(parts(listed), "path").groupBy("path").agg(F.array_sort(F.collect_set("entity_id")).alias("es"))
+    ahead = lists.select("es", F.posexplode("es").alias("i", "a"))
+    pairs = ahead.select("a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b"))
+    if counts["large"]:
+        once = rows.join(large, "path", "left_semi").distinct()
+        blocks = once.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).select("path", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+        placed = once.join(blocks, "path").withColumn("_own", F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int"))
+        first = placed.select("path", F.col("entity_id").alias("x"), F.col("_own").alias("i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("j"))
+        second = placed.select("path", F.col("entity_id").alias("y"), F.explode(F.sequence(F.lit(0), "_own")).alias("i"), F.col("_own").alias("j"))
+        dealt = [side.repartition(parts(crossed), "path", "i", "j") for side in (first, second)]
+        met = dealt[0].join(dealt[1], ["path", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+        pairs = pairs.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    if parts(listed + crossed) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        pairs = pairs.repartition(parts(listed + crossed), "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_calls")).where(F.col("n_calls") >= least)
 
 
 def spelled_rollup(values: DataFrame, column: str = "value") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 import time
+from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -101,3 +103,16 @@ def test_pairs_by_blocks_lose_none(spark):
         for least in (1, 3):
             got = {(r["a"], r["b"]): r["n_calls"] for r in R.co_occurring_all(df, least, block).collect()}
             assert got == {k: n for k, n in want.items() if n >= least}
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """Lists of small calls and blocks of large ones in one job, and as many parts as there are shares of pairs, so that no task grows with the table."""
+    rows = [(p, p * 7 % 23 + e) for p in range(200) for e in range(4)] + [(900 + p, e) for p in range(2) for e in range(40)] + [(5, 35), (5, 35), (None, 3), (3, None)]
+    calls = {}
+    for path, entity in rows:
+        if path is not None and entity is not None:
+            calls.setdefault(path, set()).add(entity)
+    want = Counter(pair for entities in calls.values() for pair in combinations(sorted(entities), 2))
+    out = R.co_occurring_all(spark.createDataFrame(rows, "path int, entity_id int"), block=16, share=100)
+    assert {(r["a"], r["b"]): r["n_calls"] for r in out.collect()} == {k: n for k, n in want.items() if n >= 2}
+    assert out.rdd.getNumPartitions() >= sum(want.values()) // 100

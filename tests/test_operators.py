@@ -121,6 +121,46 @@ def test_mentions_of_several_words(spark):
     assert got == {("a", 1, "Ada Lovelace", 500, 1), ("k", 1, "Ada Lovelace King", 500, 1), ("d", 1, "Delta", 500, 2), ("z", 2, "zoe", 0, 1)}
 
 
+def test_mentions_equal_a_loop_over_all_sequences(spark):
+    """Names of one to five words, of shared first words, with odd spaces and letters; a word of a text is one row, whatever its neighbours."""
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(5)
+    some = ["Ann", "ann", "B-c", "O'Neil", "of", "Of", "ΟΔΟΣ", "Straße", "x1", "Zed"]
+    texts = [(i, i % 3, " , ".join(rng.choice(some) for _ in range(rng.randrange(0, 60)))) for i in range(30)] + [(99, 0, None), (98, 0, ""), (97, 0, "Ann  of. Zed"), (96, 0, " ".join(["plain"] * 3000))]
+    names = sorted({" ".join(rng.choice(some) for _ in range(n)) for n in (1, 2, 2, 2, 3, 3, 4, 4, 5)}) + [" ann ", "ann of", "Ann  of", "", None, "A", "of zed", "straße"]
+    names = [(f"n{i}", n) for i, n in enumerate(names)]
+    attendees = [(5, " ann of "), (6, None), (7, "Ann  of"), (8, "nobody")]
+    want, first = Counter(), {}
+    seen = [(p, 0, a.strip()) for p, a in attendees if a is not None]
+    for path, ms, text in texts:
+        w = [x for x in re.split(r"[^\w'-]+", text or "") if x]
+        seen += [(path, ms, g) for n in range(1, 5) for i in range(len(w) - n + 1) if (g := " ".join(w[i : i + n])) != g.lower()]
+    for path, ms, g in seen:
+        for k in {k for k, n in names if n is not None and len(g) >= 2 and g.lower() == n.strip().lower()}:
+            want[k, path, g] += 1
+            first[k, path, g] = min(ms, first.get((k, path, g), ms))
+    frames = [spark.createDataFrame(texts, "path long, start_ms int, text string"), spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(attendees, "path long, name string")]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = S.mentions(*frames[:2], attendees=frames[2])
+        got = {(r["id"], r["path"], r["surface"]): (r["start_ms"], r["n"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(want) > 100 and got == {k: (first[k], n) for k, n in want.items()}
+
+    def generated(node) -> list[int]:
+        mine = [node.metrics().get("numOutputRows").get().value()] if node.nodeName() == "Generate" else []
+        return mine + [n for i in range(node.children().size()) for n in generated(node.children().apply(i))]
+
+    words = sum(len([x for x in re.split(r"[^\w'-]+", t or "") if x]) for _, _, t in texts)
+    made = generated(out._jdf.queryExecution().executedPlan())
+    assert max(made) <= words
+
+
 def test_and_before_or(spark):
     passages = spark.createDataFrame([(1, 0, "alpha beta"), (2, 0, "alpha"), (3, 0, "gamma")], "path long, chunk int, text string")
     queries = spark.createDataFrame([("both", "alpha beta"), ("one", "gamma delta")], "q string, query string")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from parlance.functions.columns import video_service
 from parlance.operators.folds import sorted_fold
+from parlance.sources.storage import broadcast_few, stored
 
 MAX_CHUNK_CHARS, MAX_CHUNK_MS = 500, 45_000
 
@@ -79,24 +80,36 @@ def comparison_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(lines, lambda x: (F.length(x) > 2) & ~F.regexp_replace(x, r"\s", "").rlike(r"^[\p{N}:.%+/\-]*$")))
 
 
-def line_pairs(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """a, b, a_copies, b_copies, common, jaccard: pairs of distinct line sets (doc_id, lines) that are alike by ``least`` or more.
+def line_pairs(docs: DataFrame, least: float = 0.5, lines: Column | str = "lines") -> DataFrame:
+    """a, b, a_copies, b_copies, common, jaccard: pairs of distinct line sets (of docs: doc_id and what ``lines`` is made of) that are alike by ``least`` or more.
 
     A pair that is must share one of the rarest lines of both (all but so many as the rest could make up for), so
-    lines that many documents have are hardly joined on; the candidates' whole sets are then compared.
+    lines that many documents have are hardly joined on. Sets are told apart by their SHA-256, and lines stand as 64-bit hashes: lines of one hash
+    can only make more candidates, never fewer. Candidates are sifted by their hashes, and the lines of those that may be alike are compared.
     """
-    sets = docs.where(F.size("lines") > 0).groupBy(F.array_sort("lines").alias("lines")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    rows = sets.select("doc_id", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    used = rows.groupBy("line").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    shared = rows.join(used, "line").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "line"))).alias("rare"))
+    lined = lambda df: df.select("doc_id", (F.col(lines) if isinstance(lines, str) else lines).alias("lines"))
+    digest = F.unhex(F.sha2(F.to_json(F.array_sort("lines")), 256))
+    hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))))
+    sets = lined(docs).select("doc_id", F.size("lines").alias("n"), digest.alias("digest"), hashes.alias("hashes"))
+    sets = stored(sets.groupBy("digest", "n", "hashes").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "line-sets")
+    rows = sets.select("doc_id", "n", F.size("hashes").alias("m"), F.explode("hashes").alias("line"))
+    used = stored(rows.groupBy("line").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "shared-lines")
+    shared = rows.join(broadcast_few(used), "line").groupBy("doc_id", "n", "m").agg(F.array_sort(F.collect_list(F.struct("uses", "line"))).alias("rare"))
     # Lines of one set only come first in the order; what is left of the prefix is taken from the shared ones.
-    prefix = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("rare"))
+    prefix = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("m") - F.size("rare"))
     heads = shared.where(prefix > 0).select("doc_id", "n", F.explode(F.slice("rare", F.lit(1), prefix.cast("int"))).alias("x")).select("doc_id", "n", "x.line")
     of = lambda x: heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), "line")
     near = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
     pairs = of("a").join(of("b"), "line").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("lines").alias(f"l{x}"), F.col("copies").alias(f"{x}_copies"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("la", "lb")).cast("long"))
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("digest").alias(f"d{x}"), F.col("hashes").alias(f"h{x}"), F.col("copies").alias(f"{x}_copies"))
+    # At most so many lines in common: lines of a that share a hash with another of a may all be among them.
+    most = F.size(F.array_intersect("ha", "hb")) + F.col("na") - F.size("ha")
+    may = pairs.join(side("a"), "a").join(side("b"), "b").where(most >= (F.col("na") + F.col("nb") - most) * least)
+    may = stored(may.select("a", "b", "da", "db", "a_copies", "b_copies"), "line-pairs")
+    asked = may.select(F.col("a").alias("doc_id")).union(may.select("b")).distinct()
+    texts = lined(docs.join(broadcast_few(asked), "doc_id", "left_semi")).select("doc_id", "lines", digest.alias("digest")).dropDuplicates(["doc_id", "digest"])
+    whole = lambda x: texts.select(F.col("doc_id").alias(x), F.col("digest").alias(f"d{x}"), F.col("lines").alias(f"l{x}"))
+    both = may.join(whole("a"), ["a", "da"]).join(whole("b"), ["b", "db"]).withColumn("common", F.size(F.array_intersect("la", "lb")).cast("long"))
     alike = F.col("common") / (F.size("la") + F.size("lb") - F.col("common"))
     return both.where(alike >= least).select("a", "b", "a_copies", "b_copies", "common", F.round(alike, 9).alias("jaccard"))
 

@@ -243,7 +243,7 @@ def noise_lines(t: Tables) -> DataFrame:
 @query("", "with l as (select distinct doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents), k0 as (select * from l where length(line) > 2 and not regexp_matches(regexp_replace(line, '\\s', '', 'g'), '^[\\p{N}:.%+/\\-]*$')), d as (select doc_id, string_agg(line, chr(10) order by line) as body, count(*) as c from k0 group by 1), n as (select min(doc_id) as doc_id, any_value(c) as c, count(*) as copies from d group by body), k as (select k0.* from k0 join n using (doc_id)) select a.doc_id as a, b.doc_id as b, any_value(x.copies) as a_copies, any_value(y.copies) as b_copies, count(*) as common, round(count(*) / (any_value(x.c) + any_value(y.c) - count(*)), 9) as jaccard from k a join k b on a.line = b.line and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by 1, 2 having count(*) / (any_value(x.c) + any_value(y.c) - count(*)) >= 0.5")
 def line_jaccard(t: Tables) -> DataFrame:
     """Pairs of line sets that are alike by half or more. Documents of one set are one, named by the smallest id, with its copies."""
-    return O.line_pairs(t.documents.select("doc_id", O.comparison_lines(F.col("text")).alias("lines")))
+    return O.line_pairs(t.documents, lines=O.comparison_lines(F.col("text")))
 
 
 @query("", "with e as (select user_id as note, row_number() over (partition by user_id order by ts, event_id) as entry_no, ts as stamp, 'event ' || event_id as text from events where event_type = 'view'), n as (select user_id as note, row_number() over (partition by user_id order by ts, event_id) as k, ts as stamp, 'event ' || event_id as text from events where event_type = 'click') select note, entry_no, stamp, text, false as created from e union all select note, k + coalesce(last, 0), stamp, text, last is null from n left join (select note, max(entry_no) as last from e group by 1) using (note)")

@@ -116,3 +116,35 @@ def test_pairs_are_dealt_by_their_number(spark):
     out = R.co_occurring_all(spark.createDataFrame(rows, "path int, entity_id int"), block=16, share=100)
     assert {(r["a"], r["b"]): r["n_calls"] for r in out.collect()} == {k: n for k, n in want.items() if n >= 2}
     assert out.rdd.getNumPartitions() >= sum(want.values()) // 100
+
+
+def shuffled(spark) -> int:
+    """Bytes that the stages of the session have shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_line_pairs_shuffle_no_texts(spark):
+    """All pairs against a loop, at several shares; copies, sets of one line and empty ones among them; long lines that are in no candidate stay where they are."""
+    rng = random.Random(8)
+    pool = [f"line {i} é\"\\" for i in range(14)]
+    sets = [frozenset(rng.sample(pool, rng.randrange(0, 7))) for _ in range(60)] + [frozenset(pool[:n]) for n in (1, 1, 1, 9, 10)] + [frozenset()]
+    docs = [(i, rng.sample(sorted(s), len(s))) for i, s in enumerate(sets)]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, []).append(i)
+    for least in (0.3, 0.5, 0.8):
+        want = set()
+        for (x, a), (y, b) in combinations(sorted(((s, i) for s, i in first.items() if s), key=lambda x: x[1][0]), 2):
+            if len(x & y) / len(x | y) >= least:
+                want.add((a[0], b[0], len(a), len(b), len(x & y), round(len(x & y) / len(x | y), 9)))
+        got = [(r["a"], r["b"], r["a_copies"], r["b_copies"], r["common"], r["jaccard"]) for r in O.line_pairs(spark.createDataFrame(docs, "doc_id long, lines array<string>"), least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+    words = F.concat_ws(" ", *[F.sha2(F.concat_ws("/", "id", F.lit(k)), 512) for k in range(20)])
+    long = spark.range(500, numPartitions=4).select(F.col("id").alias("doc_id"), F.array(words, F.reverse(words), F.concat(F.lit("near "), (F.col("id") % 100).cast("string"))).alias("lines"))
+    before = shuffled(spark)
+    assert O.line_pairs(long).count() == 0
+    assert shuffled(spark) - before < 500 * 2 * 2560 / 4  # a line of these takes 2,579 characters

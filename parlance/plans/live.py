@@ -222,10 +222,15 @@ def note_blocks(t: Tables) -> DataFrame:
 
 @query("", f"select count(*) as files, count(*) as owned from {_CALLS}")
 def corpus_scan(t: Tables) -> DataFrame:
-    """Files written one per call, then scanned by their folders."""
+    """Files written one per call, then scanned by their folders.
+
+    A task's files are in a folder of its own: the commit moves a folder at a time and a scan lists as many, however many calls there are.
+    """
     path = fresh_path(t.spark, "corpus")
-    notes(t).withColumnRenamed("path", "call").repartition(8, "call").write.partitionBy("call").text(path)
-    files = M.scan_corpus(t.spark, [f"{path}/call=*"], "*.txt")
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = notes(t).repartition(tasks, "path").select("content", F.spark_partition_id().alias("folder"))
+    dealt.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    files = M.scan_corpus(t.spark, [f"{path}/folder=*"], "*.txt")
     return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(M.is_owned(M.front(F.col("content")))).alias("owned"))
 
 

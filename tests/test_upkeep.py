@@ -39,3 +39,17 @@ def test_verdicts(spark):
     assert [got["moved"][f] for f in figures] == [1, 1, 1, 0, 0, 1, True, True]
     assert [got["part"][f] for f in figures] == [0, 0, 0, 1, 1, 1, False, False]
     assert [got["lost"][f] for f in figures] == [None] * 8
+
+
+def test_corpus_files_are_in_a_folder_per_task(spark, sf):
+    """A file per call, but no folder per call: the commit and the scan go by folders."""
+    from glob import glob
+
+    from parlance.plans.catalogue import QUERIES
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob(f"{root}/corpus-*"))
+    row = QUERIES["corpus_scan"](spark, sf).first()
+    (made,) = set(glob(f"{root}/corpus-*")) - before
+    assert row["files"] == row["owned"] == len(glob(f"{made}/*/*.txt")) > 4
+    assert len(glob(f"{made}/*/")) <= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -393,3 +393,17 @@ def test_collision_classes_stand_for_all_pairs_of_ids(spark):
             made |= pairs
         whole = {(r["a"], r["b"]) for r in E.collision_pairs(df, verdicts).collect()}
         assert made == whole and len(per) * 5 < len(whole)
+
+
+def test_answers_are_given_whole_blocks(spark):
+    asked = spark.createDataFrame([(1, "What of STEEL?"), (2, "nothing")], "q long, query string")
+    found = spark.createDataFrame([(1, 8, 2), (1, 7, 1)], "q long, path long, rank int")
+    docs = [(7, "x" * 450, "conversation", "active", None, "va"), (8, "the Tin, here", "reference-frozen", "archived", "stated", ""), (9, "zinc", None, "active", None, "va")]
+    docs = spark.createDataFrame(docs, "path long, text string, document_class string, status string, confidence string, vault string")
+    terms = spark.createDataFrame([("tin", "a metal"), ("Steel", "an alloy"), ("zinc", "not here"), ("here", "")], "canonical string, gloss string")
+    rows = {r["q"]: tuple(r)[1:] for r in S.answer_contexts(asked, found, docs, terms, cap=600).collect()}
+    glossary = "Glossary (the user's own definitions):\nSteel — an alloy\ntin — a metal\n\n"
+    assert rows[1] == (2, 413, f"{glossary}Context:\n[7 · from a call · active · @va]\n{'x' * 400}…\n\n[8 · archived · stated]\nthe Tin, here\n\nQuestion: What of STEEL?")
+    assert rows[2] == (0, 0, "")
+    (one,) = S.answer_contexts(asked, found, docs, terms, cap=600, most_terms=1).where("q = 1").collect()
+    assert "alloy" in one["block"] and "a metal" not in one["block"]

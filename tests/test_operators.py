@@ -407,3 +407,33 @@ def test_answers_are_given_whole_blocks(spark):
     assert rows[2] == (0, 0, "")
     (one,) = S.answer_contexts(asked, found, docs, terms, cap=600, most_terms=1).where("q = 1").collect()
     assert "alloy" in one["block"] and "a metal" not in one["block"]
+
+
+def test_lots_of_shards_keep_what_one_shard_keeps(spark, monkeypatch):
+    """Copies (ties), scores that are too far and questions met whole in some shards only; a task's best of many shards are as many as of one."""
+    import random
+
+    from parlance.operators import scoring
+
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "alphabet", "rare"]
+    texts = [" ".join(rnd.choices(words, [6, 4, 4, 2, 2, 0.3], k=rnd.randint(1, 7))) for _ in range(25)]
+    rows = [(f"p{rnd.randrange(10**6)}", c, rnd.choice(texts)) for _ in range(60) for c in range(2)]
+    index = S.build_index(spark.createDataFrame(rows, "path string, chunk long, text string"))
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma rare delta"), (3, "alpha"), (4, "rare zzz"), (5, "alpha beta gamma delta")], "q long, query string")
+    left: list[int] = []
+    whole = scoring._first
+    monkeypatch.setattr(scoring, "_first", lambda found, *a: left.append(found.count()) or whole(found, *a))
+    found = lambda mode, floor: sorted(tuple(r) for r in S.search(index, asked, mode, keep=4, floor=floor).collect())
+    cases = [("auto", None), ("auto", -1.5), ("or", None)]
+    one = [found(*c) for c in cases]
+    monkeypatch.setattr(scoring, "SHARD_TOKENS", 40)
+    assert scoring._shards(index) > 8
+    many = [found(*c) for c in cases]
+    monkeypatch.setattr(scoring, "_lots", lambda *_: 1)
+    few = [found(*c) for c in cases]
+    assert one == many == few and all(one)
+    assert max(left[-3:]) <= 5 * 4 < max(left[3:6])  # before: as many of every shard
+    terms = spark.createDataFrame([("al", 0), ("beta", 1)], "term string, t long")
+    hits = scoring._shard_hits(index, scoring._prefix_rows(index, terms, scoring._shards(index)))[0]
+    assert hits.count() <= scoring._shards(index)  # before: a row per term and shard

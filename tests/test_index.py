@@ -241,3 +241,14 @@ def test_publishing_shuffles_texts_once_and_postings_never(spark, monkeypatch):
     spoken = seen["spoken_postings"]
     assert len(spoken) == 3 and not any("Exchange hashpartitioning(bucket" in plan for plan in spoken)  # before: by bucket
     assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in (spoken[-1], seen["chunks"][-1]))  # the merge; before: sorted by path
+
+
+def test_related_calls_make_no_snippets(spark, sf, monkeypatch):
+    """Their rows have none; before, every hit's text was taken apart for one."""
+    from parlance.plans.catalogue import QUERIES
+
+    def none(*_):
+        raise AssertionError("a snippet was made")
+
+    monkeypatch.setattr(S, "snippets", none)
+    assert QUERIES["stream_related"](spark, sf).count() > 0

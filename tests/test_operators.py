@@ -437,3 +437,16 @@ def test_lots_of_shards_keep_what_one_shard_keeps(spark, monkeypatch):
     terms = spark.createDataFrame([("al", 0), ("beta", 1)], "term string, t long")
     hits = scoring._shard_hits(index, scoring._prefix_rows(index, terms, scoring._shards(index)))[0]
     assert hits.count() <= scoring._shards(index)  # before: a row per term and shard
+
+
+def test_titles_meet_labels_without_their_texts(spark, sf):
+    from parlance.adapters import Tables
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Tables(spark, sf).docs.select("path", "title", "tag_quality")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    join = plan.splitlines().index(next(x for x in plan.splitlines() if "Join" in x))
+    assert "text#" in plan and "text#" not in "".join(plan.splitlines()[: join + 1])  # before: the text went through the join
